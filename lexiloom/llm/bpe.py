@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Distinct chunks whose ids a worker keeps; beyond it, it starts afresh.
 CACHED_CHUNKS = 600_000
@@ -219,7 +220,6 @@ def codec(path: str) -> BpeCodec:
 def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit), one row per row."""
     src = docs.select(*keep, docs[text_col].alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
@@ -229,12 +229,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text
                 ids = [c.encode(t) for t in some.column(some.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*keep, "n_tokens", "ids"])
 
-    return src.mapInArrow(run, f"{kinds}, n_tokens long, ids binary")
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]))
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """``encoded`` with ``decoded``, the text that its ``ids`` stand for."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
@@ -244,7 +243,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
                 texts = [c.decode(x or b"") for x in some.column(some.schema.get_field_index("ids")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], [*some.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, f"{kinds}, decoded string")
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def digest(data: bytes) -> str:

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+_KINDS = {"binary": pa.binary(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "string": pa.string()}
+
 
 def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list, np.ndarray]]:
     """(columns as lists or arrays, bounds of the runs of equal keys), only whole runs.
@@ -49,12 +51,13 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[list, int, int], It
     """Rows ``fn(columns, start, end)`` gives for each group of equal ``keys``; groups must be of bounded size."""
     rest = [c for c in df.columns if c not in keys]
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    kinds = [_KINDS[f.strip().split(" ")[1]] for f in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            cols = [pa.array(c) for c in zip(*out, strict=True)]
+            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             out.clear()
             return pa.RecordBatch.from_arrays(cols, names)
 

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import segments
 
@@ -57,7 +58,7 @@ def has_letter(text: str | None) -> bool:
 
 def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
     w, b = np.zeros((x.shape[1], classes)), np.zeros(classes)
-    once = np.eye(classes)[y] 
+    once = np.eye(classes)[y]
     weight = (1 / np.maximum(1, np.bincount(y, minlength=classes)))[y][:, None] / classes
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
@@ -139,11 +140,9 @@ def fit(docs: DataFrame) -> Model | None:
         return None
     each = max(SAMPLE_LEAST, SAMPLE_ROWS // langs)
     key = F.xxhash64("doc_id", F.length("text"))
-    best = Window.partitionBy("lang").orderBy(key, "doc_id")
     ids = rows.select("doc_id", "lang", F.length("text").alias("n"), key.alias("k")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))).where(F.col("r") <= each)
     ids = ids.select("doc_id", "lang", "n").distinct()
     sample = rows.withColumn("n", F.length("text")).join(F.broadcast(ids), ["doc_id", "lang", "n"]).groupBy("doc_id", "lang", "n").agg(F.min("text").alias("text"))
-    del best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,7 +158,6 @@ def fit(docs: DataFrame) -> Model | None:
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The kept columns, ``lang_pred`` and ``score`` of each whole text."""
     src = docs.select(*keep, F.col(text_col).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[:-1])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,4 +173,4 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
                         langs[i], scores[i] = lang, float(s)
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return src.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -7,9 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import bpe, langid, lm, minhash, packing, toxicity
+from . import ann, bpe, langid, lm, minhash, packing, toxicity, urlfilter, vecdedup, warc
 from .common import fraction_hash
 
 
@@ -17,6 +16,85 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(_table(spark, sf_dir, "pages"))
+    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?[0-9]+)$", 1).try_cast("long")
+    full = F.col("record_type") == "response"
+    return records.where("record_type in ('response', 'revisit')").select(
+        page(F.col("record_id")).alias("page_id"),
+        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(full, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        page(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+def _number(text: str, mod: int) -> F.Column:
+    return F.expr(f"cast(conv(substr(md5({text}), 1, 8), 16, 10) as long) % {mod}")
+
+
+def url_lists(pages: DataFrame) -> DataFrame:
+    """Dated entries (list, key, action, on_date): no table holds lists, so the hosts of ``pages`` make them.
+
+    Hosts come onto ``hosts`` and leave it, some come back; parent domains are on ``domains`` from
+    some day on; a host's folders are on ``folders`` for a while.
+    """
+    hosts = pages.select(F.regexp_extract(F.lower("url"), urlfilter.HOST, 1).alias("host")).where("host <> ''").distinct()
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    entry = lambda name, key, action, n: F.struct(F.lit(name).alias("list"), key.alias("key"), F.lit(action).alias("action"), day(n).alias("on_date"))
+    host, a, b = F.col("host"), _number("concat('a', host)", 250), _number("concat('b', host)", 60) + 1
+    parent = F.substring_index("host", ".", -2)
+    folder = F.concat(host, F.lit("/fr/"))
+    entries = F.array(
+        entry("hosts", host, "add", a), entry("hosts", host, "remove", a + b), entry("hosts", host, "add", a + 2 * b),
+        entry("domains", parent, "add", _number("concat('p', substring_index(host, '.', -2))", 300)),
+        entry("folders", folder, "add", b), entry("folders", folder, "remove", b + a),
+    )
+    return hosts.select(F.explode(entries).alias("e")).select("e.*").distinct()
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.expr("date_add(date'2024-01-01', cast(cast(conv(substr(md5(cast(page_id as string)), 1, 8), 16, 10) as long) % 365 as int))")
+    return urlfilter.filter_urls(pages.withColumn("fetched_on", fetched), url_lists(pages))
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8))::UBIGINT % 365 AS INTEGER) AS fetched_on,
+    regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) AS path
+  FROM pages),
+h AS (
+  SELECT host, CAST(('0x' || substr(md5('a' || host), 1, 8))::UBIGINT % 250 AS INTEGER) AS a, 1 + CAST(('0x' || substr(md5('b' || host), 1, 8))::UBIGINT % 60 AS INTEGER) AS b,
+    regexp_extract(host, '([^.]*[.])?[^.]*$') AS parent
+  FROM (SELECT DISTINCT host FROM p WHERE host <> '')),
+e AS (
+  SELECT DISTINCT list, key, action, DATE '2024-01-01' + n AS on_date FROM (
+    SELECT 'hosts' AS list, host AS key, 'add' AS action, a AS n FROM h
+    UNION ALL SELECT 'hosts', host, 'remove', a + b FROM h UNION ALL SELECT 'hosts', host, 'add', a + 2 * b FROM h
+    UNION ALL SELECT 'domains', parent, 'add', CAST(('0x' || substr(md5('p' || parent), 1, 8))::UBIGINT % 300 AS INTEGER) FROM h
+    UNION ALL SELECT 'folders', host || '/fr/', 'add', b FROM h UNION ALL SELECT 'folders', host || '/fr/', 'remove', b + a FROM h)),
+v AS (
+  SELECT list, key, action, on_date, lead(on_date) OVER (PARTITION BY list, key ORDER BY on_date) AS upto
+  FROM (SELECT list, key, on_date, max(action) AS action FROM e GROUP BY ALL)),
+hit AS (
+  SELECT p.page_id, p.url, p.fetched_on, v.list, v.key FROM p JOIN v ON v.action = 'add' AND p.fetched_on >= v.on_date AND (v.upto IS NULL OR p.fetched_on < v.upto)
+    AND p.host <> '' AND (p.host = v.key OR ends_with(p.host, '.' || v.key) OR (contains(v.key, '/') AND starts_with(p.host || p.path, v.key))))
+SELECT p.page_id, p.url, p.fetched_on, coalesce(n_active, 0)::BIGINT AS n_active, lists, matched_key, n_active IS NOT NULL AS blocked
+FROM p LEFT JOIN (
+  SELECT page_id, url, count(*) AS n_active, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, min(struct_pack(n := -length(key), k := key)).k AS matched_key
+  FROM hit GROUP BY ALL) x ON p.page_id = x.page_id AND p.url = x.url
+"""
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, p.payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+"""
+
+
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = fraction_hash("doc_id", 5)
     scored = lm.score_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), train=f"{fold} <> 1")
@@ -54,13 +132,25 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
+def op10_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_url_filter": op2_url_filter,
     "op3_lm_scores": op3_lm_scores,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_bpe": op7_bpe,
     "op8_language": op8_language,
+    "op9_nearest": op9_nearest,
+    "op10_vector_duplicates": op10_vector_duplicates,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_url_filter": OP2_SQL}

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import segments, words_of
 
@@ -181,7 +182,6 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model |
 def score_toxicity(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The kept columns and ``score`` (0 to 1) of each whole text."""
     src = docs.select(*keep, F.col(text_col).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[:-1])
     sent = docs.sparkSession.sparkContext.broadcast(model and (model.embed.astype(np.float32), model.softmax, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,4 +192,4 @@ def score_toxicity(docs: DataFrame, model: Model | None, keep: tuple[str, ...] =
                 scores = [own.score(t) if own else 0.0 for t in some.column(some.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(scores, pa.float64())], [*keep, "score"])
 
-    return src.mapInArrow(run, f"{kinds}, score double")
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
