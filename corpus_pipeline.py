@@ -19,17 +19,22 @@ TOXIC_FROM = 0.5
 LANGUAGE_FROM = 0.3
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each row as one value beside its text: no column of ``docs`` can clash with a result's."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train on the labelled documents among ``docs`` and keep those that score below ``TOXIC_FROM``."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score_toxicity(docs.withColumn("_whole", F.col("text")), model, keep=tuple(docs.columns), text_col="_whole")
-    return scored.where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    scored = toxicity.score_toxicity(_rows(docs), model, keep=("row",))
+    return scored.where(F.col("score") < TOXIC_FROM).select("row.*")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a learned language."""
-    found = langid.identify(docs, langid.fit(docs), keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LANGUAGE_FROM)).select(*docs.columns)
+    found = langid.identify(_rows(docs), langid.fit(docs), keep=("row",))
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LANGUAGE_FROM)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
