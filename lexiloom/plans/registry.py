@@ -1,6 +1,6 @@
-"""All queries for the analytics operators and the SQL each must agree with."""
+"""All queries of the analytics operators and the SQL each must agree with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import features, relational, vocabulary  # noqa: F401  they register their queries
+from .common import QUERIES, SQL  # noqa: F401
