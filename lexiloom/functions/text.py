@@ -13,6 +13,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), LETTERS), lambda t: t != "")
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, however often ``fn`` and its lambdas use it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def ngrams(tokens: Column, min_n: int = 1, max_n: int = 1) -> Column:
     """All n-grams as arrays of tokens, shorter ones first.
 
@@ -23,11 +28,11 @@ def ngrams(tokens: Column, min_n: int = 1, max_n: int = 1) -> Column:
     if min_n < 1:
         raise ValueError("min_n must be at least 1")
 
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens) - n + 1)
-        return F.when(F.size(tokens) >= n, F.transform(starts, lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    def of(t: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(t) - n + 1)
+        return F.when(F.size(t) >= n, F.transform(starts, lambda i: F.slice(t, i, n))).otherwise(F.array().cast("array<array<string>>"))
 
-    return F.concat(*(of(n) for n in range(min_n, max_n + 1)))
+    return let(tokens, lambda t: F.concat(*(of(t, n) for n in range(min_n, max_n + 1))))
 
 
 def ngrams_with_flags(tokens: Column, flags: list[str], min_n: int = 1, max_n: int = 1) -> Column:
