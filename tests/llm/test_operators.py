@@ -1,0 +1,384 @@
+"""The training-data operators against brute force, exact round trips and defined edge cases."""
+
+import collections
+import hashlib
+import io
+import math
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from lexiloom.llm import ann, bpe, langid, lm, minhash, packing, toxicity, urlfilter, vecdedup, warc
+from lexiloom.llm.components import components
+
+LONG = "word " * 30_000
+WORD_BPE, BYTE_BPE, PIECES = map(public_tokenizers.path, ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, sig string, component string"
+
+
+def docs_of(spark, rows):
+    """Documents with extra columns whose names clash with results."""
+    return spark.createDataFrame([(i, t, lang, None, None, 0.5, "x", "y") for i, t, lang in rows], DOCS)
+
+
+EDGES = [(1, None, None), (2, "", "en"), (3, LONG, "en"), (4, "Héllo <|endoftext|> wörld\t\n 12", "de"), (4, "Héllo <|endoftext|> wörld\t\n 12", "de"), (None, "a b c d e f", "fr"), (6, " \n\t", None), (7, "x" * 5000, "en")]
+
+
+# packing
+
+
+def test_best_fit_takes_the_tightest_window():
+    where, offset, room = packing.best_fit_decreasing(np.array([5, 4, 3, 3, 2, 1]), 8)
+    assert where.tolist() == [0, 1, 0, 1, 2, 1] and room.tolist() == [0, 0, 6]
+    for w in range(3):
+        spans = sorted((offset[i], [5, 4, 3, 3, 2, 1][i]) for i in np.flatnonzero(where == w))
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
+
+
+def test_best_fit_against_brute_force():
+    lengths = np.random.default_rng(1).integers(1, 64, 500)
+    rooms = []
+    for n in sorted(lengths.tolist(), reverse=True):
+        fit = [r for r in rooms if r >= n]
+        if fit:
+            rooms.remove(min(fit))
+            rooms.append(min(fit) - n)
+        else:
+            rooms.append(64 - n)
+    assert sorted(packing.best_fit_decreasing(lengths, 64)[2].tolist()) == sorted(rooms)
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    rows = packing.pack_documents(docs_of(spark, EDGES), WORD_BPE).collect()
+    tok = Tokenizer.from_file(WORD_BPE)
+    whole = collections.defaultdict(list)
+    for r in rows:
+        whole[r["doc_id"], r["doc_tokens"]].append(r)
+    for i, t, _ in EDGES:
+        want = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
+        pieces = sorted(whole[i, len(want) // 4], key=lambda r: r["start"])
+        assert want in {b"".join(r["ids"] for r in pieces), b"".join(r["ids"] for r in pieces[::2])}
+    by_seq = collections.defaultdict(list)
+    for r in rows:
+        by_seq[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in by_seq.values():
+        at = 0
+        for o, n in sorted(spans):
+            assert o == at
+            at += n
+        assert at <= packing.WINDOW
+    assert packing.pack_documents(docs_of(spark, []), WORD_BPE).count() == 0
+
+
+# BPE
+
+
+def test_bpe_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    texts = [t for _, t, _ in EDGES] + ["I'll don't 're  two  spaces\n\n\nlines \t tab", "日本語 émoji 😂👍🏽", "\x1c\x85  odd   spaces ", "aaaaaaaaaaaaaaaaaaab", "%%%***&&& 123456 ²³"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = bpe.decode_documents(bpe.encode_documents(df, BYTE_BPE), BYTE_BPE).collect()
+    tok = Tokenizer.from_file(BYTE_BPE)
+    for r in rows:
+        ids = tok.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["n_tokens"] == len(ids)
+        assert r["decoded"] == tok.decode(ids, skip_special_tokens=False) == (texts[r["doc_id"]] or "")
+    assert bpe.encode_documents(df.limit(0), BYTE_BPE).count() == 0
+
+
+def test_bpe_compatibility_decides_as_merging_does():
+    codec = bpe.codec(BYTE_BPE)
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 50_000, 3000), rng.integers(0, 50_000, 3000)
+    sound = np.array([codec.merge(codec.bytes_of[t]) == [t] for t in x]) & np.array([codec.merge(codec.bytes_of[t]) == [t] for t in y])
+    fine = codec.compatible(x, y)
+    for a, b, ok, s in zip(x.tolist(), y.tolist(), fine, sound):
+        if s:
+            assert ok == (codec.merge(codec.bytes_of[a] + codec.bytes_of[b]) == [a, b])
+    assert codec.merge(b"") == []
+
+
+# near duplicates
+
+
+def brute_groups(rows, percent):
+    def shingles(t):
+        w = (t or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    ids = {g: min((rows[k][0] for k in range(len(rows)) if group[k] == g and rows[k][0] is not None), default=None) for g in set(group)}
+    return collections.Counter((rows[k][0], len(sets[k]), ids[g] if sets[k] else rows[k][0]) for k, g in enumerate(group))
+
+
+def test_near_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    rows = [(100 + k, t) for k, (_, t, _) in enumerate(EDGES)] + [(None, "a b c d e f"), (3, LONG.upper()), (1, "one two"), (2, "One two"), (9, "one three")]
+    hot = " ".join(f"hot{k}" for k in range(12))
+    for c in range(6):
+        base = [f"w{c}_{k}" for k in range(60)]
+        for copy in range(12):
+            words = list(base)
+            for k in rng.integers(0, 60, copy // 2):
+                words[k] = f"new{rng.integers(1e9)}"
+            rows.append((1000 + 20 * c + copy, f"{hot} {' '.join(words)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cls", F.lit(1)).withColumn("n_shingles", F.lit("x"))
+    got = minhash.near_duplicates(df, 85).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_groups(rows, 85)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    assert minhash.near_duplicates(df.limit(0), 85).count() == 0
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**63, 1300, dtype=np.uint64)
+    for n in (1, 3, 40, 1000):
+        s = np.unique(pool[:n])
+        assert len(minhash.signature(s, 180)) == 180
+    a, b = np.unique(pool[:1000]), np.unique(pool[100:1100])
+    assert abs((minhash.signature(a, 2048) == minhash.signature(b, 2048)).mean() - 900 / 1100) < 0.05
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102), (7, 7), (None, 3)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+# language model
+
+
+def test_lattice_sums_all_segmentations():
+    lattice = lm.Lattice([lm.MARK.encode(), (lm.MARK + "a").encode(), (lm.MARK + "ab").encode(), b"a", b"b", b"ab", b"c"])
+    rng = np.random.default_rng(0)
+    lattice.start(rng.normal(size=7))
+
+    def brute(word):
+        def inner(at):
+            if at == len(word):
+                return math.exp(lattice.log_end)
+            return sum(math.exp(lattice.logp[i]) * inner(at + len(p)) for p, i in lattice.inner.items() if word.startswith(p, at))
+
+        return sum(math.exp(lattice.logp[i]) * inner(len(p)) for p, i in lattice.first.items() if word.startswith(p))
+
+    words = [b"", b"a", b"ab", b"abab", b"abcab", b"aabbc"]
+    assert np.allclose(np.exp(lattice.score(words)), [brute(w) for w in words])
+    total, used, ends = lattice.forward(words, np.ones(len(words)))
+    assert np.allclose(np.exp(total), [brute(w) for w in words]) and ends == len(words)
+    assert used[lattice.starts].sum() == pytest.approx(len(words))
+
+
+def test_lm_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HOT_WORDS", 3)  # the others are joined
+    rows = [(i, t) for i, t in enumerate(["the cat sat", "The dog sat down", None, "", "the the the unseenword", LONG, "the cat sat"])] + [(0, "the cat sat"), (None, "the end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("clash"))
+    got = lm.score_documents(df, PIECES, "coalesce(doc_id, 99) % 3 <> 1").collect()
+    words = lambda t: [*(t or "").lower().split(), None]
+    train = collections.Counter(w for i, t in rows if (99 if i is None else i) % 3 != 1 for w in words(t))
+    n, v = sum(train.values()), len(train)
+    want = collections.Counter()
+    for i, t in rows:
+        want[i, len(words(t)), sum(train[w] > 0 for w in words(t)), n, round(sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words(t)), 5)] += 1
+    assert collections.Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
+    assert all(r["score"] < 0 for r in got)
+    same = {r["score"] for r in got if r["doc_id"] == 0}
+    assert len(same) == 1
+    empty = lm.score_documents(df.limit(0), PIECES, "true")
+    assert empty.count() == 0
+
+
+# toxicity and language
+
+
+def test_toxicity(spark):
+    rng = np.random.default_rng(4)
+    vocab = ["".join(rng.choice(list("etaoinsr"), rng.integers(2, 7))) for _ in range(300)]
+    rows = []
+    for i in range(240):
+        words = list(rng.choice(vocab, 80))
+        if i % 3 == 0:
+            for k in rng.integers(0, 80, 4):
+                words[k] = rng.choice(["idiot", "scumbag"])
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i < 160] + [(1, None), (None, 1), (0, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    edge = docs_of(spark, EDGES).select("doc_id", "text", F.lit(1).alias("score"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert np.mean([(got[i] >= 0.5) == y for i, _, y in rows if i >= 160]) > 0.9
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score_toxicity(edge.select("doc_id", "text"), model).collect())
+    clean = " ".join(rng.choice(vocab, 100))
+    probe = spark.createDataFrame([(1, clean), (2, clean + " you idiott and scumbagg " * 3), (3, (clean + " ") * 30 + " idiot scumbag idiot")], "doc_id long, text string")
+    s = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(probe, model).collect()}
+    assert s[1] < 0.5 < s[3] and s[2] > s[1]
+    assert toxicity.fit(docs.limit(0), labels) is None
+    assert {r["score"] for r in toxicity.score_toxicity(docs.limit(2), None).collect()} == {0.0}
+
+
+def test_language(spark):
+    rng = np.random.default_rng(6)
+    syllables = {"en": "th er on an re he in ed nd ha".split(), "de": "ich ein sch der ung ver zu kei heit lich".split(), "fr": "que eau ent ou eux ment oi ai elle tre".split(), "es": "cion ado que os la ar ción es mente ida".split()}
+    rows = [(i, " ".join("".join(rng.choice(syllables[lang], rng.integers(1, 4))) for _ in range(40)), lang) for i, lang in enumerate(list(syllables) * 40)]
+    docs = spark.createDataFrame(rows + [(900, "no label here", None)], "doc_id long, text string, lang string")
+    model = langid.fit(docs.where("doc_id % 4 <> 9 and doc_id % 5 > 0"))
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    assert np.mean([got[i]["lang_pred"] == lang for i, _, lang in rows if i % 5 == 0]) > 0.9
+    edge = langid.identify(docs_of(spark, EDGES).select("doc_id", "text"), model).collect()
+    assert {(r["lang_pred"], r["score"]) for r in edge if r["doc_id"] in (1, 2, 6)} == {("und", 0.0)}
+    assert all(0 <= r["score"] <= 1 for r in edge)
+    assert langid.fit(docs.limit(0)) is None
+    assert langid.identify(docs.limit(1), None).first()["lang_pred"] == "und"
+
+
+# WARC
+
+
+def test_warc_every_split_size(spark):
+    big = "".join(map(str, range(2000)))
+    rows = [(1, "http://a/ x\n", "small"), (2, None, None), (3, "http://b/", big), (5, "http://c/", big), (4, "http://d/", big), (5, "http://c/", big), (None, "http://e/", big), (7, "u", LONG * 5), (8, "u", "\x1f\u008b\x08" * 500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(0)).withColumn("payload", F.lit(0))
+    want = None
+    for split in (64, 1000, 1 << 25):
+        got = sorted(((r["record_id"], r["record_type"], r["refers_to"], r["payload_length"], r["payload_digest"]) for r in warc.archive(pages, split).collect()), key=repr)
+        assert want in (None, got)
+        want = got
+    types = collections.Counter((r[0], r[1], r[2]) for r in want)
+    assert types == collections.Counter({("urn:page:1", "response", None): 1, ("urn:page:2", "response", None): 1, ("urn:page:3", "revisit", "urn:page:5"): 1, ("urn:page:4", "revisit", "urn:page:5"): 1, ("urn:page:5", "response", None): 2, ("urn:page:none", "revisit", "urn:page:5"): 1, ("urn:page:7", "response", None): 1, ("urn:page:8", "response", None): 1})
+    assert dict((r[0], r[3:]) for r in want)["urn:page:2"] == (0, hashlib.sha1(b"").hexdigest())
+    assert dict((r[0], r[3:]) for r in want)["urn:page:3"] == (len(big), hashlib.sha1(big.encode()).hexdigest())
+    assert warc.archive(pages.limit(0)).count() == 0
+
+
+def test_warc_rejects_false_magic():
+    good = warc.encode_record("urn:x", "http://x/", b"payload", hashlib.sha1(b"payload").hexdigest(), None)
+    fake = zlib.compress(b"not a record")
+    other = warc.MAGIC + b"\x00" * 20
+    data = other + good + fake + warc.MAGIC + good
+
+    class Stream:
+        def read_at(self, n, at):
+            return io.BytesIO(data[at : at + n]).read()
+
+    for cut in range(0, len(data), 7):
+        found = [o for lo, hi in ((0, cut), (cut, len(data))) for o, _ in warc.scan(Stream(), len(data), lo, hi)]
+        assert found == [len(other), len(data) - len(good)]
+
+
+# URL filters
+
+
+def test_url_filter(spark):
+    import datetime as dt
+
+    d = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    entries = [("h", "a.example.com", "add", d(5)), ("h", "a.example.com", "remove", d(40)), ("h", "a.example.com", "add", d(90)), ("d", "example.com", "add", d(30)), ("f", "b.org/x/", "add", d(0)), ("f", "b.org/x/", "remove", d(0)), ("f", "b.org/x/y/", "add", d(1)), ("h", "a.example.com", "add", d(5)), (None, "c", "add", d(0)), ("h", None, "add", d(0))]
+    urls = ["http://a.example.com/q", "https://A.example.com:80/x/y/z", "http://example.com", "http://b.org/x/y/file", "http://b.org/x/yy", "http://ab.org/", None, "nonsense"]
+    caps = [(u, d(n)) for u in urls for n in (0, 4, 5, 29, 30, 39, 40, 89, 90, 200)] + [(urls[0], None), (urls[0], d(5))]
+    df = spark.createDataFrame(caps, "url string, fetched_on date").withColumn("key", F.lit(1)).withColumn("lists", F.lit("old"))
+    got = urlfilter.filter_urls(df, spark.createDataFrame(entries, "list string, key string, action string, on_date date")).collect()
+    live = [("h", "a.example.com", 5, 40), ("h", "a.example.com", 90, 9999), ("d", "example.com", 30, 9999), ("f", "b.org/x/y/", 1, 9999)]
+
+    def brute(u, on):
+        if u is None or on is None or "://" not in u:
+            return 0, None
+        rest = u.split("://")[1]
+        host = rest.split("/")[0].split(":")[0].lower()
+        path = "/" + rest.split("/", 1)[1] if "/" in rest else ""
+        n = (on - d(0)).days
+        hits = [(li, k) for li, k, lo, hi in live if lo <= n < hi and ((host + path).startswith(k) if "/" in k else host == k or host.endswith("." + k))]
+        return len(hits), (min(hits, key=lambda h: (-len(h[1]), h[1]))[1] if hits else None)
+
+    assert len(got) == len(caps)
+    for r in got:
+        assert (r["n_active"], r["matched_key"]) == brute(r["url"], r["fetched_on"]), r
+        assert r["blocked"] == (r["n_active"] > 0) and r["key"] == 1
+    none = urlfilter.filter_urls(df, spark.createDataFrame([], "list string, key string, action string, on_date date"))
+    assert none.where("blocked").count() == 0 and none.count() == len(caps)
+
+
+# vectors
+
+
+def vectors_of(spark, x, ids=None, labels=None):
+    n = len(x)
+    rows = [(int(ids[i]) if ids is not None else i, [float(v) for v in x[i]], int(labels[i]) if labels is not None else 0) for i in range(n)]
+    bad = [(9001, None, 0), (9002, [0.0] * x.shape[1], 0), (9003, [float("nan")] + [1.0] * (x.shape[1] - 1), 0), (9004, [None] + [1.0] * (x.shape[1] - 1), 0), (9005, [float("inf")] + [1.0] * (x.shape[1] - 1), 0), (9006, [1.0, 2.0], 0)]
+    return spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int").withColumn("v", F.lit("clash")).withColumn("rank", F.lit(0))
+
+
+def test_nearest(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS_A_PART", 300)
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 16))
+    x = (centres[rng.integers(0, 20, 1500)] + 0.5 * rng.normal(size=(1500, 16))).astype(np.float32)
+    x[200:260] = x[200]  # ties
+    got = collections.defaultdict(list)
+    for r in ann.nearest(vectors_of(spark, x), "vec_id % 20 = 0", k=10).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    hit = 0
+    y = x.astype(float)
+    for q in range(0, 1500, 20):
+        s = (y * y[q]).sum(1)
+        order = [i for i in np.lexsort((np.arange(1500), -s)) if i != q][:10]
+        mine = sorted(got[q])
+        assert [r for r, _, _ in mine] == list(range(1, 11))
+        assert all(abs(s[i] - v) < 1e-9 for _, i, v in mine)
+        assert [i for _, i, _ in mine] == sorted((i for _, i, _ in mine), key=lambda i: (-s[i], i))
+        hit += len({i for _, i, _ in mine} & set(order))
+    assert hit / (75 * 10) >= 0.9
+    few = ann.nearest(vectors_of(spark, x[:4]), "true", k=10)
+    assert few.count() == 12
+    assert ann.nearest(vectors_of(spark, x[:1]).limit(0), "true").count() == 0
+
+
+def test_vector_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(vecdedup, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 32))
+    x = np.concatenate([base, base[:20] + 0.2 * rng.normal(size=(20, 32)), np.repeat(base[:1], 40, 0) + 0.15 * rng.normal(size=(40, 32)), np.repeat(base[1:2], 9, 0), base[2:3] * 3]).astype(np.float32)
+    labels = rng.integers(0, 2, len(x))
+    ids = rng.permutation(len(x))
+    df = vectors_of(spark, x, ids, labels).union(spark.createDataFrame([(7000, [1.0] * 32, None), (7001, [1.0] * 32, None)], "vec_id long, embedding array<float>, label int").withColumn("v", F.lit("c")).withColumn("rank", F.lit(0)))
+    got = {r["vec_id"]: r for r in vecdedup.near_duplicates(df).collect()}
+    assert len(got) == len(x) + 8
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = (u @ u.T >= 0.93) & (labels[:, None] == labels[None])
+    np.fill_diagonal(link, False)
+    group = minhash._groups(link)
+    for i in range(len(x)):
+        want = int(ids[group == group[i]].min())
+        r = got[int(ids[i])]
+        assert (r["n_links"], r["component_id"], r["kept"]) == (int(link[i].sum()), want, want == ids[i])
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (7000, 7001, 9001, 9002, 9003, 9004, 9005, 9006))
+    assert vecdedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_estimates_are_unbiased_and_bounded():
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = rng.normal(size=(40, 64))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    turn = vecdedup.rotations(64, 2)
+    codes, factor, _ = vecdedup.encode(x, turn, 8, 8)
+    bound = vecdedup.upper_bounds(q @ turn[:, :64], codes, factor)
+    true = q @ x.T
+    slack = vecdedup.SIGMAS * np.sqrt((1 - factor**2) / factor**2 / 63)
+    assert abs((bound - slack[None] - true).mean()) < 0.005
+    assert (bound >= true).mean() > 0.9999
