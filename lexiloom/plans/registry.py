@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import features, relational, vocabulary  # noqa: F401  they register their queries
+from . import features, relational, text, vocabulary  # noqa: F401  they register their queries
 from .common import QUERIES, SQL  # noqa: F401
