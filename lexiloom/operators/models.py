@@ -6,6 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml import classification as ml
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -84,9 +86,6 @@ class RandomFourier(Transformer):
         self.gamma, self.size, self.seed = gamma, size, seed
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        import numpy as np
-        import pandas as pd
-
         gamma, size, seed = self.gamma, self.size, self.seed
 
         @F.pandas_udf("array<double>")

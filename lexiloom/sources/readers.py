@@ -6,15 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Columns of a post and what they are called in raw tweets and comments.
 TWEET = {"user_id_str": "user_id_str", "created_utc": "created_utc", "text": "text", "id_str": "tweet_id"}
 COMMENT = {"author": "user_id_str", "created_utc": "created_utc", "body": "text", "id": "comment_id", "subreddit": "subreddit"}
 SUBMISSION = {"author": "user_id_str", "created_utc": "created_utc", "selftext": "text", "title": "title", "id": "submission_id", "subreddit": "subreddit"}
 
-USER_JSON = T.StructType.fromDDL("id string, label array<string>, posts array<array<string>>")
-METADATA = T.StructType.fromDDL("user_id_str string, depression string, gender string, age double, datasets array<string>, split string, num_posts long, num_words long")
+USER_JSON = "id string, label array<string>, posts array<array<string>>"
+METADATA = "user_id_str string, depression string, gender string, age double, datasets array<string>, split string, num_posts long, num_words long"
 
 
 def rename(df: DataFrame, schema: dict[str, str], tolerant: bool = False) -> DataFrame:
