@@ -21,6 +21,23 @@ def position(df: DataFrame, order: str, name: str = "idx", prefix: int = 2) -> D
     return rows.withColumn("_local", local).join(starts, "_group").withColumn(name, F.col("_start") + F.col("_local")).drop("_group", "_start", "_local")
 
 
+def rank_of(df: DataFrame, value: Column, tie: str, name: str, buckets: int = 1000) -> DataFrame:
+    """Zero-based rank of each row, the largest value first and ties by ``tie``.
+
+    Values are dealt into ranges; rows are ordered within their range only, and the ranges' sizes,
+    at most ``buckets``, are summed up in order.
+    """
+    rows = df.withColumn("_v", value.cast("double"))
+    ends = F.broadcast(rows.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))  # one row
+    at = F.floor((F.col("_hi") - F.col("_v")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300)) * (buckets - 1))
+    rows = rows.crossJoin(ends).withColumn("_b", at).drop("_lo", "_hi")
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    starts = F.broadcast(sizes.select("_b", before.alias("_start")))
+    local = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("_v"), tie)) - 1
+    return rows.withColumn("_local", local).join(starts, "_b").withColumn(name, F.col("_start") + F.col("_local")).drop("_v", "_b", "_local", "_start")
+
+
 def average_rank(value: Column, by: list[str], descending: bool = True) -> Column:
     """Rank in which equal values share the mean of their places."""
     w = Window.partitionBy(*by).orderBy(value.desc() if descending else value.asc())

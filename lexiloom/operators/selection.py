@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import rank_of
+
 
 def class_counts(dtm: DataFrame, labels: DataFrame, binarize: bool = True) -> DataFrame:
     """(term, y, n) with zeros where a class lacks a term."""
@@ -50,8 +52,8 @@ def kl_scores(dtm: DataFrame, labels: DataFrame, stopwords: list[str], smoothing
     one = F.col("p") * F.log(F.col("p") / F.col("q"))
     both = one + F.col("q") * F.log(F.col("q") / F.col("p")) if symmetric else one
     out = p.join(stop, "y").groupBy("term").agg(F.sum(F.col("w") * both).alias("divergence")).join(p.groupBy("term").agg(F.sum("n").alias("df")), "term")
-    rank = lambda c: (F.row_number().over(Window.orderBy(F.desc(F.round(c, 9)), "term")) - 1).cast("double")
-    return out.withColumn("rank", (1.0 - beta) * rank("divergence") + beta * rank("df"))
+    out = rank_of(rank_of(out, F.round("divergence", 9), "term", "_by_divergence"), F.col("df"), "term", "_by_df")
+    return out.withColumn("rank", F.lit(1.0 - beta) * F.col("_by_divergence") + F.lit(float(beta)) * F.col("_by_df")).drop("_by_divergence", "_by_df")
 
 
 def select_top(scores: DataFrame, k: int, min_support: int = 0) -> DataFrame:
