@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stash
 from .ranking import rank_of
 
 
@@ -34,11 +35,10 @@ def pmi_top_k(scores: DataFrame, k: int, y: int = 1, min_support: int = 1) -> Da
     return scores.where((F.col("y") == y) & (F.col("n") >= min_support)).orderBy(F.desc("pmi"), "term").limit(k)
 
 
-def kl_scores(dtm: DataFrame, labels: DataFrame, stopwords: list[str], smoothing: float = 0.01, beta: float = 0.5, symmetric: bool = True) -> DataFrame:
-    """(term, divergence, df, rank): divergence of a term's class profile from the stopwords'.
+def kl_scores(dtm: DataFrame, labels: DataFrame, stopwords: list[str], smoothing: float = 0.01, symmetric: bool = True) -> DataFrame:
+    """(term, divergence, df): divergence of a term's class profile from the stopwords'.
 
-    Each stopword weighs by its smoothed share of users.  ``rank`` mixes the ranks of divergence
-    and of frequency by ``beta``; 0 is best and ties go to the smaller term.
+    Each stopword weighs by its smoothed share of users.
     """
     if not stopwords:
         raise ValueError("no stopword to compare with")
@@ -51,8 +51,17 @@ def kl_scores(dtm: DataFrame, labels: DataFrame, stopwords: list[str], smoothing
     stop = F.broadcast(stop.select(F.col("term").alias("s"), F.col("y"), F.col("p").alias("q"), weight.alias("w")))
     one = F.col("p") * F.log(F.col("p") / F.col("q"))
     both = one + F.col("q") * F.log(F.col("q") / F.col("p")) if symmetric else one
-    out = p.join(stop, "y").groupBy("term").agg(F.sum(F.col("w") * both).alias("divergence")).join(p.groupBy("term").agg(F.sum("n").alias("df")), "term")
-    out = rank_of(rank_of(out, F.round("divergence", 9), "term", "_by_divergence"), F.col("df"), "term", "_by_df")
+    return p.join(stop, "y").groupBy("term").agg(F.sum(F.col("w") * both).alias("divergence")).join(p.groupBy("term").agg(F.sum("n").alias("df")), "term")
+
+
+def mixed_rank(scores: DataFrame, beta: float = 0.5) -> DataFrame:
+    """``scores`` with ``rank``, the ranks of divergence and of frequency mixed by ``beta``.
+
+    0 is best and ties go to the smaller term.  The scores become a table first: ranking reads them
+    several times.
+    """
+    out = rank_of(stash(scores, "scores"), F.round("divergence", 9), "term", "_by_divergence")
+    out = rank_of(stash(out, "ranks"), F.col("df"), "term", "_by_df")
     return out.withColumn("rank", F.lit(1.0 - beta) * F.col("_by_divergence") + F.lit(float(beta)) * F.col("_by_df")).drop("_by_divergence", "_by_df")
 
 

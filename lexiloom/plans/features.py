@@ -59,7 +59,7 @@ def kl_scores(spark, sf):
 @query("kl_select_top", KL + """, r AS (SELECT term, df, divergence, 0.5::DOUBLE * (row_number() OVER (ORDER BY round(divergence, 9) DESC, term) - 1) + 0.5::DOUBLE * (row_number() OVER (ORDER BY df DESC, term) - 1) AS rank FROM k)
 SELECT term, df::BIGINT AS df, rank FROM r WHERE df >= 2 ORDER BY rank, term LIMIT 100""")
 def kl_select_top(spark, sf):
-    return fs.select_top(fs.kl_scores(_dtm(spark, sf), toxic_labels(spark, sf), STOPWORDS), 100, 2).select("term", "df", "rank")
+    return fs.select_top(fs.mixed_rank(fs.kl_scores(_dtm(spark, sf), toxic_labels(spark, sf), STOPWORDS)), 100, 2).select("term", "df", "rank")
 
 
 RATIO = f"""WITH {DTM}, z AS (SELECT count(*) FILTER (y = 0)::DOUBLE AS n0, count(*) FILTER (y = 1)::DOUBLE AS n1 FROM lab),
