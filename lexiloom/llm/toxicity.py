@@ -26,16 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import segments, words_of
+from .common import segments, stash, words_of
 
 BUCKETS = 1 << 16
 DIMS = 4
 GRAMS = (3, 4, 5)
 WINDOW = 128
 #: The bounded training sample: at most so many documents, of at most so many characters.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 700, 1400, 8_000
-EPOCHS = 60
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1_000, 2_000, 8_000
+EPOCHS = 150
 #: A bucket takes part if the classes' shares of documents with it differ by so many standard errors.
+#: Only what these buckets hold of the sample reaches the driver.
 LEAST_Z = 4.0
 DECAY = 2e-6
 CACHED_WORDS = 500_000
@@ -56,20 +57,27 @@ def _windows(n: int) -> list[tuple[int, int]]:
     return [(at, min(n, at + WINDOW)) for at in range(0, n - WINDOW // 2, WINDOW // 2)]
 
 
-def _rows(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, weights) of each window of a text."""
+def _rows(words: list[bytes], seen: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, weights) of each window of a text, of the buckets that take part."""
     out = []
     for lo, hi in _windows(len(words)):
-        ids, vals = [], []
+        total: dict[int, float] = {}
         for w in words[lo:hi]:
             b = word_buckets(w)
-            ids += b
-            vals += [1.0 / (len(b) * (hi - lo))] * len(b)
-        u, back = np.unique(np.array(ids, np.int64), return_inverse=True)
-        out.append((u.astype(np.int32), np.bincount(back, vals, len(u)).astype(np.float32)))
+            for i in b:
+                if seen[i]:
+                    total[i] = total.get(i, 0.0) + 1.0 / (len(b) * (hi - lo))
+        out.append((np.fromiter(total, np.int32, len(total)), np.fromiter(total.values(), np.float32, len(total))))
     return out
 
 
+def significant(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Buckets whose shares of documents differ between the classes by ``LEAST_Z`` standard errors."""
+    n1, n0 = max(1, n_toxic), max(1, n_clean)
+    rate = (toxic + clean + 0.5) / (n1 + n0 + 1)
+    return np.abs(toxic / n1 - clean / n0) >= LEAST_Z * np.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
+
+
 class Model:
     def __init__(self, embed: np.ndarray, softmax: np.ndarray, bias: float):
         self.embed, self.softmax, self.bias = embed, softmax, bias
@@ -107,21 +115,11 @@ def train(windows: list[list[tuple[np.ndarray, np.ndarray]]], labels: np.ndarray
     flat = [w for ws in windows for w in ws]
     owner = np.repeat(np.arange(len(windows)), [len(ws) for ws in windows])
     ids, vals = np.concatenate([w[0] for w in flat]), np.concatenate([w[1] for w in flat])
-    sizes = np.array([len(w[0]) for w in flat])
-    row = np.repeat(np.arange(len(flat)), sizes)
+    row = np.repeat(np.arange(len(flat)), [len(w[0]) for w in flat])
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    held = np.unique(owner[row] * BUCKETS + ids.astype(np.int64))
-    toxic = labels[held // BUCKETS] == 1
-    with_it = [np.bincount(held[t] % BUCKETS, minlength=BUCKETS) for t in (toxic, ~toxic)]
-    n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
-    rate = (with_it[0] + with_it[1] + 0.5) / (n1 + n0 + 1)
-    z = (with_it[0] / n1 - with_it[1] / n0) / np.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
-    seen = np.abs(z) >= LEAST_Z
-    taken = seen[ids]
-    ids, vals, row = ids[taken], vals[taken], row[taken]
     sizes = np.bincount(row, minlength=len(flat))
     cuts, full = np.r_[0, np.cumsum(sizes)[:-1]], sizes > 0
-    weight = np.where(labels == 1, 2.0, 1.0) / len(labels)
+    weight = np.full(len(labels), 1.0 / len(labels))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (embed, softmax, np.zeros(1))]
     for step in range(1, epochs + 1):
         vec = np.zeros((len(flat), DIMS))
@@ -146,7 +144,7 @@ def train(windows: list[list[tuple[np.ndarray, np.ndarray]]], labels: np.ndarray
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         bias = float(values[2][0])
         embed[np.abs(embed) < 1e-12] = 0.0
-    embed[~seen] = 0.0
+    embed[~np.isin(np.arange(BUCKETS), ids)] = 0.0
     return Model(embed, softmax, bias)
 
 
@@ -157,16 +155,34 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model |
     ids = y.where("y = 1").orderBy(order, "doc_id").limit(SAMPLE_TOXIC).union(y.where("y = 0").orderBy(order, "doc_id").limit(SAMPLE_CLEAN))
     sample = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
+    sample = stash(sample.select("doc_id", "y", "text"), "labelled")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, BUCKETS), np.int64)
+        docs_of = np.zeros(2, np.int64)
+        for b in batches:
+            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                docs_of[y] += 1
+                held[y, list({i for w in set(words_of(t.encode())) for i in word_buckets(w)})] += 1
+        y, at = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[y, 0, 1], pa.int32()), pa.array(np.r_[at, -1, -1], pa.int32()), pa.array(np.r_[held[y, at], docs_of])], ["y", "bucket", "n"])
+
+    counts = sample.select("y", "text").mapInArrow(count, "y int, bucket int, n long").groupBy("bucket").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic")).toArrow()
+    bucket, clean, toxic = (counts[c].to_numpy() for c in ("bucket", "clean", "toxic"))
+    held, total = np.zeros((2, BUCKETS), np.int64), (int(clean[bucket < 0].sum()), int(toxic[bucket < 0].sum()))
+    held[0, bucket[bucket >= 0]], held[1, bucket[bucket >= 0]] = clean[bucket >= 0], toxic[bucket >= 0]
+    sent = docs.sparkSession.sparkContext.broadcast(significant(held[1], held[0], total[1], total[0]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 some = b.slice(at, 64)
-                rows = [(d, y, n, i.tobytes(), v.tobytes()) for d, y, t in zip(*(c.to_pylist() for c in some.columns), strict=True) for n, (i, v) in enumerate(_rows(words_of(t.encode())))]
+                rows = [(d, y, n, i.tobytes(), v.tobytes()) for d, y, t in zip(*(c.to_pylist() for c in some.columns), strict=True) for n, (i, v) in enumerate(_rows(words_of(t.encode()), sent.value))]
                 cols = zip(*rows, strict=True) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [some.column(0).type, pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["doc_id", "y", "n", "ids", "vals"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sample.select("doc_id", "y", "text").mapInArrow(run, f"doc_id {kind}, y int, n int, ids binary, vals binary").toArrow().sort_by([("doc_id", "ascending"), ("n", "ascending")])
+    got = sample.mapInArrow(run, f"doc_id {kind}, y int, n int, ids binary, vals binary").toArrow().sort_by([("doc_id", "ascending"), ("n", "ascending")])
     windows: list[list] = []
     ys: list[int] = []
     last = object()
@@ -176,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model |
             ys.append(y1)
             last = d
         windows[-1].append((np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)))
-    return train(windows, np.array(ys)) if windows and any(len(w[0]) for ws in windows for w in ws) else None
+    return train(windows, np.array(ys)) if any(len(w[0]) for ws in windows for w in ws) else None
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
