@@ -201,9 +201,15 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_i
         for r in range(len(q)):
             near = np.flatnonzero((s[r] >= edge[r]) & (s[r] > -np.inf))
             exact = (q[r] * d[near]).sum(1)  # one order of summation: equal vectors get equal scores
-            for c in np.lexsort((di[near], -exact))[:k]:
-                yield int(qi[r]), int(di[near[c]]), float(exact[c])
-
-    found = map_groups(data.union(ask), ["part", "i", "j"], rank, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            best = np.lexsort((di[near], -exact))[:k]
+            yield int(qi[r]), di[near[best]].astype("<i8").tobytes(), exact[best].tobytes()
+
+    def merge(cols: list, lo: int, hi: int) -> Iterator[tuple]:
+        ids = np.frombuffer(b"".join(cols[1][lo:hi]), "<i8")
+        scores = np.frombuffer(b"".join(cols[2][lo:hi]), "<f8")
+        for r, c in enumerate(np.lexsort((ids, -scores))[:k].tolist(), 1):
+            yield int(cols[0][lo]), r, int(ids[c]), float(scores[c])
+
+    # One row for each query and block, with its best few, then one merge for each query.
+    found = map_groups(data.union(ask), ["part", "i", "j"], rank, "query_id long, ids binary, scores binary")
+    return map_groups(found, ["query_id"], merge, "query_id long, rank int, vec_id long, score double")
