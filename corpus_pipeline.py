@@ -43,8 +43,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     one = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row_key")).alias("d"))
     empty = found.where("component is null").select("doc_id", "row_key")
     kept = one.select("d.doc_id", "d.row_key").union(empty).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & F.md5(docs["text"].cast("binary")).eqNullSafe(F.col("_key"))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("key"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "key"]).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
