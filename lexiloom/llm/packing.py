@@ -11,6 +11,7 @@ Defined cases: a null or empty text is a document of the closing id alone; a nul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ WINDOW = 2048
 EOS_ID = 1
 #: A task packs this many tokens at a time; windows with room left wait for the next lot.
 LOT_TOKENS = 4_000_000
-#: Distinct words whose ids a worker keeps; beyond it, it starts afresh.
-CACHED_WORDS = 700_000
+#: Distinct words whose ids a worker keeps; beyond it, only the first ``KEPT_WORDS`` it met stay,
+#: among which are nearly all frequent ones.
+CACHED_WORDS, KEPT_WORDS = 1_200_000, 500_000
 
 SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -100,8 +102,8 @@ class WordEncoder:
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.cache) + len(words) > CACHED_WORDS:
-            self.cache.clear()
-        fresh = [w for w in words if w not in self.cache]
+            self.cache = dict(islice(self.cache.items(), KEPT_WORDS))
+        fresh = list(words.difference(self.cache))
         for at in range(0, len(fresh), 4096):
             some = fresh[at : at + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
@@ -111,17 +113,13 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []
         for text in texts:
-            parts = []
+            parts: list[bytes] = []
             for segment in segments((text or "").encode()):
                 words = segment.split()
-                missing = {w for w in words if w not in self.cache}
-                if missing:
-                    self.learn(missing)
-                try:
-                    parts += map(self.cache.__getitem__, words)
-                except KeyError:  # the cache began afresh under this segment
-                    self.learn(set(words))
-                    parts += map(self.cache.__getitem__, words)
+                distinct = set(words)
+                if not self.cache.keys() >= distinct:
+                    self.learn(distinct)
+                parts += map(self.cache.__getitem__, words)
             out.append(b"".join(parts))
         return out
 
