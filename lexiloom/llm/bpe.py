@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .caches import hold
+
 #: Distinct chunks whose ids a worker keeps; beyond it, it starts afresh.
 CACHED_CHUNKS = 600_000
 #: Characters encoded at a time, so that long texts need little memory.
@@ -223,6 +225,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
+        hold("bpe", lambda: c.cache.clear())
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)

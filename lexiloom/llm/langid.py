@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .caches import hold
 from .common import segments
 
 DIMS = 1 << 13
@@ -161,6 +162,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("langid", lambda: None)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .caches import hold
 from .common import segments, stash, words_of
 from .components import components
 from .grouping import map_groups
@@ -118,6 +119,7 @@ def sketch(docs: DataFrame, threshold: float, words: int = WORDS) -> DataFrame:
     bins = band_count(threshold) * BAND_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("minhash", _HASHES.clear)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 some = b.slice(at, 512)

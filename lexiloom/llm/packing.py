@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .caches import hold
 from .common import segments
 
 WINDOW = 2048
@@ -147,6 +148,7 @@ class _Lot:
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, eos: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     enc, closing = encoder(path), np.array([eos], "<u4").tobytes()
+    hold("packing", lambda: enc.cache.clear())
     first = TaskContext.get().partitionId() << 36
     made = 0
     lot = _Lot()

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .caches import hold
 from .common import segments, stash, words_of
 
 BUCKETS = 1 << 16
@@ -202,6 +203,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, keep: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value and Model(*sent.value)
+        hold("toxicity", lambda: None)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 some = b.slice(at, 512)
