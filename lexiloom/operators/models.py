@@ -39,6 +39,14 @@ def to_vectors(features: DataFrame, size: int, key: str = "idx", value: str = "n
     return rows.select("source", sparse(F.col("p.i"), F.col("p.v")).alias("features"))
 
 
+def with_empty(df: DataFrame, size: int) -> DataFrame:
+    """``df`` with an empty vector where ``features`` is null: a source none of whose terms the vocabulary holds."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    empty = F.udf(lambda: SparseVector(size, [], []), VectorUDT())
+    return df.withColumn("features", F.coalesce("features", empty()))
+
+
 class BoostedTrees:
     """SAMME boosting of weighted decision trees for two classes; each round reweights in one pass."""
 

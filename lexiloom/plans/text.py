@@ -11,6 +11,7 @@ from ..operators import sampling as sm
 from ..operators.loader import PostLoader, expand_patterns
 from ..operators.vocabulary import Vocabulary, vectorize
 from ..sources import readers
+from ..sources.scratch import stash
 from .common import corpus, query, rounded, table, toxic_labels
 
 
@@ -59,12 +60,14 @@ def json_props(spark, sf):
 
 
 def _labelled(spark, sf):
+    """(source, label, fold, features) of every labelled document over all terms; one without terms has an empty vector."""
     c = corpus(spark, sf, "doc_id")
-    vocab = Vocabulary(min_freq=20, max_size=2000)
-    counts, terms = vocab.counts(c), vocab.fit(c)
+    vocab = Vocabulary()
+    terms = stash(vocab.fit(c), "terms")
     size = terms.count()
-    vectors = mo.to_vectors(vectorize(counts, terms), size)
-    return sm.stratified_folds(vectors.join(toxic_labels(spark, sf).withColumnRenamed("y", "label"), "source"), "label", "source", 2)
+    folds = sm.stratified_folds(toxic_labels(spark, sf).withColumnRenamed("y", "label").join(c.select("source"), "source", "left_semi"), "label", "source", 2)
+    vectors = mo.to_vectors(vectorize(vocab.counts(c.join(folds, "source", "left_semi")), terms), size)
+    return stash(mo.with_empty(folds.join(vectors, "source", "left"), size), "labelled")
 
 
 @query("logistic_fit")
@@ -96,4 +99,7 @@ def lda_topics(spark, sf):
     from pyspark.ml.clustering import LDA
 
     data = _labelled(spark, sf)
-    return rounded(LDA(k=3, maxIter=3, seed=42).fit(data).transform(data).select("source", F.posexplode(mo.vector_to_array("topicDistribution")).alias("topic", "weight")), "weight")
+    topics = mo.vector_to_array("topicDistribution")
+    even = F.transform(topics, lambda w: F.lit(1.0) / F.size(topics))  # Spark's zeros of an empty vector
+    topics = F.when(F.exists(topics, lambda w: w > 0), topics).otherwise(even)
+    return rounded(LDA(k=3, maxIter=3, seed=42).fit(data).transform(data).select("source", F.posexplode(topics).alias("topic", "weight")), "weight")
