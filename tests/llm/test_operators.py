@@ -182,6 +182,16 @@ def test_lattice_sums_all_segmentations():
     assert used[lattice.starts].sum() == pytest.approx(len(words))
 
 
+def test_every_ordinary_piece_is_an_arc():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ordinary = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    ordinary = {p.encode() for p in ordinary if lm.MARK not in p[1:]}
+    assert max(map(len, ordinary)) > 19
+    assert ordinary <= set(lm.load_pieces(PIECES)[0])
+
+
 def test_lm_scores(spark, monkeypatch):
     monkeypatch.setattr(lm, "HOT_WORDS", 3)  # the others are joined
     rows = [(i, t) for i, t in enumerate(["the cat sat", "The dog sat down", None, "", "the the the unseenword", LONG, "the cat sat"])] + [(0, "the cat sat"), (None, "the end")]
