@@ -3,7 +3,8 @@
 A word is the bag of its hashed character n-grams and of itself; its vector is their mean, and a
 text's vector is the mean of its words'.  A two-class softmax reads it.  Embeddings and softmax
 are fitted together by Adam on a bounded sample of labelled rows (``SAMPLE_TOXIC`` and
-``SAMPLE_CLEAN`` documents, taken in the order of a hash of their ids).  An unseen misspelling
+``SAMPLE_CLEAN`` documents of at most ``SAMPLE_CHARS`` characters, taken in the order of a hash of
+their ids).  An unseen misspelling
 shares most n-gram vectors with the word it comes from.
 
 A text is read in overlapping windows of ``WINDOW`` words, whole and to its end; its score is the
@@ -152,9 +153,11 @@ def train(windows: list[list[tuple[np.ndarray, np.ndarray]]], labels: np.ndarray
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model | None:
     """Train on a bounded sample of ``docs(doc_id, text)`` with ``labels(doc_id, <label_col>)``; None without labels."""
     y = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
+    fits = docs.where(F.length("text") <= SAMPLE_CHARS)
+    y = y.join(fits.select("doc_id"), "doc_id", "left_semi")  # before the limits, so that no other id takes a place
     order = F.xxhash64("doc_id")
     ids = y.where("y = 1").orderBy(order, "doc_id").limit(SAMPLE_TOXIC).union(y.where("y = 0").orderBy(order, "doc_id").limit(SAMPLE_CLEAN))
-    sample = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = fits.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     sample = stash(sample.select("doc_id", "y", "text"), "labelled")
 

@@ -239,6 +239,20 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score_toxicity(docs.limit(2), None).collect()} == {0.0}
 
 
+def test_toxicity_sample_is_of_documents_that_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 40)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 80)
+    rng = np.random.default_rng(8)
+    vocab = ["".join(rng.choice(list("etaoinsr"), rng.integers(2, 7))) for _ in range(300)]
+    rows = [(i, " ".join([*rng.choice(vocab, 60), *["idiot"] * (2 * (i % 3 == 0))]), int(i % 3 == 0)) for i in range(180)]
+    long = [(1_000 + i, "word " * 2_000, 1) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows + long], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows + long] + [(10_000 + i, i % 2) for i in range(4_000)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model is not None
+    assert np.mean([(model.score(t) >= 0.5) == y for _, t, y in rows]) > 0.9
+
+
 def test_language(spark):
     rng = np.random.default_rng(6)
     syllables = {"en": "th er on an re he in ed nd ha".split(), "de": "ich ein sch der ung ver zu kei heit lich".split(), "fr": "que eau ent ou eux ment oi ai elle tre".split(), "es": "cion ado que os la ar ción es mente ida".split()}
