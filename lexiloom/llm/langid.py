@@ -3,7 +3,8 @@
 Texts are lower-cased, all but letters become spaces, and byte n-grams (one to three) are hashed
 into ``DIMS`` counts, square-rooted and normalised.  A linear softmax picks the family; linear
 support vector machines, one for each pair of languages of a family, vote within it.  Both are
-trained in numpy on a bounded sample (about ``SAMPLE_ROWS`` rows, dealt evenly to the languages).
+trained in numpy on a bounded sample (about ``SAMPLE_ROWS`` rows, dealt evenly to the languages); of a
+text over ``SAMPLE_CHARS`` characters training reads its start, middle and end, identification all.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text when
 there is no training row; rows with a null language teach nothing; a language outside the family
@@ -17,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,9 +134,16 @@ class Model:
         return langs, np.clip(scores, 0.0, 1.0)
 
 
+def _excerpt(text: Column) -> Column:
+    """The text, or of one over ``SAMPLE_CHARS`` characters its start from the first letter on, its middle and its end."""
+    third, whole = SAMPLE_CHARS // 3, F.regexp_replace(text, r"^\P{L}+", "")
+    parts = F.concat_ws(" ", F.substring(whole, 1, third), F.substring(whole, F.floor(F.length(whole) / 2).cast("int"), F.lit(third)), F.substring(whole, -third, third))
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(parts)
+
+
 def fit(docs: DataFrame) -> Model | None:
     """Train on a bounded sample of ``docs(doc_id, text, lang)``; None if there is none."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike(r"\p{L}"))
+    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     langs = rows.select("lang").distinct().count()
     if not langs:
         return None
@@ -143,7 +151,7 @@ def fit(docs: DataFrame) -> Model | None:
     key = F.xxhash64("doc_id", F.length("text"))
     ids = rows.select("doc_id", "lang", F.length("text").alias("n"), key.alias("k")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))).where(F.col("r") <= each)
     ids = ids.select("doc_id", "lang", "n").distinct()
-    sample = rows.withColumn("n", F.length("text")).join(F.broadcast(ids), ["doc_id", "lang", "n"]).groupBy("doc_id", "lang", "n").agg(F.min("text").alias("text"))
+    sample = rows.withColumn("n", F.length("text")).join(F.broadcast(ids), ["doc_id", "lang", "n"]).withColumn("text", _excerpt(F.col("text"))).groupBy("doc_id", "lang", "n").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -268,6 +268,15 @@ def test_language(spark):
     assert langid.identify(docs.limit(1), None).first()["lang_pred"] == "und"
 
 
+def test_language_of_long_documents_only(spark):
+    texts = {"en": "the hand and one ring in her den ", "de": "ich schreibe eine lange verordnung "}
+    rows = [(i, ("1 " * 15_000 + texts["de"] * 900) if i % 2 else texts["en"] * 5, ["en", "de"][i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.langs == ["de", "en"]
+    assert all(r["lang_pred"] == ["en", "de"][r["doc_id"] % 2] for r in langid.identify(docs, model).collect())
+
+
 # WARC
 
 
