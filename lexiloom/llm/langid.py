@@ -3,12 +3,15 @@
 Texts are lower-cased, all but letters become spaces, and byte n-grams (one to three) are hashed
 into ``DIMS`` counts, square-rooted and normalised.  A linear softmax picks the family; linear
 support vector machines, one for each pair of languages of a family, vote within it.  Both are
-trained in numpy on a bounded sample (about ``SAMPLE_ROWS`` rows, dealt evenly to the languages); of a
-text over ``SAMPLE_CHARS`` characters training reads its start, middle and end, identification all.
+trained in numpy on a bounded sample (about ``SAMPLE_ROWS`` rows, dealt evenly to the languages, at
+least ``SAMPLE_LEAST`` of each, in the order of a hash).  Training and identification read whole texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text when
 there is no training row; rows with a null language teach nothing; a language outside the family
-table is a family of its own; repeated rows get the same result; other columns are ignored.
+table is a family of its own; of languages with equal votes the one with the larger sum of the
+machines' certainties, then the first by code; repeated rows get the same result and count once in
+training; very long texts are read in segments; other columns are ignored, and kept ones named
+``lang_pred`` or ``score`` give way to the results.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +29,7 @@ from .caches import hold
 from .common import segments
 
 DIMS = 1 << 13
-SAMPLE_ROWS, SAMPLE_LEAST, SAMPLE_CHARS = 2_000, 40, 20_000
+SAMPLE_ROWS, SAMPLE_LEAST = 2_000, 40
 #: Families of languages by ISO 639-1 code.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy yi",
@@ -134,30 +137,26 @@ class Model:
         return langs, np.clip(scores, 0.0, 1.0)
 
 
-def _excerpt(text: Column) -> Column:
-    """The text, or of one over ``SAMPLE_CHARS`` characters its start from the first letter on, its middle and its end."""
-    third, whole = SAMPLE_CHARS // 3, F.regexp_replace(text, r"^\P{L}+", "")
-    parts = F.concat_ws(" ", F.substring(whole, 1, third), F.substring(whole, F.floor(F.length(whole) / 2).cast("int"), F.lit(third)), F.substring(whole, -third, third))
-    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(parts)
-
-
 def fit(docs: DataFrame) -> Model | None:
     """Train on a bounded sample of ``docs(doc_id, text, lang)``; None if there is none."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    langs = rows.select("lang").distinct().count()
+    rows = rows.withColumn("k", F.xxhash64("doc_id", F.length("text")))
+    stats = rows.groupBy("lang").agg(F.approx_count_distinct("k").alias("found"))
+    langs = stats.count()
     if not langs:
         return None
     each = max(SAMPLE_LEAST, SAMPLE_ROWS // langs)
-    key = F.xxhash64("doc_id", F.length("text"))
-    ids = rows.select("doc_id", "lang", F.length("text").alias("n"), key.alias("k")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))).where(F.col("r") <= each)
-    ids = ids.select("doc_id", "lang", "n").distinct()
-    sample = rows.withColumn("n", F.length("text")).join(F.broadcast(ids), ["doc_id", "lang", "n"]).withColumn("text", _excerpt(F.col("text"))).groupBy("doc_id", "lang", "n").agg(F.min("text").alias("text"))
+    # Rows whose hash lies below a share of its range, about four times those wanted, before any is ranked.
+    share = F.least(F.lit(1.0), F.lit(4.0 * each) / F.greatest("found", F.lit(1)))
+    few = rows.select("doc_id", "lang", "k").join(stats, "lang").where((F.col("k") / 2.0**64 + 0.5) <= share).select("doc_id", "lang", "k").distinct()
+    ids = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))).where(F.col("r") <= each).select("k", "lang")
+    sample = rows.join(F.broadcast(ids.distinct()), ["k", "lang"]).groupBy("k", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).astype(np.float16).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["k", "lang", "x"])
 
-    got = sample.select(F.xxhash64("doc_id", "n").alias("k"), "lang", "text").mapInArrow(run, "k long, lang string, x binary").toArrow().sort_by([("k", "ascending"), ("lang", "ascending")])
+    got = sample.select("k", "lang", "text").mapInArrow(run, "k long, lang string, x binary").toArrow().sort_by([("k", "ascending"), ("lang", "ascending")])
     if not got.num_rows:
         return None
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(got.num_rows, DIMS).astype(np.float32)
@@ -166,7 +165,8 @@ def fit(docs: DataFrame) -> Model | None:
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The kept columns, ``lang_pred`` and ``score`` of each whole text."""
-    src = docs.select(*keep, F.col(text_col).alias("_text"))
+    keep = tuple(k for k in keep if k not in ("lang_pred", "score"))
+    src = docs.select(*keep, docs[text_col].alias("_text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
