@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,11 +18,14 @@ _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is made and set.
+    Only where the setting is absent and the master is local (tests, one machine) a temporary folder
+    is made and set; on a cluster without the setting this raises.
     """
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='lexiloom-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -52,6 +56,13 @@ def segments(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     yield data[at:]
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (public constants of splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def fraction_hash(column: str, mod: int) -> str:
     """SQL for ``crc32(column as text) mod n``; null ids count as the text 'null'."""
     return f"pmod(crc32(cast(coalesce(cast({column} as string), 'null') as binary)), {mod})"
