@@ -6,7 +6,9 @@ across its border; all pairs of a batch are tested together in numpy.  Only word
 test undergo exact merging.
 
 Defined cases: a null text is an empty one (no token); special tokens in a text become their ids;
-an empty table gives no row; repeated rows and null ids are encoded like any other.
+an empty table gives no row; repeated rows and null ids are encoded like any other; very long texts
+are read in slices that end where white space begins; other columns are ignored, and one named like
+a result (``n_tokens``, ``ids``, ``decoded``) gives way to it.
 """
 
 from __future__ import annotations
@@ -22,19 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .caches import hold
+from .caches import IdCache, hold, in_groups
 
-#: Distinct chunks whose ids a worker keeps; beyond it, it starts afresh.
-CACHED_CHUNKS = 600_000
 #: Characters encoded at a time, so that long texts need little memory.
 SLICE = 1 << 20
+#: Words of at most so many bytes are merged without a heap.
+SHORT, NO_MERGE = 48, (1 << 60, -1)
 #: Fixed value: the splitting pattern of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space in this pattern is Unicode's White_Space property.
 PATTERN = PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
-#: White space beyond ASCII; a text that holds any is split as a whole.
+#: White space beyond ASCII; where a text holds any, words of the pattern take the place of chunks.
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_CHUNK = re.compile("[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
+_BORDER = re.compile("(?<=[^ \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])[ \t\n\r\x0b\x0c]")
+_CHUNK = re.compile(b"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 
 
 def byte_letters() -> dict[str, int]:
@@ -85,7 +88,7 @@ class BpeCodec:
         self.pairs: dict[int, bool] = {}
         self.split = regex.compile(PATTERN)
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[str, bytes] = {}
+        self.cache = IdCache(self.ids_of)
         self.proposed = self.merged = 0
 
     def greedy(self, word: bytes) -> list[int]:
@@ -102,8 +105,20 @@ class BpeCodec:
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE: always the earliest learned merge, the leftmost first, over a linked list."""
+        merges = self.merges
         token = [self.byte_id[b] for b in word]
         n = len(token)
+        if n <= SHORT:  # few pairs: look at all of them each time
+            rank = [merges.get(p, NO_MERGE) for p in zip(token, token[1:])]
+            while rank and (best := min(rank))[0] < NO_MERGE[0]:
+                i = rank.index(best)
+                token[i : i + 2] = [best[1]]
+                del rank[i]
+                if i:
+                    rank[i - 1] = merges.get((token[i - 1], token[i]), NO_MERGE)
+                if i < len(rank):
+                    rank[i] = merges.get((token[i], token[i + 1]), NO_MERGE)
+            return token
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         alive = [True] * n
         heap = [(m[0], i, token[i], token[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((token[i], token[i + 1])))]
@@ -161,39 +176,25 @@ class BpeCodec:
             proposals[i] = self.merge(words[i])
         return proposals
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.cache) + len(chunks) > CACHED_CHUNKS:
-            self.cache.clear()
-        chunks = [c for c in chunks if c not in self.cache]
-        parts = [self.split.findall(c) for c in chunks]
+    def ids_of(self, chunks: list[bytes]) -> list[np.ndarray]:
+        """Ids of each chunk, which may hold several words of the splitting pattern."""
+        parts = [self.split.findall(c.decode()) for c in chunks]
         words = list({w for p in parts for w in p})
-        ids = {w: np.array(t, "<u4").tobytes() for w, t in zip(words, self.encode_words([w.encode() for w in words]), strict=True)}
-        for c, p in zip(chunks, parts, strict=True):
-            self.cache[c] = b"".join([ids[w] for w in p])
-
-    def _plain(self, text: str) -> Iterator[bytes]:
-        if _WIDE.search(text):
-            yield from self._chunks(self.split.findall(text))
-            return
+        ids = dict(zip(words, self.encode_words([w.encode() for w in words]), strict=True))
+        return [np.array([i for w in p for i in ids[w]], np.uint32) for p in parts]
+
+    def _chunks(self, text: str) -> Iterator[list[bytes]]:
+        """The chunks of a text without special tokens, a slice at a time."""
+        wide = _WIDE.search(text)
         at = 0
         while at < len(text):
             end = at + SLICE
-            if end < len(text):  # cut where white space begins
-                m = re.compile(r"(?<=[^ \t\n\r\x0b\x0c])[ \t\n\r\x0b\x0c]").search(text, end)
+            if end < len(text):  # cut where white space begins: no word crosses that
+                m = _BORDER.search(text, end)
                 end = m.start() if m else len(text)
-            yield from self._chunks(_CHUNK.findall(text, at, end))
+            yield [w.encode() for w in self.split.findall(text, at, end)] if wide else _CHUNK.findall(text[at:end].encode())
             at = end
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        missing = {c for c in chunks if c not in self.cache}
-        if missing:
-            self.learn(missing)
-        try:
-            return [*map(self.cache.__getitem__, chunks)]
-        except KeyError:  # the cache began afresh
-            self.learn(set(chunks))
-            return [*map(self.cache.__getitem__, chunks)]
-
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         out: list[bytes] = []
@@ -201,9 +202,18 @@ class BpeCodec:
             if part in self.special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
             elif part:
-                out += self._plain(part)
+                out += [self.cache.encode_groups([chunks])[0] for chunks in self._chunks(part)]
         return b"".join(out)
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` of each text; short texts are looked up together."""
+        out: list[bytes] = []
+        for group in in_groups(texts):
+            alone = [bool(t and (len(t) > SLICE or (self.special_split and self.special_split.search(t)))) for t in group]
+            rest = iter(self.cache.encode_groups([[c for part in self._chunks(t or "") for c in part] for t, one in zip(group, alone, strict=True) if not one]))
+            out += [self.encode(t) if one else next(rest) for t, one in zip(group, alone, strict=True)]
+        return out
+
     def decode(self, ids: bytes) -> str:
         table, all_ids = self.bytes_of, np.frombuffer(ids, "<u4")
         parts = [b"".join([table[i] for i in all_ids[at : at + SLICE].tolist()]) for at in range(0, len(all_ids), SLICE)]
@@ -221,15 +231,16 @@ def codec(path: str) -> BpeCodec:
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit), one row per row."""
+    keep = tuple(k for k in keep if k not in ("n_tokens", "ids"))
     src = docs.select(*keep, docs[text_col].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
-        hold("bpe", lambda: c.cache.clear())
+        hold("bpe", c.cache.clear)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
-                ids = [c.encode(t) for t in some.column(some.num_columns - 1).to_pylist()]
+                ids = c.encode_all(some.column(some.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*keep, "n_tokens", "ids"])
 
     return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]))
@@ -237,6 +248,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """``encoded`` with ``decoded``, the text that its ``ids`` stand for."""
+    encoded = encoded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)

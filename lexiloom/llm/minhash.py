@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .caches import hold
-from .common import segments, stash, words_of
+from .common import mix, segments, stash, words_of
 from .components import components
 from .grouping import map_groups
 
@@ -46,39 +46,20 @@ SIGMAS = 4.5
 BLOCK = 256
 #: Bits of the filter that keeps documents of candidate classes; more candidates only pass more.
 FILTER_BITS = 1 << 23
-CACHED_WORDS = 1_000_000
 
 
 def band_count(threshold: float, rows: int = BAND_ROWS) -> int:
     return max(1, math.ceil(math.log(MISS) / math.log(1 - threshold**rows)))
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit (public constants of splitmix64)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
-
-
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles."""
+    from xxhash import xxh3_64_intdigest
+
     parts = []
     for segment in segments((text or "").encode()):
         w = words_of(segment)
-        parts.append(np.fromiter(map(_HASHES.__getitem__, w), np.uint64, len(w)))
+        parts.append(np.fromiter(map(xxh3_64_intdigest, w), np.uint64, len(w)))
     h = np.concatenate(parts)
     if not len(h):
         return h
@@ -119,7 +100,7 @@ def sketch(docs: DataFrame, threshold: float, words: int = WORDS) -> DataFrame:
     bins = band_count(threshold) * BAND_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("minhash", _HASHES.clear)
+        hold("minhash", lambda: None)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 some = b.slice(at, 512)

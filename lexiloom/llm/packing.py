@@ -10,24 +10,21 @@ Defined cases: a null or empty text is a document of the closing id alone; a nul
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .caches import hold
+from .caches import IdCache, hold, in_groups
 from .common import segments
 
 WINDOW = 2048
 EOS_ID = 1
-#: A task packs this many tokens at a time; windows with room left wait for the next lot.
-LOT_TOKENS = 4_000_000
-#: Distinct words whose ids a worker keeps; beyond it, only the first ``KEPT_WORDS`` it met stay,
-#: among which are nearly all frequent ones.
-CACHED_WORDS, KEPT_WORDS = 1_200_000, 500_000
+#: A task packs this many tokens or pieces at a time; windows with room left wait for the next lot.
+LOT_TOKENS, LOT_PIECES = 4_000_000, 400_000
 
 SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -99,29 +96,29 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.cache) + len(words) > CACHED_WORDS:
-            self.cache = dict(islice(self.cache.items(), KEPT_WORDS))
-        fresh = list(words.difference(self.cache))
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.single_word]
+        self.between = special[0] if special else None
+        self.cache = IdCache(self.ids_of)
+
+    def ids_of(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word.  All go through the tokenizer as one text, with a special token between
+        them, which it never joins with its neighbours; words that hold that token go by themselves."""
+        texts = [w.decode() for w in words]
+        if self.between and not any(self.between[0] in t for t in texts):
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between[0].join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.between[1])
+            if len(cuts) == len(words) - 1:
+                return [ids[lo:hi] for lo, hi in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []
-        for text in texts:
-            parts: list[bytes] = []
-            for segment in segments((text or "").encode()):
-                words = segment.split()
-                distinct = set(words)
-                if not self.cache.keys() >= distinct:
-                    self.learn(distinct)
-                parts += map(self.cache.__getitem__, words)
-            out.append(b"".join(parts))
+        for group in in_groups(texts):
+            if len(group) == 1:
+                out.append(b"".join(self.cache.encode_groups([s.split()])[0] for s in segments((group[0] or "").encode())))
+            else:
+                out += self.cache.encode_groups([(t or "").encode().split() for t in group])
         return out
 
 
@@ -135,67 +132,95 @@ def encoder(path: str) -> WordEncoder:
 
 
 class _Lot:
-    """Pieces that wait for a window: parallel lists."""
-
-    def __init__(self) -> None:
-        self.pieces: list[tuple] = []
-        self.tokens = 0
+    """Pieces that wait for a window, as flat arrays: their place, document and ids."""
+
+    def __init__(self, id_type: pa.DataType):
+        self.id_type, self.held, self.rows = id_type, [], 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.doc_ids: list[pa.Array] = []
+        self.late: list = []
+        self.start, self.length, self.total, self.ids = array("q"), array("q"), array("q"), bytearray()
+
+    def add(self, doc_id, start: int, length: int, ids: bytes, total: int) -> None:
+        self.late.append(doc_id)
+        if len(self.late) >= 4096:
+            self._settle()
+        self.start.append(start)
+        self.length.append(length)
+        self.total.append(total)
+        self.ids += ids
+
+    def _settle(self) -> None:
+        self.doc_ids.append(pa.array(self.late, self.id_type))
+        self.late = []
+
+    @property
+    def tokens(self) -> int:
+        return len(self.ids) // 4
+
+    def full(self) -> bool:
+        return self.tokens >= LOT_TOKENS or len(self.length) >= LOT_PIECES
+
+    def table(self) -> pa.Table:
+        """(doc_id, start, length, ids, doc_tokens) in the order they came; the lot is empty then."""
+        self._settle()
+        length = np.frombuffer(self.length, np.int64)
+        cuts = np.r_[0, np.cumsum(4 * length)].astype(np.int32)
+        ids = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(cuts), pa.py_buffer(bytes(self.ids))])
+        doc_id = pa.chunked_array(self.doc_ids, self.id_type).combine_chunks()
+        columns = [doc_id, pa.array(np.frombuffer(self.start, np.int64)), pa.array(length), ids, pa.array(np.frombuffer(self.total, np.int64))]
+        out = pa.Table.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens"])
+        self.clear()
+        return out
 
-    def add(self, piece: tuple) -> None:
-        self.pieces.append(piece)
-        self.tokens += piece[2]
+    def put_back(self, rows: pa.Table) -> None:
+        for b in rows.to_batches(4096):
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                self.add(*row)
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, eos: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     enc, closing = encoder(path), np.array([eos], "<u4").tobytes()
-    hold("packing", lambda: enc.cache.clear())
+    hold("packing", enc.cache.clear)
     first = TaskContext.get().partitionId() << 36
     made = 0
-    lot = _Lot()
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True))
-        kinds = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+    lot = _Lot(id_type)
 
     def flush(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal made, lot
-        pieces, lot = lot.pieces, _Lot()
-        if not pieces:
+        nonlocal made
+        pieces = lot.table()
+        if not pieces.num_rows:
             return
-        where, offset, room = best_fit_decreasing(np.fromiter((p[2] for p in pieces), np.int64, len(pieces)), window)
+        where, offset, room = best_fit_decreasing(pieces["length"].to_numpy(), window)
         waits = room > window // 64
-        if last or int((window - room[waits]).sum()) > LOT_TOKENS // 2:
+        if last or int((window - room[waits]).sum()) > LOT_TOKENS // 2 or int(waits[where].sum()) > LOT_PIECES // 2:
             waits[:] = False
-        number = np.cumsum(~waits) - 1 + made
+        number = np.cumsum(~waits) - 1 + made + first
         made += int((~waits).sum())
-        rows = []
-        for p, w, o in zip(pieces, where.tolist(), offset.tolist(), strict=True):
-            if waits[w]:
-                lot.add(p)
-            else:
-                rows.append((*p, first + int(number[w]), o))
-        for at in range(0, len(rows), 4096):
-            yield batch(rows[at : at + 4096])
+        stay = waits[where]
+        lot.put_back(pieces.filter(pa.array(stay)))
+        done = pieces.append_column("sequence_id", pa.array(number[where])).append_column("offset", pa.array(offset))
+        yield from done.filter(pa.array(~stay)).to_batches(4096)
 
     for b in batches:
-        ids = b.column(0).to_pylist()
-        texts = b.column(1)
-        for at in range(0, len(ids), 256):
-            full = []
-            for doc_id, tokens in zip(ids[at : at + 256], enc.encode(texts[at : at + 256].to_pylist()), strict=True):
+        for at in range(0, b.num_rows, 256):
+            some = b.slice(at, 256)
+            whole = _Lot(id_type)
+            for doc_id, tokens in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
                 tokens += closing
                 n = len(tokens) // 4
                 for start in range(0, n, window):
-                    piece = (doc_id, start, min(window, n - start), tokens[4 * start : 4 * (start + window)], n)
-                    if piece[2] == window:
-                        full.append((*piece, first + made, 0))
-                        made += 1
-                    else:
-                        lot.add(piece)
-            if full:
-                yield batch(full)
-            if lot.tokens >= LOT_TOKENS:
+                    length = min(window, n - start)
+                    into = whole if length == window else lot
+                    into.add(doc_id, start, length, tokens[4 * start : 4 * (start + length)], n)
+            full = whole.table()
+            if full.num_rows:
+                number = np.arange(made, made + full.num_rows) + first
+                made += full.num_rows
+                yield from full.append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(np.zeros(full.num_rows, np.int64))).to_batches(4096)
+            if lot.full():
                 yield from flush(False)
     yield from flush(True)
 
