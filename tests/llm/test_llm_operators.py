@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.llm import ann, bpe, langid, lm, minhash, packing, toxicity, urlfilter, vecdedup, warc
+from lexiloom.llm import ann, bpe, caches, langid, lm, minhash, packing, toxicity, urlfilter, vecdedup, warc
 from lexiloom.llm.components import components
 
 LONG = "word " * 30_000
@@ -81,7 +81,8 @@ def test_packing(spark):
 def test_bpe_round_trip(spark):
     from tokenizers import Tokenizer
 
-    texts = [t for _, t, _ in EDGES] + ["I'll don't 're  two  spaces\n\n\nlines \t tab", "日本語 émoji 😂👍🏽", "\x1c\x85  odd   spaces ", "aaaaaaaaaaaaaaaaaaab", "%%%***&&& 123456 ²³"]
+    wide = ("a\u00a0b \u3000 c\u2003\n d" + "x y" * 7 + " \u00a0") * 50
+    texts = [t for _, t, _ in EDGES] + [wide, "<|endoftext|>" * 3, "I'll don't 're  two  spaces\n\n\nlines \t tab", "日本語 émoji 😂👍🏽", "\x1c\x85  odd   spaces ", "aaaaaaaaaaaaaaaaaaab", "%%%***&&& 123456 ²³"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = bpe.decode_documents(bpe.encode_documents(df, BYTE_BPE), BYTE_BPE).collect()
     tok = Tokenizer.from_file(BYTE_BPE)
@@ -90,6 +91,18 @@ def test_bpe_round_trip(spark):
         assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["n_tokens"] == len(ids)
         assert r["decoded"] == tok.decode(ids, skip_special_tokens=False) == (texts[r["doc_id"]] or "")
     assert bpe.encode_documents(df.limit(0), BYTE_BPE).count() == 0
+    clash = df.select(F.lit(None).cast("long").alias("doc_id"), "text").withColumns({"ids": F.lit(1), "decoded": F.lit("x"), "n_tokens": F.lit(2)})
+    got = bpe.decode_documents(bpe.encode_documents(clash, BYTE_BPE, keep=("doc_id", "ids", "decoded")), BYTE_BPE)
+    assert sorted(got.columns) == ["decoded", "doc_id", "ids", "n_tokens"] and got.where("doc_id is null").count() == len(texts)
+
+
+def test_bpe_cuts_long_texts_where_no_word_crosses(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "SLICE", 7)
+    codec, tok = bpe.codec(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    for text in ("one two  three\n\n four" * 9, "a\u00a0 b\u2003  c \u00a0\n d's 12 " * 9, "\u00a0" * 30, "  " * 30 + "x"):
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
 def test_bpe_compatibility_decides_as_merging_does():
@@ -239,6 +252,50 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score_toxicity(docs.limit(2), None).collect()} == {0.0}
 
 
+def test_toxicity_of_long_documents_only(spark):
+    """Labelled texts of any length teach; repeated rows score alike; clashing columns give way."""
+    rng = np.random.default_rng(14)
+    vocab = ["".join(rng.choice(list("etaoinsr"), rng.integers(2, 7))) for _ in range(300)]
+    rows = []
+    for i in range(60):
+        words = list(rng.choice(vocab, 6_000))
+        if i % 2:
+            k = rng.integers(0, 5_000)
+            words[k : k + 6] = ["idiot", "scumbag"] * 3
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[1][:2]] * 3, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert np.mean([(s >= 0.5) == y for s, y in zip(model.scores([t for _, t, _ in rows]), [y for _, _, y in rows])]) > 0.95
+    clash = docs_of(spark, EDGES + EDGES[:2])
+    got = toxicity.score_toxicity(clash, model, keep=("doc_id", "score", "lang")).collect()
+    assert got[0].__fields__ == ["doc_id", "lang", "score"] and len(got) == len(EDGES) + 2
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+
+
+def test_word_buckets_are_shared_by_misspellings():
+    (a, na), (b, nb) = toxicity.bag([b"scumbag"]), toxicity.bag([b"scumbagg"])
+    assert len(set(a) & set(b)) >= 10 and na.tolist() == [len(a)] and nb.tolist() == [len(b)]
+    both, n = toxicity.bag([b"scumbag", "élan".encode(), b"x"])
+    assert sorted(both[: n[0]]) == sorted(a) and n.tolist() == [len(a), 4 + 3 + 2 + 1, 1 + 1]
+
+
+def test_caches_are_bounded_and_exact():
+    made = []
+    cache = caches.BoundedCache(lambda keys: made.extend(keys) or [len(k) for k in keys], 20 * caches.ENTRY_BYTES)
+    for n in range(200):
+        keys = {b"often", b"w%d" % n, b"x" * 500}
+        held = cache.values(keys)
+        assert [held[k] for k in keys] == [len(k) for k in keys]
+    assert made.count(b"often") <= 60 and len(cache.held) < 60
+    ids = caches.IdCache(lambda keys: [np.frombuffer(k, np.uint8).astype(np.uint32) for k in keys], slots=16, most_ids=100)
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        words = [bytes(rng.integers(97, 100, rng.integers(0, 4)).astype(np.uint8)) for _ in range(30)] + [b"q" * 300]
+        flat, n = ids.lookup(words)
+        assert flat.astype(np.uint8).tobytes() == b"".join(words) and n.tolist() == [len(w) for w in words]
+    assert ids.lookup([])[0].tolist() == [] and ids.encode_groups([[], [b"ab"]])[0] == b""
+
+
 def test_toxicity_sample_is_of_documents_that_fit(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 40)
     monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 80)
