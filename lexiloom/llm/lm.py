@@ -3,11 +3,12 @@
 A word's probability weights all its segmentations into pieces of an existing vocabulary: a
 forward recursion in log space sums them.  A first piece comes from those that begin a word, then
 others follow until the word ends; each choice is a proper distribution, so the words' marginals
-sum to one at most.  The file's piece scores are merge ranks; they start the piece probabilities
-(Zipf's law), which expectation maximisation over all distinct training words then fits.
+sum to one at most.  The file's piece scores are merge ranks; by Zipf's law they are the pieces'
+prior.  Expectation maximisation over all distinct training words adapts them: each round's
+expected counts are added to the prior, which weighs as much as one occurrence a piece.
 
-A word seen in training is also a single arc of the lattice, with the weight of its discounted
-count; the rest of the mass goes through the pieces:
+In the lattice of a word seen in training one more arc spans the whole word, with the weight of its
+discounted count; the rest of the mass goes through the pieces, so the sum over all paths is
 
     P(word) = (c - D(c)) / N + M * marginal(word);   P(end) = c(end) / N
 
@@ -16,6 +17,9 @@ D(c) is Good and Turing's discount for c up to 3 (then as for 3), M the mass all
 Counts cover the whole training corpus and live in a table that grows with it.  Frequent words
 (at most ``HOT_WORDS``) are sent to every task; the others' counts are joined.
 
+A word of any length is scored whole; over ``LONG_WORD`` bytes the recursion keeps only as many
+nodes as the longest piece has bytes, and learning reads such a word in blocks of that size.
+
 Defined cases: a null text is an empty one, whose only token is the end; an empty training set
 leaves N = 0, base probability 1 for each token and the lattice alone; repeated rows score alike;
 a null ``doc_id`` hashes as the text 'null'; other columns are ignored.
@@ -38,11 +42,10 @@ from .common import segments, stash, words_of
 HOT_WORDS = 1 << 17
 #: Distinct words a task counts before it passes them on.
 HELD_WORDS = 400_000
-#: Rounds of expectation maximisation over all training words, after a warm start on a bounded sample.
-ROUNDS = 1
-WARM_ROUNDS, WARM_WORDS = 3, 20_000
-#: Words of more bytes are summed by themselves, not in a batch.
-BATCH_BYTES = 64
+#: Rounds of expectation maximisation over all training words.
+ROUNDS = 2
+#: Bytes of the words whose lattices are summed together; longer words than the second go by themselves.
+BATCH_BYTES, LONG_WORD = 1 << 15, 1 << 12
 MARK = "▁"
 
 
@@ -80,6 +83,7 @@ class Lattice:
         self.starts = np.array([p.startswith(mark) for p in pieces])
         self.first = {p[len(mark) :]: i for i, p in enumerate(pieces) if p.startswith(mark)}
         self.inner = {p: i for i, p in enumerate(pieces) if not p.startswith(mark)}
+        self.longest = max(map(len, self.inner), default=1)
         self.first_grows, self.inner_grows = ({p[:k] for p in t for k in range(len(p))} for t in (self.first, self.inner))
 
     def set(self, log_first: np.ndarray, log_end: float) -> None:
@@ -89,14 +93,14 @@ class Lattice:
     def start(self, weights: np.ndarray) -> None:
         """From log weights of pieces: a proper distribution of each kind, the end at a third."""
         w = np.exp(weights)
-        out = np.where(self.starts, w / w[self.starts].sum(), w / w[~self.starts].sum() * (2 / 3))
-        self.set(np.log(out), math.log(1 / 3))
+        self.prior = np.where(self.starts, w / w[self.starts].sum(), w / w[~self.starts].sum())
+        self.set(np.log(np.where(self.starts, self.prior, self.prior * (2 / 3))), math.log(1 / 3))
 
     def fit(self, expected: np.ndarray, ends: float) -> None:
-        """From expected counts, each raised by a little so that no piece vanishes."""
-        e = expected + 0.01
-        inner = e[~self.starts].sum() + ends + 0.01
-        self.set(np.log(np.where(self.starts, e / e[self.starts].sum(), e / inner)), math.log((ends + 0.01) / inner))
+        """From expected counts on top of the prior, which weighs one count a piece."""
+        e = expected + self.prior * np.where(self.starts, self.starts.sum(), (~self.starts).sum())
+        inner = e[~self.starts].sum() + ends + 1
+        self.set(np.log(np.where(self.starts, e / e[self.starts].sum(), e / inner)), math.log((ends + 1) / inner))
 
     def arcs(self, words: list[bytes]) -> tuple[list[int], list[int], list[int], list[int]]:
         """(word, from, to, piece) of all arcs: node 0 is before the mark, node k + 1 after k bytes."""
@@ -152,15 +156,50 @@ class Lattice:
 
     def score(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros(len(words))
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        at = 0
-        while at < len(order):
-            n = max(1, 200_000 // (16 * (len(words[order[at]]) + 8)))
-            some = [i for i in order[at : at + n] if len(words[i]) <= 4 * len(words[order[at]]) + BATCH_BYTES]
-            out[some] = self.forward([words[i] for i in some])[0]
-            at += len(some)
+        for some in batched(words):
+            if len(words[some[0]]) > LONG_WORD:
+                out[some] = [self.rolling(words[i]) for i in some]
+            else:
+                out[some] = self.forward([words[i] for i in some])[0]
         return out
 
+    def rolling(self, word: bytes) -> float:
+        """The same sum for one word, with no more nodes held than the longest piece has bytes."""
+        logp, n, size = self.logp.tolist(), len(word), max(self.longest, max(map(len, self.first))) + 1
+        waiting: list[list[float]] = [[] for _ in range(size)]
+        for p, i in self.first.items():
+            if word.startswith(p):
+                waiting[len(p)].append(logp[i])
+        inner, grows = self.inner, self.inner_grows
+        for at in range(n + 1):
+            sums, waiting[at % size] = waiting[at % size], []
+            top = max(sums, default=-math.inf)
+            here = top + math.log(sum(math.exp(x - top) for x in sums)) if top > -math.inf else top
+            if at == n:
+                return here + self.log_end
+            for end in range(at + 1, min(n, at + size) + 1):
+                part = word[at:end]
+                i = inner.get(part)
+                if i is not None:
+                    waiting[end % size].append(here + logp[i])
+                if part not in grows:
+                    break
+        raise AssertionError("unreachable")
+
+
+def batched(words: list[bytes]) -> Iterator[list[int]]:
+    """Places of the words in order of length, as many together as have ``BATCH_BYTES``; long ones alone."""
+    batch: list[int] = []
+    held = 0
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if batch and (held + len(words[i]) > BATCH_BYTES or len(words[i]) > LONG_WORD):
+            yield batch
+            batch, held = [], 0
+        batch.append(i)
+        held += len(words[i]) + 8
+    if batch:
+        yield batch
+
 
 def _log_add(into: np.ndarray, where: np.ndarray, value: np.ndarray) -> None:
     """into[where] = log(exp(into[where]) + sum of exp(value)), for repeated targets."""
@@ -216,14 +255,6 @@ def fit_pieces(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> tuple
     lattice.start(weights)
     spark = words.sparkSession
     train = words.where("c > 0").select("word")
-    warm = sorted(train.orderBy(F.xxhash64("word")).limit(WARM_WORDS).toArrow()["word"].to_pylist(), key=len)
-    for _ in range(WARM_ROUNDS if warm else 0):
-        used, ends = np.zeros(len(pieces)), 0.0
-        for at in range(0, len(warm), 2000):
-            some = warm[at : at + 2000]
-            _, u, n = lattice.forward(some, np.ones(len(some)))
-            used, ends = used + u, ends + n
-        lattice.fit(used, ends)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((pieces, lattice.logp, lattice.log_end))
 
@@ -232,11 +263,12 @@ def fit_pieces(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> tuple
             own.set(*sent.value[1:])
             total, ends = np.zeros(len(own.pieces)), 0.0
             for b in batches:
-                for at in range(0, b.num_rows, 2000):
-                    some = sorted(b.column(0).slice(at, 2000).to_pylist(), key=len)
-                    _, used, n = own.forward(some, np.ones(len(some)))
-                    total += used
-                    ends += n
+                for at in range(0, b.num_rows, 8192):
+                    some = [w[k : k + LONG_WORD] for w in b.column(0).slice(at, 8192).to_pylist() for k in range(0, max(1, len(w)), LONG_WORD)]
+                    for places in batched(some):
+                        _, used, n = own.forward([some[i] for i in places], np.ones(len(places)))
+                        total += used
+                        ends += n
             kept = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[kept, -1]), pa.array(np.r_[total[kept], ends])], ["piece", "used"])
 
@@ -294,7 +326,14 @@ def score_documents(docs: DataFrame, vocabulary: str, train: str, id_col: str =
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(base), pa.array(logp)], ["word", "c", "c_all", "base", "logp"])
 
     words = stash(counted.mapInArrow(weigh, "word binary, c long, c_all long, base double, logp double"), "words")
-    hot = words.orderBy(F.desc("c_all"), "word").limit(HOT_WORDS).toArrow() if HOT_WORDS else None
+    step = F.floor(F.log2("c_all") * 8)
+    held, least = 0, 1 << 20
+    for r in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a few hundred steps
+        held += r["count"]
+        if held > HOT_WORDS:
+            break
+        least = r["step"]
+    hot = words.where(step >= least).toArrow()
     table = spark.sparkContext.broadcast((hot["word"].to_pylist(), hot["c"].to_numpy(), hot["base"].to_numpy(), hot["logp"].to_numpy()))
     end_base = math.log10(((ends + 0.5) / (n + 0.5 * (v + 1)))) if n + v else math.log10(0.5 / 0.5)
     end_logp = math.log10(ends / n) if ends else 0.0
