@@ -1,16 +1,17 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample the graph of nearest neighbours is cut into parts of equal size with few
-edges between them, and a small classifier learns the parts of a vector's neighbours.  Every row
-is indexed in its likeliest part.  A query goes to its likeliest parts, as many as a held-out part
+On a sample of ``SAMPLE_A_PART`` rows a part the graph of nearest neighbours is cut into parts of
+equal size with few edges between them, and a small classifier learns the parts of a vector's
+neighbours.  Parts hold ``ROWS_A_PART`` rows until there are ``MOST_PARTS``.  Every row is indexed in its likeliest part.  A query goes to its likeliest parts, as many as a held-out part
 of the sample needs for ``RECALL``, and to more while they hold too few rows; their rows are
 ranked by exact inner products in double precision.
 
 Of equal vectors only the ``k + 1`` rows with the smallest ids can be among anyone's nearest, so
 the others need no place in the index.  Parts and their queries meet in blocks of bounded size.
 
-Defined cases: vectors that are null, zero, hold null or non-finite components or have another
-dimension than most take no part, nor do null ids; repeated rows count once; ties go to the
+Defined cases: vectors that are null, zero or hold null or non-finite components take no part, nor
+do null ids; only vectors of one dimension are compared, and those of each dimension but the
+commonest are a part of their own, searched whole; repeated rows count once; ties go to the
 smaller id; with fewer candidates all are returned; an empty table gives no row.
 """
 
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import stash
 from .grouping import map_groups
-from .vectors import kind_of, matrix, stacked, usable
+from .vectors import by_dimension, fine, kind_of, matrix, stacked
 
-SAMPLE, HELD_OUT = 6_144, 256
+SAMPLE, SAMPLE_A_PART, HELD_OUT = 6_144, 96, 256
 NEIGHBOURS = 10
-ROWS_A_PART, MOST_PARTS = 2_048, 64
+ROWS_A_PART, MOST_PARTS = 2_048, 1_024
 RECALL = 0.96
 HIDDEN, EPOCHS = 128, 60
 BLOCK, QUERY_BLOCK = 4_096, 1_024
@@ -93,10 +94,10 @@ class Router:
         return np.maximum(x * self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
 
-def train_router(x: np.ndarray, target: np.ndarray, seed: int = 11) -> Router:
-    """Fit by Adam to soft targets: the shares of parts among each vector's neighbours."""
+def train_router(x: np.ndarray, part: np.ndarray, graph: np.ndarray, parts: int, seed: int = 11) -> Router:
+    """Fit by Adam to soft targets: the shares of parts among each vector's neighbours, its own counting twice."""
     rng = np.random.default_rng(seed)
-    d, parts = x.shape[1], target.shape[1]
+    d, each = x.shape[1], graph.shape[1] + 2
     scale = 1.0 / max(float(np.sqrt((x * x).mean())), 1e-30)
     p = [rng.normal(0, (2 / d) ** 0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, (1 / HIDDEN) ** 0.5, (HIDDEN, parts)), np.zeros(parts)]
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
@@ -108,7 +109,10 @@ def train_router(x: np.ndarray, target: np.ndarray, seed: int = 11) -> Router:
             h = np.maximum(xs[rows] @ p[0] + p[1], 0)
             z = h @ p[2] + p[3]
             q = np.exp(z - z.max(1, keepdims=True))
-            g = (q / q.sum(1, keepdims=True) - target[rows]) / len(rows)
+            g = q / q.sum(1, keepdims=True)
+            np.subtract.at(g, (np.repeat(np.arange(len(rows)), graph.shape[1]), part[graph[rows]].ravel()), 1 / each)
+            g[np.arange(len(rows)), part[rows]] -= 2 / each
+            g /= len(rows)
             gh = (g @ p[2].T) * (h > 0)
             step += 1
             for k, gr in enumerate((xs[rows].T @ gh + 1e-5 * p[0], gh.sum(0), h.T @ g + 1e-5 * p[2], g.sum(0))):
@@ -121,14 +125,12 @@ def train_router(x: np.ndarray, target: np.ndarray, seed: int = 11) -> Router:
 def learn(sample: np.ndarray, parts: int, k: int) -> tuple[Router, int]:
     """Router and the number of parts a query needs, as held-out vectors of the sample show."""
     if parts == 1:
-        return train_router(sample[:1] if len(sample) else np.ones((1, 1)), np.ones((1, 1))), 1
+        x = sample[:1] if len(sample) else np.ones((1, 1))
+        return train_router(x, np.zeros(1, np.int64), np.zeros((1, 0), np.int64), 1), 1
     held, rest = sample[:HELD_OUT], sample[HELD_OUT:]
     graph = neighbour_graph(rest)
     part = balanced_parts(rest, graph, parts)
-    target = np.zeros((len(rest), parts))
-    np.add.at(target, (np.repeat(np.arange(len(rest)), graph.shape[1]), part[graph].ravel()), 1 / (graph.shape[1] + 2))
-    target[np.arange(len(rest)), part] += 2 / (graph.shape[1] + 2)
-    router = train_router(rest, target)
+    router = train_router(rest, part, graph, parts)
     home = router.logits(rest).argmax(1)
     true = np.argsort(-(held @ rest.T), 1, kind="stable")[:, :k]
     order = np.argsort(-router.logits(held), 1, kind="stable")
@@ -141,40 +143,46 @@ def learn(sample: np.ndarray, parts: int, k: int) -> tuple[Router, int]:
 def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of largest inner product found for each row that ``is_query`` marks."""
     spark = vectors.sparkSession
-    rows = usable(vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v")), "v").where("vec_id is not null")
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v")).where(fine("v") & F.col("vec_id").isNotNull())
     kind = kind_of(rows, "v")
     best = Window.partitionBy("v").orderBy("vec_id")
     once = rows.distinct()
     kept = stash(once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("vec_id", "v", F.lit(False).alias("query")), "rows")
-    n = kept.count()
+    common = kept.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    dim, n = (common[0]["d"], common[0]["count"]) if common else (0, 0)
     parts = max(1, min(MOST_PARTS, n // ROWS_A_PART))
-    sample = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
-    router, probes = learn(matrix(sample, kind).astype(float), parts, k)
+    of_dim = kept.where(F.size("v") == dim)
+    share = max(SAMPLE, SAMPLE_A_PART * parts)
+    h = F.xxhash64("vec_id")
+    drawn = of_dim.where(h / 2.0**64 + 0.5 <= min(1.0, 2 * share / max(n, 1))).orderBy(h, "vec_id").limit(share).select("v").toArrow()["v"].combine_chunks()
+    router, probes = learn(matrix(drawn, kind).astype(float), parts, k)
     sent = spark.sparkContext.broadcast(router)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x = matrix(b.column(1), kind)
-                home = sent.value.logits(x.astype(float)).argmax(1) if parts > 1 else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["part", "vec_id", "v"])
+            for at, x in by_dimension(b.column(1), kind):
+                home = -x.shape[1] if x.shape[1] != dim else sent.value.logits(x.astype(float)).argmax(1) if parts > 1 else 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(home, len(x)).astype(np.int32)), b.column(0).take(pa.array(at)), pa.array([r.tobytes() for r in x], pa.binary())], ["part", "vec_id", "v"])
 
     index = stash(kept.select("vec_id", "v").mapInArrow(assign, "part int, vec_id long, v binary"), "index")
     size = np.zeros(parts, np.int64)
-    for r in index.groupBy("part").count().collect():  # one row a part
+    for r in index.where("part >= 0").groupBy("part").count().collect():  # one row a part
         size[r["part"]] = r["count"]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 some = b.slice(at, 1024)
-                x = matrix(some.column(1), kind)
-                order = np.argsort(-sent.value.logits(x.astype(float)), 1, kind="stable") if parts > 1 else np.zeros((len(x), 1), np.int64)
-                enough = (np.cumsum(size[order], 1) - size[order]) < 4 * (k + 1)  # the parts before hold too few rows
-                go = enough | (np.arange(parts)[None] < probes)
-                who, col = np.nonzero(go)
-                raw = [r.tobytes() for r in x]
-                yield pa.RecordBatch.from_arrays([pa.array(order[who, col], pa.int32()), some.column(0).take(pa.array(who)), pa.array([raw[i] for i in who], pa.binary())], ["part", "vec_id", "v"])
+                for rows_at, x in by_dimension(some.column(1), kind):
+                    raw = [r.tobytes() for r in x]
+                    if x.shape[1] != dim or parts == 1:
+                        who, go = np.arange(len(x)), np.full(len(x), 0 if x.shape[1] == dim else -x.shape[1])
+                    else:
+                        order = np.argsort(-sent.value.logits(x.astype(float)), 1, kind="stable")
+                        few = (np.cumsum(size[order], 1) - size[order]) < 4 * (k + 1)  # the parts before hold too few rows
+                        who, col = np.nonzero(few | (np.arange(parts)[None] < probes))
+                        go = order[who, col]
+                    yield pa.RecordBatch.from_arrays([pa.array(go, pa.int32()), some.column(0).take(pa.array(rows_at[who])), pa.array([raw[i] for i in who], pa.binary())], ["part", "vec_id", "v"])
 
     asked = once.where(F.expr(is_query)).select("vec_id", "v").mapInArrow(route, "part int, vec_id long, v binary")
     asked = stash(asked, "queries")
@@ -182,7 +190,6 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_i
     held = index.groupBy("part").agg(F.count("*").alias("d"))
     blocks = held.join(many, "part").select("part", F.ceil(F.col("d") / BLOCK).alias("di"), F.ceil(F.col("q") / QUERY_BLOCK).alias("qi"))
     zero = F.lit(0).cast("long")
-    h = F.xxhash64("vec_id")
     data = index.join(F.broadcast(blocks), "part").select("part", F.pmod(h, "di").alias("i"), F.explode(F.sequence(zero, F.col("qi") - 1)).alias("j"), F.lit(0).alias("kind"), "vec_id", "v")
     ask = asked.join(F.broadcast(blocks), "part").select("part", F.explode(F.sequence(zero, F.col("di") - 1)).alias("i"), F.pmod(h, "qi").alias("j"), F.lit(1).alias("kind"), "vec_id", "v")
 

@@ -11,9 +11,9 @@ a label are one class and make no pairs.  Of buckets with the same members one s
 buckets are dealt out in blocks; a pair counts in the first table where it meets, so each link
 counts once.  Blocks give sums of links and a spanning set of edges, never the pairs.
 
-Defined cases: vectors that are null, zero, hold null or non-finite components or have another
-dimension than most, and those with a null label, link with nothing and are kept; repeated rows
-are copies that link; a null id never is a component's id unless all are null; an empty table
+Defined cases: vectors that are null, zero or hold null or non-finite components, and those with a
+null label, link with nothing and are kept; vectors of different dimensions never link; repeated
+rows are copies that link; a null id never is a component's id unless all are null; an empty table
 gives no row; other columns are ignored.
 """
 
@@ -31,18 +31,20 @@ from pyspark.sql import functions as F
 from .common import stash
 from .components import components
 from .grouping import map_groups
-from .vectors import kind_of, matrix, stacked, usable
+from .vectors import by_dimension, fine, kind_of, stacked
 
 MISS = 1e-6
 #: Standard deviations of the confidence bound.
 SIGMAS = 5.0
 BLOCK = 512
+#: Bits of a key at most; reached at labels of 2^27 vectors, beyond which buckets grow with the rows.
+MOST_BITS = 30
 
 
 def plan(threshold: float, largest: int) -> tuple[int, int]:
     """(bits of a key, tables) for labels of up to ``largest`` vectors: random pairs seldom meet."""
     agree = 1 - math.acos(threshold) / math.pi
-    bits = max(8, min(16, math.ceil(math.log2(max(2, largest))) + 3))
+    bits = max(8, min(MOST_BITS, math.ceil(math.log2(max(2, largest))) + 3))
     return bits, math.ceil(math.log(MISS) / math.log(1 - agree**bits))
 
 
@@ -58,7 +60,7 @@ def encode(x: np.ndarray, turn: np.ndarray, bits: int, tables: int) -> tuple[np.
     turned = x @ turn
     first = turned[:, :dim]
     signs = turned[:, dim : dim + bits * tables] > 0
-    keys = (signs.reshape(len(x), tables, bits) << np.arange(bits)).sum(2).astype("<u2")
+    keys = (signs.reshape(len(x), tables, bits) << np.arange(bits)).sum(2).astype("<u4")
     return np.packbits(first > 0, axis=1), np.abs(first).sum(1) / math.sqrt(dim), keys
 
 
@@ -75,12 +77,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     spark = vectors.sparkSession
     every = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), F.col(label_col).alias("label"))
     kind = kind_of(every, "v")
-    part = usable(every, "v").where("label is not null").select("vec_id", F.col("label").cast("string").alias("label"), "v")
+    takes_part = fine("v") & F.col("label").isNotNull()
+    # A label of vectors of one dimension is a label of its own.
+    part = every.where(takes_part).select("vec_id", F.concat_ws(":", F.size("v"), F.col("label").cast("string")).alias("label"), "v")
     id_kind = every.schema["vec_id"].dataType.simpleString()
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [r.tobytes() for r in matrix(b.column(2), kind)]
+            raw: list[bytes] = [b""] * b.num_rows
+            for at, x in by_dimension(b.column(2), kind):
+                for i, r in zip(at.tolist(), x, strict=True):
+                    raw[i] = r.tobytes()
             cls = [hashlib.md5(x + lab.encode(), usedforsecurity=False).digest() for x, lab in zip(raw, b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "label", "cls", "v"])
 
@@ -94,20 +101,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         return rotations(dim, 1 + -(-bits * tables // dim))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = None
+        turns: dict[int, np.ndarray] = {}
+        step = max(64, 3_000_000 // (bits * tables))
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                some = b.slice(at, 2048)
-                x = stacked(some.column(4).to_pylist(), kind).astype(float)
-                x /= np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                turn = turn_of(x.shape[1]) if turn is None else turn
-                codes, factor, keys = encode(x, turn, bits, tables)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factor), pa.array([c.tobytes() for c in keys], pa.binary())], [*some.schema.names, "code", "factor", "keys"])
+            for at in range(0, b.num_rows, step):
+                some = b.slice(at, step)
+                raw = some.column(4).to_pylist()
+                coded: list[tuple] = [()] * len(raw)
+                length = np.array([len(r) for r in raw])
+                for n in np.unique(length).tolist():
+                    at_n = np.flatnonzero(length == n).tolist()
+                    x = stacked([raw[i] for i in at_n], kind).astype(float)
+                    x /= np.abs(x).max(1, keepdims=True)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    if x.shape[1] not in turns:
+                        turns = {x.shape[1]: turn_of(x.shape[1])}
+                    for i, c, f, k in zip(at_n, *encode(x, turns[x.shape[1]], bits, tables), strict=True):
+                        coded[i] = (c.tobytes(), float(f), k.tobytes())
+                yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(c, t) for c, t in zip(zip(*coded, strict=True), (pa.binary(), pa.float64(), pa.binary()), strict=True))], [*some.schema.names, "code", "factor", "keys"])
 
     classes = stash(classes.mapInArrow(code, f"cls binary, min_id {id_kind}, size long, label string, v binary, code binary, factor double, keys binary"), "classes")
     at_table = F.sequence(F.lit(0), F.lit(tables - 1))
-    keys = F.transform(at_table, lambda t: F.struct(t.alias("t"), F.xxhash64("label", t, F.substring("keys", t * 2 + 1, F.lit(2))).alias("bucket")))
+    keys = F.transform(at_table, lambda t: F.struct(t.alias("t"), F.xxhash64("label", t, F.substring("keys", t * 4 + 1, F.lit(4))).alias("bucket")))
     members = classes.select(F.explode(keys).alias("k"), "cls").select("k.t", "k.bucket", "cls")
     buckets = members.groupBy("bucket").agg(F.min("t").alias("t"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).where("n > 1")
     buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("t", "bucket")).alias("b")).select("b.bucket", "n")
@@ -124,7 +139,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         raw = stacked(cols[7][lo:hi], kind).astype(float)
         unit = raw / np.abs(raw).max(1, keepdims=True)
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        code, factor, keys = stacked(cols[8][lo:hi], np.uint8), np.asarray(cols[9][lo:hi]), stacked(cols[10][lo:hi], "<u2")
+        code, factor, keys = stacked(cols[8][lo:hi], np.uint8), np.asarray(cols[9][lo:hi]), stacked(cols[10][lo:hi], "<u4")
         a, b = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(hi - lo),) * 2
         if not len(a) or not len(b):
             return []
@@ -170,11 +185,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     least = known.groupBy("root").agg(F.min("min_id").alias("component_id"))
     known = known.join(least, "root").select("cls", "n_links", "component_id")
     inside = rows.select("vec_id", "cls").join(known, "cls").select("vec_id", "n_links", "component_id")
-    # The rest: rows that took no part.  Which they are is asked again of the rows themselves.
-    dims = rows.select(F.octet_length("v").alias("b")).limit(1).collect()
-    dim = dims[0]["b"] // (4 if kind == "<f4" else 8) if dims else -1
-    v = F.col("v")
-    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0) & (F.size("v") == dim) & F.col("label").isNotNull()
-    outside = every.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    outside = every.where(~takes_part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = inside.union(outside)
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
