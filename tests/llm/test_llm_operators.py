@@ -193,6 +193,24 @@ def test_lattice_sums_all_segmentations():
     total, used, ends = lattice.forward(words, np.ones(len(words)))
     assert np.allclose(np.exp(total), [brute(w) for w in words]) and ends == len(words)
     assert used[lattice.starts].sum() == pytest.approx(len(words))
+    words += [b"abcab" * 40, b"zz"[:0]]
+    assert np.allclose([lattice.rolling(w) for w in words], lattice.score(words))
+
+
+def test_lattice_of_a_very_long_word():
+    import tracemalloc
+
+    pieces, weights = lm.load_pieces(PIECES)
+    lattice = lm.Lattice(pieces)
+    lattice.start(weights)
+    rng = np.random.default_rng(2)
+    word = bytes(rng.integers(97, 123, lm.LONG_WORD + 1).astype(np.uint8))
+    assert lattice.score([word])[0] == pytest.approx(lattice.forward([word])[0][0])
+    word = bytes(rng.integers(97, 123, 400_000).astype(np.uint8))
+    tracemalloc.start()
+    assert np.isfinite(lattice.score([b"short", word])).all()
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
 
 
 def test_every_ordinary_piece_is_an_arc():
@@ -207,6 +225,7 @@ def test_every_ordinary_piece_is_an_arc():
 
 def test_lm_scores(spark, monkeypatch):
     monkeypatch.setattr(lm, "HOT_WORDS", 3)  # the others are joined
+    monkeypatch.setattr(lm, "BATCH_BYTES", 20)
     rows = [(i, t) for i, t in enumerate(["the cat sat", "The dog sat down", None, "", "the the the unseenword", LONG, "the cat sat"])] + [(0, "the cat sat"), (None, "the end")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("clash"))
     got = lm.score_documents(df, PIECES, "coalesce(doc_id, 99) % 3 <> 1").collect()
@@ -217,7 +236,45 @@ def test_lm_scores(spark, monkeypatch):
     for i, t in rows:
         want[i, len(words(t)), sum(train[w] > 0 for w in words(t)), n, round(sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words(t)), 5)] += 1
     assert collections.Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
-    assert all(r["score"] < 0 for r in got)
+    # The whole score: known words' arcs beside the sum over all segmentations, under pieces fitted here in plain Python.
+    lattice = lm.Lattice(lm.load_pieces(PIECES)[0])
+    lattice.start(lm.load_pieces(PIECES)[1])
+    types = [w for w in train if w is not None]
+
+    def paths(word):
+        """Forward and backward sums over nodes, and arcs (from, to, piece), in linear space."""
+        raw, p = word.encode(), np.exp(lattice.logp)
+        arcs = [(-1, len(x), i) for x, i in lattice.first.items() if raw.startswith(x)]
+        arcs += [(at, at + n, i) for at in range(len(raw)) for n in range(1, lattice.longest + 1) if at + n <= len(raw) and (i := lattice.inner.get(raw[at : at + n])) is not None]
+        ahead, back = {-1: 1.0}, {len(raw): math.exp(lattice.log_end)}
+        for a, b, i in sorted(arcs):
+            ahead[b] = ahead.get(b, 0.0) + ahead.get(a, 0.0) * p[i]
+        for a, b, i in sorted(arcs, reverse=True):
+            back[a] = back.get(a, 0.0) + back.get(b, 0.0) * p[i]
+        return ahead, back, arcs, p
+
+    for _ in range(lm.ROUNDS):
+        used = np.zeros(len(lattice.pieces))
+        for w in types:
+            ahead, back, arcs, p = paths(w)
+            for a, b, i in arcs:
+                used[i] += ahead.get(a, 0.0) * p[i] * back.get(b, 0.0) / back[-1]
+        lattice.fit(used, float(len(types)))
+    of_count = [sum(train[w] == c for w in types) for c in (1, 2, 3, 4)]
+    discount, freed = lm.discounts(of_count, len(types))
+    ends = train[None]
+
+    def score(w):
+        if w is None:
+            return math.log10(ends / n)
+        c = train[w]
+        return math.log10((c - discount[min(c, 3)]) / n * (c > 0) + freed / n * paths(w)[1][-1])
+
+    long_words = {"x" * 5000}
+    for r in got:
+        whole = [t for i, t in rows if i == r["doc_id"] and len(words(t)) == r["n_tokens"]]
+        if not long_words & set(words(whole[0])):
+            assert any(r["score"] == pytest.approx(sum(map(score, words(t))), rel=1e-6) for t in whole)
     same = {r["score"] for r in got if r["doc_id"] == 0}
     assert len(same) == 1
     empty = lm.score_documents(df.limit(0), PIECES, "true")
@@ -459,6 +516,27 @@ def test_vector_duplicates(spark, monkeypatch):
     assert vecdedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_several_dimensions(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (2, [1.0, 0.1, 0.0], 0), (3, [0.0, 1.0, 0.0], 0), (10, [1.0, 2.0], 0), (11, [1.0, 2.0], 0), (12, [2.0, 4.0], 1), (20, [3.0], 0), (20, [3.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vecdedup.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (10, 1, 10), (11, 1, 10), (12, 0, 12), (20, 1, 20), (20, 1, 20)]
+    near = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, "vec_id % 10 = 0").collect())
+    assert near == [(10, 1, 12, 10.0), (10, 2, 11, 5.0)]
+
+
+def test_wide_keys_lose_no_link(spark, monkeypatch):
+    """Keys as for labels of 2^21 vectors."""
+    plan = vecdedup.plan
+    monkeypatch.setattr(vecdedup, "plan", lambda threshold, largest: plan(threshold, 1 << 21))
+    assert plan(0.93, 1 << 21)[0] == 24 and plan(0.93, 1 << 40)[0] == 30
+    rng = np.random.default_rng(19)
+    base = rng.normal(size=(40, 24))
+    x = np.concatenate([base, base + 0.05 * rng.normal(size=base.shape)])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert {(r["n_links"], r["component_id"]) for r in vecdedup.near_duplicates(df).collect()} == {(1, i) for i in range(40)}
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(10)
     x = rng.normal(size=(2000, 64))
