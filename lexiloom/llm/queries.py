@@ -39,7 +39,7 @@ def url_lists(pages: DataFrame) -> DataFrame:
     Hosts come onto ``hosts`` and leave it, some come back; parent domains are on ``domains`` from
     some day on; a host's folders are on ``folders`` for a while.
     """
-    hosts = pages.select(F.regexp_extract(F.lower("url"), urlfilter.HOST, 1).alias("host")).where("host <> ''").distinct()
+    hosts = pages.select(urlfilter.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
     entry = lambda name, key, action, n: F.struct(F.lit(name).alias("list"), key.alias("key"), F.lit(action).alias("action"), day(n).alias("on_date"))
     host, a, b = F.col("host"), _number("concat('a', host)", 250), _number("concat('b', host)", 60) + 1
@@ -62,7 +62,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = """
 WITH p AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8))::UBIGINT % 365 AS INTEGER) AS fetched_on,
-    regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) AS path
+    rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/:?#]+)', 2), '.') AS any_host,
+    CASE WHEN length(any_host) <= 253 THEN any_host ELSE '' END AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1) AS path
   FROM pages),
 h AS (
   SELECT host, CAST(('0x' || substr(md5('a' || host), 1, 8))::UBIGINT % 250 AS INTEGER) AS a, 1 + CAST(('0x' || substr(md5('b' || host), 1, 8))::UBIGINT % 60 AS INTEGER) AS b,

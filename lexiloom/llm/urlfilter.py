@@ -7,7 +7,13 @@ host's suffixes, and the host with each folder of its path), a month of the cale
 interval's bounds.  The month spreads a frequent host; adaptive execution splits what is left.
 Distinct (url, date) pairs are evaluated once.
 
-Defined cases: a null or unparsable URL matches nothing; a null fetch date is in no interval; of
+Schemes and hosts are compared in lower case, hosts without user information, port and closing dots;
+paths as they are.
+
+Defined cases: a null or unparsable URL, or one whose host has over ``LONGEST_HOST`` characters (none
+has in the domain name system), matches nothing; of a long path as many folders count as the longest
+listed key has; columns of the captures named as a result (n_active, lists, matched_key, blocked) give
+way to it; a null fetch date is in no interval; of
 entries of one day a removal holds; repeated entries count once; a re-addition continues the
 listing; null keys, lists, actions or dates of entries are ignored; repeated captures get the same
 result; an empty list lets all through; an empty table gives no row.
@@ -18,8 +24,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed value: scheme, host (no user, no port) and path of a URL.
-HOST, PATH = r"^[a-z]+://([^/:?#]+)", r"^[a-z]+://[^/?#]+(/[^?#]*)"
+#: Host (behind user information, before a port) and path of a URL.
+HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#]+)"
+PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)"
+LONGEST_HOST = 253
+
+
+def host_of(url: F.Column) -> F.Column:
+    """Host of a URL, empty where there is none."""
+    host = F.regexp_replace(F.regexp_extract(F.lower(url), HOST, 1), r"\.+$", "")
+    return F.when(F.length(host) <= LONGEST_HOST, host).otherwise(F.lit(""))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -32,7 +46,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def keys_of(url: F.Column, depth: F.Column) -> F.Column:
     """Keys a URL can match: suffixes of its host, and host with folders down to ``depth``."""
-    host = F.regexp_extract(F.lower(url), HOST, 1)
+    host = host_of(url)
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     folders = F.slice(F.split(F.regexp_extract(url, PATH, 1), "/"), 2, depth + 1)

@@ -6,6 +6,7 @@ import io
 import math
 import zlib
 
+import compare
 import numpy as np
 import public_tokenizers
 import pytest
@@ -457,6 +458,37 @@ def test_url_filter(spark):
     assert none.where("blocked").count() == 0 and none.count() == len(caps)
 
 
+@pytest.mark.parametrize(
+    "url,blocked",
+    [
+        ("http://b.org/x/f", True), ("HTTP://b.org/x/f", True), ("Https://B.ORG/x/f", True), ("http://user:pw@b.org/x/f", True), ("http://a@c@b.org:8080/x/f", True),
+        ("http://b.org./x/f", True), ("http://b.org../x/f", True), ("git+ssh://b.org/x/f", True), ("http://b.org/X/f", False), ("http://b.org@c.org/x/f", False),
+        ("http://b.org.evil.com/x/f", False), ("http://c.org/?u=http://b.org/x/f", False), ("http://c.org/#@b.org/x/f", False), ("b.org/x/f", False), ("http:///x/f", False),
+        ("http://[::1]:80/x/f", False), ("http://b.org/x/" + "deep/" * 20_000, True), ("http://" + "b." * 50_000 + "org/x/f", False),
+    ],
+)
+def test_url_forms(spark, url, blocked):
+    import datetime as dt
+
+    day = dt.date(2024, 1, 1)
+    got = urlfilter.filter_urls(spark.createDataFrame([(url, day)], "url string, fetched_on date"), spark.createDataFrame([("f", "b.org/x/", "add", day)], "list string, key string, action string, on_date date"))
+    assert got.first()["blocked"] == blocked
+
+
+def test_url_forms_in_sql(spark, tmp_path):
+    """The query and its SQL agree on hosts written in unusual ways."""
+    import duckdb
+
+    from lexiloom.llm import queries
+
+    urls = ["http://Site1.example/fr/a", "HTTP://u:p@site1.example/fr/b", "http://site1.example./fr/", "http://site1.example:80/fr/x/y", None, "no url", "http://" + "x." * 200 + "org/", "http://[::1]/fr/a", "ftp://sub.site1.example/"]
+    rows = [(i, urls[i % len(urls)], None) for i in range(200)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    compare.same_rows(queries.op2_url_filter(spark, str(tmp_path)), con, queries.OP2_SQL)
+
+
 # vectors
 
 
