@@ -16,6 +16,7 @@ inside it; text payloads can't (the magic isn't UTF-8).
 from __future__ import annotations
 
 import base64
+import json
 import re
 import uuid
 import zlib
@@ -67,8 +68,8 @@ def encode_record(record_id: str, url: str | None, payload: bytes, digest: str,
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
     """Write ``records(record_id, url, payload, digest, revisit_of)``, one archive a task.
 
-    Returns the manifest (file, records): only files that a finished task names count, so those
-    that a lost task left are never read.
+    Returns the manifest (file, records, bytes): only files that a finished task names count, so
+    those that a lost task left are never read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +84,10 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
                         record_id, url, payload, digest, revisit_of = row
                         out.write(encode_record(record_id, url, payload or b"", digest, revisit_of))
                         n += 1
-        yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "records": [n]})
+            size = out.tell()
+        yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "records": [n], "bytes": [size]})
 
-    return records.select("record_id", "url", "payload", "digest", "revisit_of").mapInArrow(run, "file string, records long")
+    return records.select("record_id", "url", "payload", "digest", "revisit_of").mapInArrow(run, "file string, records long, bytes long")
 
 
 class _Blocks:
@@ -181,19 +183,26 @@ class _WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
-    def partitions(self) -> list[_Range]:
-        from pyarrow import fs
+    def files(self) -> list[tuple[str, int]]:
+        """(file, bytes) as the manifest table has them, or as found under the paths."""
+        from pyarrow import dataset, fs
 
-        split = int(self.options.get("splitbytes", SPLIT_BYTES))
-        found = []
-        for path in self.options["path"].split(","):
+        if "manifest" in self.options:
+            files, root = _fs(self.options["manifest"])
+            found = dataset.dataset(root, filesystem=files, format="parquet").to_table(columns=["file", "bytes"], filter=dataset.field("records") > 0)
+            return sorted(zip(found["file"].to_pylist(), found["bytes"].to_pylist(), strict=True))
+        out = []
+        for path in json.loads(self.options["files"]) if "files" in self.options else [self.options["path"]]:
             files, root = _fs(path)
             info = files.get_file_info(root)
             infos = files.get_file_info(fs.FileSelector(root, recursive=True)) if info.type == fs.FileType.Directory else [info]
             scheme = path[: len(path) - len(root)] if path.endswith(root) else ""
-            for i in sorted((x for x in infos if x.is_file and x.path.endswith((".warc.gz", ".gz"))), key=lambda x: x.path):
-                found += [_Range(scheme + i.path, at, min(i.size, at + split), i.size) for at in range(0, i.size, split)]
-        return found or [_Range("", 0, 0, 0)]
+            out += [(scheme + i.path, i.size) for i in sorted(infos, key=lambda x: x.path) if i.is_file and i.path.endswith((".warc.gz", ".gz"))]
+        return out
+
+    def partitions(self) -> list[_Range]:
+        split = int(self.options.get("splitbytes", SPLIT_BYTES))
+        return [_Range(file, at, min(size, at + split), size) for file, size in self.files() for at in range(0, size, split)] or [_Range("", 0, 0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         if not part.size:
@@ -218,7 +227,7 @@ class _WarcReader(DataSourceReader):
 
 
 class WarcDataSource(DataSource):
-    """``spark.read.format("warc").option("splitBytes", n).load(path[,path...])``"""
+    """``spark.read.format("warc").option("splitBytes", n).load(path)``; ``manifest`` names a table of files, ``files`` lists them in JSON."""
 
     @classmethod
     def name(cls) -> str:
@@ -231,9 +240,13 @@ class WarcDataSource(DataSource):
         return _WarcReader({k.lower(): v for k, v in self.options.items()})
 
 
-def read_warc(spark: SparkSession, paths: str | list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_warc(spark: SparkSession, paths: str | list[str] | None = None, split_bytes: int = SPLIT_BYTES, manifest: str | None = None) -> DataFrame:
+    """Records of a folder, a list of files, or the files a manifest table (file, records, bytes) names."""
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("splitBytes", str(split_bytes)).load(paths if isinstance(paths, str) else ",".join(paths))
+    reader = spark.read.format("warc").option("splitBytes", str(split_bytes))
+    if manifest:
+        return reader.option("manifest", manifest).load()
+    return reader.load(paths) if isinstance(paths, str) else reader.option("files", json.dumps(paths)).load()
 
 
 def plan_revisits(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
@@ -254,5 +267,5 @@ def archive(pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read their records back."""
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    manifest = write_warc(plan_revisits(pages), folder).collect()  # one row a task
-    return read_warc(spark, [m["file"] for m in manifest if m["records"]] or folder, split_bytes)
+    write_warc(plan_revisits(pages), folder).write.parquet(f"{folder}-manifest")
+    return read_warc(spark, split_bytes=split_bytes, manifest=f"{folder}-manifest")

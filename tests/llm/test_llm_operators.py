@@ -411,6 +411,18 @@ def test_warc_every_split_size(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_warc_paths(spark, tmp_path):
+    """Folders and lists of files, with commas in their names."""
+    folder = tmp_path / "a,b"
+    folder.mkdir()
+    for name in ("x,1.warc.gz", "y.warc.gz"):
+        (folder / name).write_bytes(b"".join(warc.encode_record(f"urn:{name}:{k}", None, b"text", hashlib.sha1(b"text").hexdigest(), None) for k in range(3)))
+    (folder / "other.txt").write_text("WARC/1.0")
+    assert warc.read_warc(spark, f"file://{folder}", split_bytes=50).count() == 6
+    assert warc.read_warc(spark, [f"file://{folder}/x,1.warc.gz"]).count() == 3
+    assert warc.read_warc(spark, []).count() == 0
+
+
 def test_warc_rejects_false_magic():
     good = warc.encode_record("urn:x", "http://x/", b"payload", hashlib.sha1(b"payload").hexdigest(), None)
     fake = zlib.compress(b"not a record")
