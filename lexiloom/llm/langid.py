@@ -30,6 +30,8 @@ from .common import segments
 
 DIMS = 1 << 13
 SAMPLE_ROWS, SAMPLE_LEAST = 2_000, 40
+#: A language with a larger part of the rows than one in so many is frequent.
+FREQUENT = 10_000
 #: Families of languages by ISO 639-1 code.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy yi",
@@ -62,16 +64,16 @@ def has_letter(text: str | None) -> bool:
 
 
 def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    w, b = np.zeros((x.shape[1], classes)), np.zeros(classes)
-    once = np.eye(classes)[y]
-    weight = (1 / np.maximum(1, np.bincount(y, minlength=classes)))[y][:, None] / classes
+    w, b = np.zeros((x.shape[1], classes), x.dtype), np.zeros(classes, x.dtype)
+    once = np.eye(classes, dtype=x.dtype)[y]
+    weight = ((1 / np.maximum(1, np.bincount(y, minlength=classes)))[y][:, None] / classes).astype(x.dtype)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         z = x @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         g = (p - once) * weight
-        gw = x.T @ g + 1e-6 * w
+        gw = x.T @ g + np.float32(1e-6) * w
         m += 0.1 * (gw - m)
         v += 0.01 * (gw * gw - v)
         w -= 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -81,16 +83,17 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 200) ->
 
 def svm_fit(x: np.ndarray, sign: np.ndarray, passes: int = 10, c: float = 10.0, seed: int = 3) -> np.ndarray:
     """Linear SVM by dual coordinate ascent; the last weight is the bias."""
-    x = np.c_[x, np.ones(len(x))]
-    w, alpha, norm = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(1)
+    w, bias, alpha, norm = np.zeros(x.shape[1], x.dtype), 0.0, np.zeros(len(x)), np.einsum("ij,ij->i", x, x).astype(float) + 1
     rng = np.random.default_rng(seed)
     for _ in range(passes):
-        for i in rng.permutation(len(x)):
-            new = min(max(alpha[i] + (1 - sign[i] * (x[i] @ w)) / norm[i], 0.0), c)
+        for i in rng.permutation(len(x)).tolist():
+            new = min(max(alpha[i] + (1 - sign[i] * (float(x[i] @ w) + bias)) / norm[i], 0.0), c)
             if new != alpha[i]:
-                w += (new - alpha[i]) * sign[i] * x[i]
+                step = (new - alpha[i]) * sign[i]
+                w += x.dtype.type(step) * x[i]
+                bias += step
                 alpha[i] = new
-    return w
+    return np.r_[w, bias]
 
 
 class Model:
@@ -142,13 +145,15 @@ def fit(docs: DataFrame) -> Model | None:
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("k", F.xxhash64("doc_id", F.length("text")))
     stats = rows.groupBy("lang").agg(F.approx_count_distinct("k").alias("found"))
-    langs = stats.count()
+    sizes = stats.agg(F.count("*").alias("langs"), F.sum("found").alias("rows")).first()
+    langs = sizes["langs"]
     if not langs:
         return None
     each = max(SAMPLE_LEAST, SAMPLE_ROWS // langs)
-    # Rows whose hash lies below a share of its range, about four times those wanted, before any is ranked.
-    share = F.least(F.lit(1.0), F.lit(4.0 * each) / F.greatest("found", F.lit(1)))
-    few = rows.select("doc_id", "lang", "k").join(stats, "lang").where((F.col("k") / 2.0**64 + 0.5) <= share).select("doc_id", "lang", "k").distinct()
+    # Of frequent languages, rows whose hash lies below a share of its range, about four times those
+    # wanted, before any is ranked.  There are at most ``FREQUENT`` such languages.
+    frequent = stats.where(F.col("found") > max(4 * each, sizes["rows"] // FREQUENT)).select("lang", (F.lit(4.0 * each) / F.col("found")).alias("share"))
+    few = rows.join(F.broadcast(frequent), "lang", "left").where((F.col("k") / 2.0**64 + 0.5) <= F.coalesce("share", F.lit(1.0))).select("doc_id", "lang", "k").distinct()
     ids = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))).where(F.col("r") <= each).select("k", "lang")
     sample = rows.join(F.broadcast(ids.distinct()), ["k", "lang"]).groupBy("k", "lang").agg(F.min("text").alias("text"))
 
