@@ -3,7 +3,7 @@
 Alternates two contractions until the edges are stars around each component's smallest node:
 first every node links its larger neighbours to its smallest one, then its smaller ones.  Each
 round's edges are a table in the shared folder.  No node's neighbours are gathered in one place:
-the minimum is pre-aggregated and joined back, and adaptive execution splits the joins of hubs.
+the minimum is pre-aggregated and joined back, to hubs where their edges lie.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
+from .grouping import join_hubs
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,9 +28,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
         before = state
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = join_hubs(both.where("v > u"), least, "u", "n", 2 * state["n"]).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = stash(large, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        near = join_hubs(large, least, "u", "n", 2 * state["n"])
+        least = least.drop("n")
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u > v").distinct()
         e = stash(small, "edges")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .caches import hold
 from .common import mix, segments, stash, words_of
 from .components import components
-from .grouping import map_groups
+from .grouping import join_hubs, map_groups
 
 WORDS = 5
 BAND_ROWS = 6
@@ -196,8 +196,8 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges whose full sets are similar enough.  Members meet their star's centre in blocks."""
-    size = edges.groupBy("a").agg(F.count("*").alias("size"))
-    e = edges.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / BLOCK)).alias("i"), "b")
+    size = edges.groupBy("a").agg(F.count("*").alias("size"), F.count("*").alias("n"))
+    e = join_hubs(edges, size, "a", "n", edges.count()).select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / BLOCK)).alias("i"), "b")
     both = e.select("a", "i", "b", F.lit(1).alias("kind")).union(e.select("a", "i", F.col("a").alias("b"), F.lit(0).alias("kind")).distinct())
     rows = both.join(sets.select(F.col("cls").alias("b"), "shingles"), "b").select("a", "i", "kind", "b", "shingles")
 
@@ -216,8 +216,8 @@ def _rest(edges: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFram
     at = stash(cluster.join(part, "cls", "left").withColumn("part", F.coalesce("part", "cls")), "clusters")
     parts = at.groupBy("cluster", "part").agg(F.count("*").alias("size"))
     top = parts.groupBy("cluster").agg(F.max(F.struct("size", "part")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    top = top.select("cluster", F.col("top.part").alias("main"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).alias("few"), F.ceil(F.col("top.size") / BLOCK).alias("many"))
-    m = at.join(top, "cluster").withColumn("h", F.xxhash64("cls"))
+    top = top.select("cluster", F.col("top.part").alias("main"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).alias("few"), F.ceil(F.col("top.size") / BLOCK).alias("many"), "all")
+    m = join_hubs(at, top, "cluster", "all", at.count()).withColumn("h", F.xxhash64("cls"))
     inside = F.col("part") == F.col("main")
     zero = F.lit(0).cast("long")
     outer = m.where(~inside).withColumn("own", F.pmod("h", "few"))
