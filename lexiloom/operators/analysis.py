@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import uniform
-from .ranking import average_rank
+from .ranking import with_average_rank
 
 
 def bootstrap_difference(df: DataFrame, value: str, group: str, key: str, draws: int = 100, share: float = 0.7, seed: int = 42, by: list[str] | None = None) -> DataFrame:
@@ -18,14 +19,20 @@ def bootstrap_difference(df: DataFrame, value: str, group: str, key: str, draws:
     draw, so rows are never gathered and partial sums suffice.
     """
     by = by or []
-    d = df.select(*by, group, F.col(value).cast("double").alias("v"), F.col(key).alias("k")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = uniform(F.concat_ws("_", "draw", "k"), seed)
-    total, p, copies = 0.0, 2.718281828459045**-share, F.lit(0)
-    for n in range(8):
-        total += p
-        p *= share / (n + 1)
-        copies = copies + F.when(u >= total, 1).otherwise(0)
-    sums = d.withColumn("n", copies).groupBy(*by, "draw", group).agg((F.sum(F.col("v") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+    p, below = math.exp(-share), [math.exp(-share)]
+    while below[-1] < 1.0 - 1e-12:  # the whole inverse distribution, as far as numbers of 32 bits reach
+        p *= share / len(below)
+        below.append(below[-1] + p)
+
+    def copies(draw: int) -> Column:
+        u = uniform(F.concat_ws("_", F.lit(draw), "k"), seed)
+        return F.size(F.filter(F.array(*map(F.lit, below)), lambda b: b <= u))
+
+    d = df.select(*by, group, F.col(value).cast("double").alias("v"), F.col(key).alias("k"))
+    d = d.withColumns({f"n{i}": copies(i) for i in range(1, draws + 1)})
+    sums = d.groupBy(*by, group).agg(*(F.sum(F.col("v") * F.col(f"n{i}")).alias(f"s{i}") for i in range(1, draws + 1)), *(F.sum(f"n{i}").alias(f"c{i}") for i in range(1, draws + 1)))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("draw"), (F.col(f"s{i}") / F.nullif(F.col(f"c{i}"), F.lit(0))).alias("m")) for i in range(1, draws + 1))))
+    sums = sums.select(*by, group, each.alias("e")).select(*by, group, "e.draw", "e.m")
     diff = sums.groupBy(*by, "draw").agg((F.max(F.when(F.col(group) == 1, F.col("m"))) - F.max(F.when(F.col(group) == 0, F.col("m")))).alias("d"))
     cut = F.percentile("d", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return diff.groupBy(*by).agg(cut.alias("p")).select(*by, *(F.get("p", i).alias(n) for i, n in enumerate(("low", "median", "high"))))
@@ -43,11 +50,11 @@ def one_sided_kl(counts: DataFrame, smoothing: float = 0.01) -> DataFrame:
     ``counts(dataset, term, c0, c1)``.
     """
     lam = F.lit(float(smoothing))
-    w = Window.partitionBy("dataset")
-    p0 = (F.col("c0") + lam) / F.sum(F.col("c0") + lam).over(w)
-    p1 = (F.col("c1") + lam) / F.sum(F.col("c1") + lam).over(w)
-    s = counts.select("dataset", "term", (F.col("c0") + F.col("c1")).alias("df"), (p1 * F.log(p1 / p0)).alias("score"))
-    return s.withColumn("rank", average_rank(F.col("score"), ["dataset"]))
+    total = counts.groupBy("dataset").agg(F.sum(F.col("c0") + lam).alias("_s0"), F.sum(F.col("c1") + lam).alias("_s1"))
+    c = counts.join(total, "dataset")
+    p0, p1 = (F.col("c0") + lam) / F.col("_s0"), (F.col("c1") + lam) / F.col("_s1")
+    s = c.select("dataset", "term", (F.col("c0") + F.col("c1")).alias("df"), (p1 * F.log(p1 / p0)).alias("score"))
+    return with_average_rank(s, "score", ["dataset"], "rank")
 
 
 def pairwise_correlation(ratios: DataFrame) -> DataFrame:
@@ -113,3 +120,63 @@ def hit_rate(counts: DataFrame, known: DataFrame) -> DataFrame:
 
 def value_bins(value: Column, lo: float, hi: float, bins: int) -> Column:
     return F.least(F.floor((value - lo) / (hi - lo) * bins), F.lit(bins - 1))
+
+
+def category_counts(posts: DataFrame, user: str, category: str, at: str, lo: str, hi: str) -> DataFrame:
+    """(user, category, n) of a user's posts in the closed date range."""
+    day = F.to_date(at)
+    return posts.where(day.between(F.lit(lo).cast("date"), F.lit(hi).cast("date")) & F.col(category).isNotNull()).groupBy(user, category).agg(F.count("*").alias("n"))
+
+
+def language_counts(posts: DataFrame, loader, tokenizer, vocabulary, min_date: str | None = None, max_date: str | None = None) -> DataFrame:
+    """(source, term, n) of raw posts: the loader's post filters first, then tokens are made anew and counted."""
+    kept = loader.select(posts, min_date, max_date).where(F.col("text").isNotNull())
+    rows = loader.filter(kept.withColumn("tokens", tokenizer(F.col("text"))))
+    return vocabulary.counts(rows.select(F.col("user").alias("source"), "tokens"))
+
+
+def frequent_in_fold(counts: DataFrame, folds: DataFrame, least: int) -> DataFrame:
+    """(fold, term): terms that ``least`` sources of a fold's training side use."""
+    return counts.join(folds, "source").groupBy("fold", "term").agg(F.count("*").alias("df")).where(F.col("df") >= least).select("fold", "term")
+
+
+def mean_coefficients(coefficients: DataFrame, by: list[str]) -> DataFrame:
+    """Mean and deviation of each coefficient over the folds."""
+    return coefficients.groupBy(*by).agg(F.avg("coef").alias("coef"), F.stddev_pop("coef").alias("std"), F.count("*").alias("folds"))
+
+
+def group_means(values: DataFrame, groups: DataFrame) -> DataFrame:
+    """(name, grp, mean, n) of ``values(source, name, value)``: absent values count as zeros."""
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
+    return values.join(groups, "source").groupBy("name", "grp").agg(F.sum("value").alias("s")).join(F.broadcast(sizes), "grp").select("name", "grp", (F.col("s") / F.col("n")).alias("mean"), "n")  # one row a group
+
+
+def concat(*tables: DataFrame) -> DataFrame:
+    """Rows of all tables; a column that one lacks is null there."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def chunks(items: Column, size: int) -> Column:
+    """An array cut into arrays of ``size`` items, the last one shorter."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int"))
+    return F.when(F.size(items) > 0, F.transform(starts, lambda i: F.slice(items, i * size + 1, size))).otherwise(F.array(items))
+
+
+def name_emoji(term: Column) -> Column:
+    """A term with each emoji written as ``EMOJI=name``, by the names the Unicode standard gives."""
+    from ..functions.tokenizer import EMOJI
+
+    @F.pandas_udf("string")
+    def spell(terms):  # the terms of a report, a few hundred
+        import unicodedata
+
+        import regex
+
+        pattern = regex.compile(regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), EMOJI))
+        name = lambda c: unicodedata.name(c, f"U+{ord(c):04X}").lower()
+        return terms.map(lambda t: t if t is None else pattern.sub(lambda m: "EMOJI=" + " ".join(name(c) for c in m[0] if ord(c) not in (0x200D, 0xFE0F)), t))
+
+    return spell(term)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import running, with_average_rank
+
 
 def align(truth: DataFrame, predictions: DataFrame, fill: float = 0.5) -> DataFrame:
     """Outer alignment by ``source``; a missing prediction is ``fill``."""
@@ -39,17 +41,15 @@ def auc(df: DataFrame, by: list[str]) -> DataFrame:
     Scores are counted first, so the window orders distinct scores, not rows.
     """
     d = df.groupBy(*by, "y_pred").agg(F.count_if(F.col("y_true") == 1).alias("p"), F.count_if(F.col("y_true") != 1).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("y_pred").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("won", F.col("p") * (before + F.col("n") / 2.0))
+    d = running(d, by, ["y_pred"], ["n"]).withColumn("won", F.col("p") * (F.col("before_n") + F.col("n") / 2.0))
     return d.groupBy(*by).agg((F.sum("won") / F.nullif((F.sum("p") * F.sum("n")).cast("double"), F.lit(0.0))).alias("auc"))
 
 
 def roc_curve(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, threshold, tpr, fpr) at each distinct score, highest first."""
     d = df.groupBy(*by, F.col("y_pred").alias("threshold")).agg(F.count_if(F.col("y_true") == 1).alias("p"), F.count_if(F.col("y_true") != 1).alias("n"))
-    so_far = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    share = lambda c: F.sum(c).over(so_far) / F.nullif(F.sum(c).over(whole), F.lit(0))
+    d = running(d, by, [F.desc("threshold")], ["p", "n"])
+    share = lambda c: (F.col(f"before_{c}") + F.col(c)) / F.nullif(F.col(f"all_{c}"), F.lit(0))
     return d.select(*by, "threshold", share("p").alias("tpr"), share("n").alias("fpr"))
 
 
@@ -91,12 +91,21 @@ def against_baseline(df: DataFrame, keys: list[str], is_baseline: Column, value:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    from .ranking import average_rank
-
-    ranked = df.select(*by, average_rank(F.col(x), by).alias("rx"), average_rank(F.col(y), by).alias("ry"))
-    return ranked.groupBy(*by).agg(F.corr("rx", "ry").alias("spearman"))
+    d = with_average_rank(df.select(*by, F.col(x).alias("x"), F.col(y).alias("y")), "x", by, "rx")
+    return with_average_rank(d, "y", by, "ry").groupBy(*by).agg(F.corr("rx", "ry").alias("spearman"))
 
 
 def with_subsets(df: DataFrame, seen: str) -> DataFrame:
     """Each row once for ``overall`` and once for ``seen`` or ``unseen``."""
     return df.withColumn("subset", F.explode(F.array(F.lit("overall"), F.when(F.col(seen), "seen").otherwise("unseen"))))
+
+
+def report(df: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+    """Accuracy, the scores of class 1, and the means of both classes' scores weighted by their size."""
+    c = counts(df, by, threshold)
+    tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
+    one = {"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)}
+    zero = {"precision": ratio(tn, tn + fn), "recall": ratio(tn, tn + fp), "f1": ratio(2 * tn, 2 * tn + fp + fn)}
+    weighted = (ratio((tp + fn) * one[k] + (tn + fp) * zero[k], tp + fp + fn + tn).alias(f"weighted_{k}") for k in one)
+    return c.select(*by, ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), *(v.alias(k) for k, v in one.items()), *weighted)

@@ -165,8 +165,9 @@ def predict(model, df: DataFrame) -> DataFrame:
 
 def class_weights(df: DataFrame, weights: dict[int, float] | str = "balanced") -> DataFrame:
     if weights == "balanced":
-        w = F.count("*").over(Window.partitionBy(F.lit(0))) / (2.0 * F.count("*").over(Window.partitionBy("label")))
-        return df.withColumn("weight", w)
+        sizes = df.groupBy(F.col("label").alias("_label")).agg(F.count("*").alias("_n"))
+        sizes = sizes.select("_label", (F.sum("_n").over(Window.partitionBy(F.lit(0))) / (2.0 * F.col("_n"))).alias("weight"))  # one row a class
+        return df.drop("weight").join(F.broadcast(sizes), F.col("label").eqNullSafe(F.col("_label"))).drop("_label")
     return df.withColumn("weight", F.coalesce(*(F.when(F.col("label") == k, float(v)) for k, v in weights.items()), F.lit(1.0)))
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import order_key, uniform
+from .ranking import placed
 
 
-def _place(by: list[str], key: str, seed: int) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(order_key(F.col(key), seed), key))
+def _placed(df: DataFrame, by: list[str], key: str, seed: int, name: str = "_p") -> DataFrame:
+    return placed(df, by, order_key(F.col(key), seed), key, name)
 
 
 def rebalance(df: DataFrame, label: str, key: str, ratio: tuple[int, int] = (1, 1), seed: int = 42) -> DataFrame:
@@ -22,8 +23,8 @@ def rebalance(df: DataFrame, label: str, key: str, ratio: tuple[int, int] = (1,
     enough = F.col("_t") * c <= F.col("_c") * t
     most_t = F.when(enough, F.col("_t")).otherwise(F.expr(f"(_c * {t}) div {c}"))
     most_c = F.when(enough, F.expr(f"(_t * {c}) div {t}")).otherwise(F.col("_c"))
-    placed = df.where(F.col(label).isin(0, 1)).withColumn("_p", _place([label], key, seed)).crossJoin(n)
-    return placed.where(F.col("_p") <= F.when(F.col(label) == 1, most_t).otherwise(most_c)).select(df.columns)
+    rows = _placed(df.where(F.col(label).isin(0, 1)), [label], key, seed).crossJoin(n)
+    return rows.where(F.col("_p") <= F.when(F.col(label) == 1, most_t).otherwise(most_c)).select(df.columns)
 
 
 def downsample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -32,13 +33,15 @@ def downsample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42) -> DataFrame:
     """``fold`` from 1 to k, each with an equal share of every class."""
-    return df.withColumn("fold", (_place([label], key, seed) - 1) % k + 1)
+    rows = _placed(df.drop("fold"), [label], key, seed)
+    return rows.withColumn("fold", ((F.col("_p") - 1) % k + 1).cast("int")).drop("_p")
 
 
 def held_out_split(df: DataFrame, label: str, key: str, share: float, seed: int = 42) -> DataFrame:
     """``role`` test for the given share of each class, else train."""
-    n = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("role", F.when(_place([label], key, seed) <= F.floor(n * share), "test").otherwise("train"))
+    n = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))  # one row a class
+    rows = _placed(df, [label], key, seed).join(F.broadcast(n), F.col(label).eqNullSafe(F.col("_label")))
+    return rows.withColumn("role", F.when(F.col("_p") <= F.floor(F.col("_n") * share), "test").otherwise("train")).drop("_p", "_n", "_label")
 
 
 def recent_posts(df: DataFrame, by: str, at: str, ordinal: str, n: int) -> DataFrame:
@@ -49,7 +52,7 @@ def recent_posts(df: DataFrame, by: str, at: str, ordinal: str, n: int) -> DataF
 def random_posts(df: DataFrame, by: str, key: str, n: int | float, seed: int = 42) -> DataFrame:
     """``n`` posts of each user, or that fraction of them."""
     size = F.lit(n) if isinstance(n, int) else F.floor(F.count("*").over(Window.partitionBy(by)) * n)
-    return df.withColumn("_n", size).withColumn("_p", _place([by], key, seed)).where(F.col("_p") <= F.col("_n")).drop("_n", "_p")
+    return df.withColumn("_n", size).withColumn("_p", F.row_number().over(Window.partitionBy(by).orderBy(order_key(F.col(key), seed), key))).where(F.col("_p") <= F.col("_n")).drop("_n", "_p")
 
 
 def matched_pairs(targets: DataFrame, controls: DataFrame, matches: str, key: str) -> DataFrame:
@@ -68,8 +71,9 @@ def histogram_matched(pool: DataFrame, reference: DataFrame, value: str, key: st
     weight = reference.withColumn("_bin", bin_of(F.col(value))).groupBy(*by, "_bin").agg(F.count("*").cast("double").alias("_w"))
     drawn = pool.withColumn("_bin", bin_of(F.col(value))).join(weight, [*by, "_bin"])
     drawn = drawn.withColumn("_k", -F.log(F.greatest(uniform(F.col(key), seed), F.lit(1e-12))) / F.col("_w"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return drawn.withColumn("_p", F.row_number().over(w.orderBy("_k", key))).where(F.col("_p") <= n).select(pool.columns)
+    if not by:
+        return drawn.orderBy("_k", key).limit(n).select(pool.columns)
+    return drawn.withColumn("_p", F.row_number().over(Window.partitionBy(*by).orderBy("_k", key))).where(F.col("_p") <= n).select(pool.columns)
 
 
 def expand_labels(users: DataFrame, labels: str, disorders: list[str]) -> DataFrame:
