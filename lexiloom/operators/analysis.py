@@ -101,7 +101,7 @@ def lag_periods(df: DataFrame, train: str, test: str) -> DataFrame:
 
 def within_between(similarity: DataFrame, groups: DataFrame) -> DataFrame:
     """Mean similarity (a, b, cosine) within and between the sources' groups."""
-    g = F.broadcast(groups)  # one row a source that is compared with all
+    g = groups
     j = similarity.where("a <> b").join(g.select(F.col("source").alias("a"), F.col("grp").alias("ga")), "a").join(g.select(F.col("source").alias("b"), F.col("grp").alias("gb")), "b")
     return j.groupBy((F.col("ga") == F.col("gb")).alias("within")).agg(F.avg("cosine").alias("cosine"), F.count("*").alias("n"))
 
@@ -109,7 +109,7 @@ def within_between(similarity: DataFrame, groups: DataFrame) -> DataFrame:
 def class_ids(df: DataFrame, cols: list[str]) -> DataFrame:
     """A number for each combination of classes, in order; combinations are few."""
     combos = df.select(*cols).distinct().withColumn("class_id", F.row_number().over(Window.orderBy(*cols)) - 1)
-    return df.join(F.broadcast(combos), cols)
+    return df.join(combos, cols)
 
 
 def hit_rate(counts: DataFrame, known: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.wordlists import CONTRACTIONS, PRONOUNS, STOPWORDS
 from ..sources.scratch import stash
-from .ranking import rank_of
+from .ranking import position, rank_of
 
 
 def class_counts(dtm: DataFrame, labels: DataFrame, binarize: bool = True) -> DataFrame:
@@ -79,3 +82,86 @@ def class_log_ratio(dtm: DataFrame, labels: DataFrame, alpha: float = 1e-10) ->
     ratio = F.log((p1 + a) / (p0 + a))
     overall = (F.col("c0") + F.col("c1")) / (F.col("n0") + F.col("n1"))
     return users.select("term", "c0", "c1", p0.alias("p0"), p1.alias("p1"), ratio.alias("log_ratio"), (ratio * overall).alias("weighted_log_ratio"), F.log((p1 + a) / (overall + a)).alias("pmi"))
+
+
+def expanded(words: list[str]) -> set[str]:
+    """The words and those that their contractions stand for."""
+    return set(words) | {x for w in words for x in CONTRACTIONS.get(w, w).split()}
+
+
+def stopword_groups(vocabulary: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
+    """(term, stopword): single words of the vocabulary that are stopwords once in lower case and without ``not_``.
+
+    Raises ValueError if there is none.
+    """
+    words = sorted(expanded(list(STOPWORDS if stopwords is None else stopwords)))
+    plain = F.replace(F.lower("term"), F.lit("not_"), F.lit(""))
+    found = vocabulary.where(~F.contains("term", F.lit(" "))).select("term", plain.alias("stopword")).where(F.col("stopword").isin(*words))
+    if not found.limit(1).count():
+        raise ValueError("no term of the vocabulary is a stopword")
+    return found
+
+
+def kl_scores_by_group(dtm: DataFrame, labels: DataFrame, groups: DataFrame, smoothing: float = 0.01, symmetric: bool = True) -> DataFrame:
+    """``kl_scores`` against groups of terms: a stopword's profile is that of all its forms together."""
+    forms = dtm.join(groups, "term").select("source", F.concat(F.lit("\u0002"), F.col("stopword")).alias("term")).distinct().withColumn("n", F.lit(1).cast("long"))
+    names = [r["term"] for r in forms.select("term").distinct().collect()]  # at most the word list
+    both = dtm.select("source", "term", "n").unionByName(forms.select("source", "term", "n"))
+    return kl_scores(both, labels, names, smoothing, symmetric).where(~F.col("term").startswith("\u0002"))
+
+
+@dataclass(frozen=True)
+class Selector:
+    """Selection of a vocabulary's terms: ``kind`` is None (all), ``kldivergence`` or ``pmi``.
+
+    ``protected`` terms stay whatever their score, as do pronouns with ``keep_pronouns``; with
+    ``filter_stopwords`` stopwords go first, but for those pronouns.
+    """
+
+    kind: str | None = None
+    top_k: int = 1000
+    min_support: int = 0
+    smoothing: float = 0.01
+    beta: float = 0.5
+    symmetric: bool = True
+    stopwords: tuple[str, ...] | None = None
+    filter_stopwords: bool = False
+    keep_pronouns: bool = False
+    protected: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.kind not in (None, "kldivergence", "pmi"):
+            raise ValueError("kind must be None, 'kldivergence' or 'pmi'")
+
+    def best(self, dtm: DataFrame, labels: DataFrame, vocabulary: DataFrame) -> DataFrame:
+        """(term) of the best-ranked terms of ``dtm(source, term, n)``; labels are ``(source, y)``."""
+        if self.kind == "pmi":
+            scores = pmi(dtm, labels, self.smoothing)
+            top = scores.groupBy("term").agg(F.max("pmi").alias("pmi"), F.sum("n").alias("n")).where(F.col("n") >= self.min_support)
+            return top.orderBy(F.desc(F.round("pmi", 9)), "term").limit(self.top_k).select("term")
+        groups = stopword_groups(vocabulary, list(self.stopwords) if self.stopwords is not None else None)
+        scores = kl_scores_by_group(dtm, labels, groups, self.smoothing, self.symmetric)
+        return select_top(mixed_rank(scores, self.beta), self.top_k, self.min_support).select("term")
+
+    def fit(self, dtm: DataFrame, labels: DataFrame, vocabulary: DataFrame) -> DataFrame:
+        """(term, n, idx): what stays of the vocabulary, indexed anew in the order of the terms."""
+        if self.kind is None:
+            return vocabulary
+        return self.reindex(vocabulary, self.best(dtm, labels, vocabulary))
+
+    def reindex(self, vocabulary: DataFrame, best: DataFrame) -> DataFrame:
+        removed = (expanded(list(STOPWORDS)) - (set(PRONOUNS) if self.keep_pronouns else set())) if self.filter_stopwords else set()
+        kept = sorted((set(self.protected) - removed) | (set(PRONOUNS) if self.keep_pronouns else set()))
+        chosen = best.select("term", F.lit(True).alias("_best"))
+        stays = F.coalesce("_best", F.lit(False))
+        if removed:
+            stays &= ~F.col("term").isin(*sorted(removed))
+        if kept:
+            stays |= F.col("term").isin(*kept)
+        return position(vocabulary.select("term", "n").join(chosen, "term", "left").where(stays).drop("_best"), "term")
+
+
+def reduce_columns(dtm: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(source, idx, n) under the new index: the columns of terms that stayed."""
+    moved = before.select("term", F.col("idx").alias("_old")).join(after.select("term", F.col("idx").alias("_new")), "term").drop("term")
+    return dtm.join(moved, dtm["idx"] == F.col("_old")).select("source", F.col("_new").alias("idx"), "n")

@@ -88,7 +88,7 @@ def pair_across(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def split_sizes(splits: DataFrame, by: list[str], folds: list[int]) -> DataFrame:
     """Number of sources of each role as a matrix, a column for each fold; 0 where there is none."""
-    wide = splits.groupBy(*by, "role").pivot("fold", folds).agg(F.count("*"))
+    wide = splits.groupBy(*by, "role").pivot("fold", folds).agg(F.count("source"))
     return wide.na.fill(0, [str(f) for f in folds])
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_PERIODS = 10_000
+
+
 def bin_of(at: Column, bounds: list[str]) -> Column:
     """Index of the half-open bin [b_i, b_i+1); the last is open-ended; null before the first."""
     out = F.lit(None).cast("int")
@@ -59,5 +62,10 @@ def period_stats(counts: DataFrame, users: DataFrame, periods: DataFrame, user:
 
 
 def join_periods(df: DataFrame, periods: DataFrame, at: str) -> DataFrame:
-    """Rows with each period [lo, hi) that holds them; a null hi is open.  Periods are few and sent out."""
+    """Rows with each period [lo, hi) that holds them; a null hi is open.
+
+    At most ``MOST_PERIODS`` periods are sent to every task; more are refused.
+    """
+    if periods.limit(MOST_PERIODS + 1).count() > MOST_PERIODS:
+        raise ValueError(f"more than {MOST_PERIODS} periods")
     return df.join(F.broadcast(periods), (F.col(at) >= F.col("lo")) & (F.col("hi").isNull() | (F.col(at) < F.col("hi"))))

@@ -32,12 +32,14 @@ class Vocabulary:
         ngrams(F.lit(None), *self.ngram_range)
 
     def terms(self, tokens: Column) -> Column:
+        if self.ngram_range == (1, 1):  # flags come after the other tokens, which counts don't see
+            return tokens
         grams = ngrams_with_flags(tokens, list(self.flags), *self.ngram_range) if self.flags else ngrams(tokens, *self.ngram_range)
         return F.transform(grams, lambda g: F.array_join(g, " "))
 
     def counts(self, corpus: DataFrame, binarize: bool = False) -> DataFrame:
         """(source, term, n) of a corpus."""
-        long = corpus.select("source", F.explode(self.terms(F.col("tokens"))).alias("term"))
+        long = corpus.select("source", F.explode(self.terms(F.col("tokens"))).alias("term")).where("term is not null")
         out = long.groupBy("source", "term").agg(F.count("*").alias("n"))
         return out.withColumn("n", F.lit(1).cast("long")) if binarize else out
 
@@ -47,7 +49,11 @@ class Vocabulary:
         Counts are of sources if ``binarize``, else of occurrences.  Terms whose first word is
         protected always stay, and protected words the corpus lacks join with count 1.
         """
-        total = self.counts(corpus, self.binarize).groupBy("term").agg(F.sum("n").alias("n"))
+        return self.fit_counts(self.counts(corpus, self.binarize))
+
+    def fit_counts(self, counts: DataFrame) -> DataFrame:
+        """``fit`` from a table (source, term, n), which is read as it is."""
+        total = counts.groupBy("term").agg((F.count("*") if self.binarize else F.sum("n")).alias("n"))
         safe = F.substring_index("term", " ", 1).isin(*self.protected) if self.protected else F.lit(False)
         keep = F.lit(True)
         if self.min_freq is not None:
@@ -60,7 +66,7 @@ class Vocabulary:
         if self.max_size is not None:
             kept = kept.orderBy(F.desc("n"), "term").limit(self.max_size)
         if self.protected:
-            extra = corpus.sparkSession.createDataFrame([(p,) for p in self.protected], "term string")
+            extra = counts.sparkSession.createDataFrame([(p,) for p in self.protected], "term string")
             kept = kept.unionByName(extra.join(kept, "term", "left_anti").withColumn("n", F.lit(1).cast("long")))
         return position(kept, "term")
 
@@ -84,3 +90,17 @@ def label_vector(users: DataFrame, label: str, positive: str, negative: str = "c
     """1 for the positive label, 0 for the negative, -1 for others and nulls."""
     y = F.when(F.col(label) == positive, 1).when(F.col(label) == negative, 0).otherwise(-1)
     return users.withColumn("y", y)
+
+
+def external_terms(words: DataFrame, lexicon: DataFrame | None = None, least: int = 1) -> DataFrame:
+    """(term): words of ``words(term, n)`` in lower case that occur ``least`` times and that the lexicon, if given, matches."""
+    from .features import match_lexicon
+
+    terms = words.groupBy(F.lower("term").alias("term")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("term")
+    return terms if lexicon is None else match_lexicon(terms, lexicon).select("term").distinct()
+
+
+def protect(vocabulary: DataFrame, external: DataFrame) -> DataFrame:
+    """(term, n, idx): a learned vocabulary with external terms that it lacks, each with count 1, indexed anew."""
+    missing = external.select("term").distinct().join(vocabulary, "term", "left_anti").withColumn("n", F.lit(1).cast("long"))
+    return position(vocabulary.select("term", "n").unionByName(missing), "term")

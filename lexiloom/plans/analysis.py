@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import analysis as an
@@ -73,7 +75,20 @@ def label_expansion(spark, sf):
     return sm.expand_labels(users, "labels", ["toxic", "low"]).select("doc_id", "toxic", "low")
 
 
-@query("bootstrap_difference")
+def _poisson(share: float = 0.7) -> list[float]:
+    """Distribution function of a Poisson variable up to where it reaches 1."""
+    p, below = math.exp(-share), [math.exp(-share)]
+    while below[-1] < 1.0 - 1e-12:
+        p *= share / len(below)
+        below.append(below[-1] + p)
+    return below
+
+
+@query("bootstrap_difference", f"""WITH {PRED}, u AS (SELECT grp, y_true, y_pred, i, ('0x' || substr(md5('42_' || i || '_' || doc_id), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM pred, range(1, 101) r(i)),
+c AS (SELECT grp, y_true, y_pred, i, {" + ".join(f"CASE WHEN u >= {b!r}::DOUBLE THEN 1 ELSE 0 END" for b in _poisson())} AS n FROM u),
+m AS (SELECT grp, i, y_true, sum(y_pred * n) / nullif(sum(n), 0) AS m FROM c GROUP BY ALL),
+d AS (SELECT grp, i, max(m) FILTER (y_true = 1) - max(m) FILTER (y_true = 0) AS d FROM m GROUP BY ALL)
+SELECT grp, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.975), 6) AS high FROM d GROUP BY grp""")
 def bootstrap_difference(spark, sf):
     p = predictions(spark, sf).withColumnRenamed("y_true", "y")
     return rounded(an.bootstrap_difference(p, "y_pred", "y", "doc_id", by=["grp"]), "low", "median", "high")

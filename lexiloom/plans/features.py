@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import features as fe
 from ..operators import selection as fs
 from ..operators.vocabulary import Vocabulary
+from ..sources.scratch import stash
 from .common import DTM, TOK, corpus, query, rounded, table, toxic_labels
 
 STOPWORDS = ["the", "of", "and", "die", "der", "la", "de"]
@@ -24,8 +25,10 @@ def _dtm(spark, sf, least: int = 1):
 r AS (SELECT source, d.term, n * (ln((1.0::DOUBLE + (SELECT count(DISTINCT source) FROM dtm)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS v FROM dtm d JOIN k ON d.term = k.term)
 SELECT source, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY source)), 6) AS value FROM r""")
 def tfidf_l2(spark, sf):
-    docs = _dtm(spark, sf).agg(F.countDistinct("source").alias("_docs"))
-    return rounded(fe.tfidf(_dtm(spark, sf, 5), docs, "term"), "value")
+    dtm = stash(_dtm(spark, sf), "dtm")
+    docs = dtm.agg(F.countDistinct("source").alias("_docs"))
+    frequent = dtm.join(dtm.groupBy("term").agg(F.count("*").alias("df")).where("df >= 5").select("term"), "term", "left_semi")
+    return rounded(fe.tfidf(frequent, docs, "term"), "value")
 
 
 PMI = f"""WITH {DTM}, c AS (SELECT term, y, count(*) AS n FROM dtm JOIN lab ON dtm.source = lab.source GROUP BY ALL),

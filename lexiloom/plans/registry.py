@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import analysis, features, relational, text, vocabulary  # noqa: F401  they register their queries
+from . import analysis, features, relational, splits, text, vocabulary  # noqa: F401  they register their queries
 from .common import QUERIES, SQL  # noqa: F401

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.tokenizer import Tokenizer, modelling_tokenizer
+from ..functions.tokenizer import Tokenizer, fold_negation, modelling_tokenizer
 from ..operators import models as mo
 from ..operators import sampling as sm
 from ..operators.loader import PostLoader, expand_patterns
 from ..operators.vocabulary import Vocabulary, vectorize
 from ..sources import readers
 from ..sources.scratch import stash
-from .common import corpus, query, rounded, table, toxic_labels
+from .common import TOK, corpus, query, rounded, table, toxic_labels
 
 
 @query("tokenize_full")
@@ -35,12 +35,13 @@ def load_posts(spark, sf):
     return loader.load(posts).select("user", "ordinal", "tokens")
 
 
-@query("negation_fold", "SELECT id, tokens FROM (VALUES (1, 'can not_not_wait'), (2, 'x')) t(id, tokens)")
+@query("negation_fold", f"""WITH {TOK}, s AS (SELECT doc_id, array_to_string(list_transform(tokens, lambda x: CASE WHEN x IN ('the', 'la', 'und') THEN 'not' ELSE x END), ' ') AS s FROM tok),
+j AS (SELECT doc_id, regexp_replace(s, '\\bnot ', 'not_', 'g') AS s FROM s)
+SELECT doc_id, trim(regexp_replace(s, '( |^)(not_)*not$', '')) AS tokens FROM j""")
 def negation_fold(spark, sf):
-    from ..functions.tokenizer import fold_negation
-
-    df = spark.createDataFrame([(1, ["can", "not", "not", "wait"]), (2, ["x", "not"])], "id int, t array<string>")
-    return df.select("id", F.array_join(fold_negation(F.col("t"), False), " ").alias("tokens"))
+    """Negation over all documents, three frequent words standing for ``not``, which invented prose lacks."""
+    tokens = F.transform(tx.words(F.col("text")), lambda t: F.when(t.isin("the", "la", "und"), "not").otherwise(t))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(fold_negation(tokens, False), " ").alias("tokens"))
 
 
 @query("pattern_expansion", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the of') OR contains(lower(text), 'the and') OR contains(lower(text), 'der die')")
@@ -49,14 +50,17 @@ def pattern_expansion(spark, sf):
     return table(spark, sf, "documents").where(tx.contains_any(F.col("text"), patterns)).select("doc_id")
 
 
-@query("author_filter", "SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('[deleted]', '[removed]') GROUP BY ALL")
+@query("author_filter", "SELECT role AS author, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY ALL")
 def author_filter(spark, sf):
-    return readers.without_deleted(table(spark, sf, "events"), "event_type").groupBy("event_type").agg(F.count("*").alias("n"))
+    """Turns of the system stand for those whose author is gone."""
+    author = F.when(F.col("role") == "system", F.when(F.col("turn") % 2 == 0, "[deleted]").otherwise("[removed]")).otherwise(F.col("role"))
+    return readers.without_deleted(table(spark, sf, "conversations").select(author.alias("author"))).groupBy("author").agg(F.count("*").alias("n"))
 
 
-@query("json_props", "SELECT event_type, count(*) AS n, count(DISTINCT props) AS n_props FROM events GROUP BY ALL")
+@query("json_props", """SELECT event_type, count(*) AS n, sum(CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT))::BIGINT AS total, count(DISTINCT props) AS n_props FROM events GROUP BY ALL""")
 def json_props(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("props").alias("n_props"))
+    k = F.from_json("props", "k long")["k"]
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"), F.countDistinct("props").alias("n_props"))
 
 
 def _labelled(spark, sf):

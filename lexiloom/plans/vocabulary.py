@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..operators import analysis as an
 from ..operators import vocabulary as vo
 from ..operators.ranking import position
+from ..sources import readers
 from .common import TOK, corpus, query, rounded, table
 
 
@@ -67,10 +69,9 @@ def dtm_long(spark, sf):
 SELECT source, count(*) AS n_tokens, round(count(*) FILTER (term IN (SELECT term FROM v))::DOUBLE / count(*), 6) AS hit_rate FROM w GROUP BY ALL""")
 def oov_hit_rate(spark, sf):
     vocab = vo.Vocabulary(min_freq=10)
-    c = corpus(spark, sf)
-    known = vocab.fit(c).select("term", F.lit(1).alias("hit"))
-    j = vocab.counts(c).join(known, "term", "left")
-    return rounded(j.groupBy("source").agg(F.sum("n").alias("n_tokens"), (F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("hit_rate")), "hit_rate")
+    counts = vocab.counts(corpus(spark, sf))
+    rate = an.hit_rate(counts, vocab.fit_counts(counts)).withColumnRenamed("rate", "hit_rate")
+    return rounded(counts.groupBy("source").agg(F.sum("n").alias("n_tokens")).join(rate, "source"), "hit_rate")
 
 
 @query("null_feature_users", f"""WITH {TOK} SELECT doc_id AS source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM w WHERE term IN ('the', 'der', 'la'))""")
@@ -82,9 +83,9 @@ def null_feature_users(spark, sf):
 
 @query("min_word_users", """SELECT source, sum(len(string_split_regex(trim(text), '\\s+'))) AS n_words FROM documents GROUP BY source HAVING sum(len(string_split_regex(trim(text), '\\s+'))) >= 10000""")
 def min_word_users(spark, sf):
-    d = table(spark, sf, "documents")
-    n = F.size(F.split(F.trim("text"), r"\s+")).cast("long")
-    return d.groupBy("source").agg(F.sum(n).alias("n_words")).where("n_words >= 10000")
+    comments = table(spark, sf, "documents").select(F.col("source").alias("author"), F.col("text").alias("body"))
+    none = comments.select("author", F.lit(None).cast("string").alias("title"), F.col("body").alias("selftext")).where("false")
+    return readers.min_words(comments, none, 10_000).withColumnRenamed("author", "source")
 
 
 @query("label_vector", """SELECT d.doc_id AS source, CASE WHEN l.toxic = 1 THEN 1 WHEN l.toxic = 0 THEN 0 ELSE -1 END AS y FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")

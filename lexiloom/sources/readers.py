@@ -78,7 +78,7 @@ def read_table(spark: SparkSession, path: str, names: list[str], sep: str = "\t"
 def read_embeddings(spark: SparkSession, path: str, vocabulary: DataFrame | None = None, strip_hashtags: bool = True) -> DataFrame:
     """(key, vector) of lines ``token v1 … vd``, of tokens the vocabulary's ``term`` holds; entries in angle brackets are skipped."""
     parts = F.split("value", " ")
-    df = spark.read.text(path).select(F.get(parts, 0).alias("key"), F.transform(F.slice(parts, 2, 100_000), lambda x: x.cast("double")).alias("vector")).where(~F.col("key").startswith("<"))
+    df = spark.read.text(path).select(F.get(parts, 0).alias("key"), F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.cast("double")).alias("vector")).where(~F.col("key").startswith("<"))
     if strip_hashtags:
         df = df.withColumn("key", F.regexp_replace("key", "^#(.+)$", "$1"))
     return df.join(vocabulary.select(F.col("term").alias("key")), "key", "left_semi") if vocabulary is not None else df
@@ -86,8 +86,9 @@ def read_embeddings(spark: SparkSession, path: str, vocabulary: DataFrame | None
 
 def read_embedding_vocabulary(spark: SparkSession, path: str, size: int) -> DataFrame:
     """Terms of the first ``size`` lines of an embedding file; hashtags take the sentinel form."""
-    key = F.get(F.split("value", " "), 0)
-    first = spark.read.text(path, wholetext=False).select(key.alias("term")).limit(size)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    # Within a task lines come in order; a block's first line follows the block before it.
+    first = lines.orderBy("_file", "_start", "_id").limit(size).select(F.get(F.split("value", " "), 0).alias("term"))
     return first.where(~F.col("term").startswith("<")).select(F.regexp_replace("term", "^#(.+)$", "<HASHTAG=$1>").alias("term")).distinct()
 
 
@@ -100,7 +101,7 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     lines = lambda i: F.explode(F.split(F.get("p", i), r"\r?\n"))
     fields = F.split(F.trim("line"), r"\s+")
     dims = raw.select(lines(1).alias("line")).where("trim(line) <> ''").select(F.get(fields, 0).alias("id"), F.get(fields, 1).alias("dim"))
-    words = raw.select(lines(2).alias("line")).where("trim(line) <> ''").select(F.get(fields, 0).alias("w"), F.explode(F.slice(fields, 2, 1000)).alias("id"))
+    words = raw.select(lines(2).alias("line")).where("trim(line) <> ''").select(F.get(fields, 0).alias("w"), F.explode(F.slice(fields, F.lit(2), F.greatest(F.size(fields) - 1, F.lit(0)))).alias("id"))
     return words.join(dims, "id").select(F.regexp_replace("w", r"\*$", "").alias("entry"), F.col("w").endswith("*").alias("is_prefix"), "dim")
 
 
@@ -132,7 +133,7 @@ def write_splits(df: DataFrame, path: str) -> None:
 def read_results(spark: SparkSession, path: str, metadata: DataFrame | None = None, on: str = "experiment") -> DataFrame:
     """All predictions or scores below a path with each experiment's settings."""
     df = spark.read.option("recursiveFileLookup", "false").parquet(path)
-    return df.join(F.broadcast(metadata), on, "left") if metadata is not None else df  # one row an experiment
+    return df.join(metadata, on, "left") if metadata is not None else df
 
 
 def user_histories(posts: DataFrame, by: str = "user_id_str", transform: Callable | None = None) -> DataFrame:
@@ -141,3 +142,27 @@ def user_histories(posts: DataFrame, by: str = "user_id_str", transform: Callabl
 
     out = posts.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("created_utc"))))
     return transform(out) if transform else out
+
+
+def discover(path: str, suffix: str = ".gz") -> dict[str, str]:
+    """Options for a reader: a file is read alone, of a folder the files with the suffix."""
+    return {} if path.endswith(suffix) else {"pathGlobFilter": f"*{suffix}"}
+
+
+def write_metadata(df: DataFrame, path: str) -> None:
+    """User metadata as CSV with a header, lists as JSON; a folder, a file a task."""
+    lists = [f.name for f in df.schema if f.dataType.typeName() == "array"]
+    df.withColumns({c: F.to_json(c) for c in lists}).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def read_metadata_csv(spark: SparkSession, path: str, schema: str, isolate: Callable[[DataFrame], DataFrame] | None = None, root: str | None = None) -> DataFrame:
+    """Metadata that ``write_metadata`` wrote; ``isolate`` chooses controls, relative sources get ``root`` before them."""
+    want = spark.createDataFrame([], schema).schema
+    text = ", ".join(f"`{f.name}` {'string' if f.dataType.typeName() == 'array' else f.dataType.simpleString()}" for f in want)
+    df = spark.read.option("header", "true").schema(text).csv(path)
+    df = df.withColumns({f.name: F.from_json(f.name, f.dataType.simpleString()) for f in want if f.dataType.typeName() == "array"})
+    df = isolate(df) if isolate else df
+    if root is not None:
+        absolute = F.col("source").startswith("/") | F.contains("source", F.lit("://"))
+        df = df.withColumn("source", F.when(absolute, F.col("source")).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace("source", r"^\./", ""))))
+    return df
