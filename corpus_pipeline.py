@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; a stage's result
 is written as Parquet and read again.  All but the last return the columns of ``documents``.
+
+Defined cases: a null or empty text has the toxicity score of the bias alone and no language, so the
+language stage drops it; rows with null ids are kept like others, repeated rows (equal id and text)
+leave the near-duplicate stage once, other columns pass through under their names, whatever these
+are; of near-duplicates with equal smallest ids one row stays; an empty table gives no row; very
+long texts are read whole; without a label or language to learn from, the toxicity stage drops
+nothing and the language stage everything.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from lexiloom.llm.common import stash
 
 #: Documents at or above this toxicity score go.
 TOXIC_FROM = 0.5
-#: Documents whose language is undetermined, or surer than this of none, go.
+#: Documents whose language is undetermined, or found with a lower score, go.
 LANGUAGE_FROM = 0.3
 
 
