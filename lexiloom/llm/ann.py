@@ -140,8 +140,11 @@ def learn(sample: np.ndarray, parts: int, k: int) -> tuple[Router, int]:
     return router, 1 + next(i for i, s in enumerate(share) if s >= RECALL)
 
 
-def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` rows of largest inner product found for each row that ``is_query`` marks."""
+def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", report: dict | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` rows of largest inner product found for each row that ``is_query`` marks.
+
+    ``report`` takes the number of parts and the share of the rows that a query reads.
+    """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v")).where(fine("v") & F.col("vec_id").isNotNull())
     kind = kind_of(rows, "v")
@@ -186,6 +189,11 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_i
 
     asked = once.where(F.expr(is_query)).select("vec_id", "v").mapInArrow(route, "part int, vec_id long, v binary")
     asked = stash(asked, "queries")
+    if report is not None:
+        reads = asked.where("part >= 0").groupBy("part").count().collect()  # one row a part
+        total = max(1, sum(r["count"] for r in reads))
+        who = max(1, asked.where("part >= 0").select("vec_id").distinct().count())
+        report |= {"parts": parts, "parts_a_query": round(total / who, 1), "share_of_rows_read": round(sum(r["count"] * int(size[r["part"]]) for r in reads) / who / max(1, n), 3)}
     many = asked.groupBy("part").agg(F.count("*").alias("q"))
     held = index.groupBy("part").agg(F.count("*").alias("d"))
     blocks = held.join(many, "part").select("part", F.ceil(F.col("d") / BLOCK).alias("di"), F.ceil(F.col("q") / QUERY_BLOCK).alias("qi"))

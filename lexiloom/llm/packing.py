@@ -5,7 +5,9 @@ are first cut into full windows, then the remainders, longest first, each go to
 with the least room that still holds them.  A segment tree over remaining capacities finds it.
 
 Defined cases: a null or empty text is a document of the closing id alone; a null or repeated
-``doc_id`` is packed like any other; an empty table gives no row; other columns are ignored.
+``doc_id`` is packed like any other; very long texts are encoded in segments; pieces of equal length
+keep the order in which they came, and of windows with equal room the one opened or filled last is
+taken; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
