@@ -10,11 +10,15 @@ import compare
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from lexiloom.llm import ann, bpe, caches, langid, lm, minhash, packing, toxicity, urlfilter, vecdedup, warc
+from lexiloom.llm import ann, bpe, caches, langid, lm, minhash, packing, queries, toxicity, urlfilter, vecdedup, warc
+from lexiloom.llm.common import words_of
 from lexiloom.llm.components import components
 
+SF = "/root/testdata/sf0.001"
+
 LONG = "word " * 30_000
 WORD_BPE, BYTE_BPE, PIECES = map(public_tokenizers.path, ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, sig string, component string"
@@ -392,6 +396,90 @@ def test_language_of_long_documents_only(spark):
     assert all(r["lang_pred"] == ["en", "de"][r["doc_id"] % 2] for r in langid.identify(docs, model).collect())
 
 
+def test_toxicity_scores_against_plain_loops(spark):
+    """The scores of the registered query's model, word by word and window by window."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    learnt = "crc32(cast(doc_id as string)) % 5 <> 0"
+    model = toxicity.fit(docs.where(learnt), labels.where(learnt))
+    got = {r["doc_id"]: r for r in queries.op4_toxicity(spark, SF).collect()}
+    logit = (model.embed.astype(np.float32) @ model.softmax).tolist()
+    memo = {}
+
+    def word(w):
+        if w not in memo:
+            whole = f"<{w.lower()}>"
+            grams = [whole] + [whole[i : i + n] for n in toxicity.GRAMS for i in range(len(whole) - n + 1)]
+            hashes = [xxhash.xxh3_64_intdigest(whole)] + [rolled(g) for g in grams[1:]]
+            memo[w] = sum(logit[h % toxicity.BUCKETS] for h in hashes) / len(hashes)
+        return memo[w]
+
+    def rolled(gram):
+        h, mask = 0, (1 << 64) - 1
+        for c in gram:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c)) & mask
+        h = (h + len(gram)) & mask
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & mask
+        return h ^ (h >> 31)
+
+    assert len(got) == docs.count()
+    for r in docs.select("doc_id", "text").collect():
+        w = [word(x.decode()) for x in words_of((r["text"] or "").encode())]
+        step = toxicity.WINDOW // 2
+        starts = [0] if len(w) <= toxicity.WINDOW else range(0, len(w) - step, step)
+        best = max(sum(w[a : a + toxicity.WINDOW]) / len(w[a : a + toxicity.WINDOW]) for a in starts) if w else 0.0
+        want = 1 / (1 + math.exp(-(best + model.bias)))
+        assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-5)
+        assert got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.5) and got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_languages_against_plain_loops(spark):
+    """Features counted gram by gram, the family by its softmax, then votes of the pairs."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.where("crc32(cast(doc_id as string)) % 4 <> 2"))
+    got = {r["doc_id"]: r for r in queries.op8_language(spark, SF).collect()}
+    assert len(got) == docs.count()
+    w, bias = model.weights.astype(float), model.bias
+    for r in docs.select("doc_id", "text").orderBy("doc_id").limit(60).collect():
+        row, text = got[r["doc_id"]], (r["text"] or "").lower().encode()
+        assert row["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        raw = b" " + b" ".join(bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text).split()) + b" "
+        x = np.zeros(langid.DIMS)
+        for n, salt in ((1, 0x9E3779B1), (2, 0x85EBCA77), (3, 0xC2B2AE3D)):
+            for at in range(len(raw) - n + 1):
+                x[((int.from_bytes(raw[at : at + n], "big") * salt) & 0xFFFFFFFF) >> 19] += 1
+        x = np.sqrt(x)
+        z = x / np.linalg.norm(x) @ w + bias
+        k = len(model.families)
+        p = np.exp(z[:k] - z[:k].max())
+        p /= p.sum()
+        group = model.within[int(p.argmax())]
+        sure = {pair: 1 / (1 + math.exp(-4 * z[k + i])) for i, pair in enumerate(model.pairs)}
+        chance = {i: sum(s if i == a else 1 - s for (a, b), s in sure.items() if i in (a, b)) for i in group}
+        votes = {i: sum((s >= 0.5) == (i == a) for (a, b), s in sure.items() if i in (a, b)) for i in group}
+        best = max(group, key=lambda i: (votes[i], chance[i], -i))
+        assert row["lang_pred"] == model.langs[best]
+        assert row["score"] == pytest.approx(min(1.0, p.max() * (chance[best] / (len(group) - 1) if len(group) > 1 else 1)), abs=1e-4)
+
+
+def test_nearest_recall_on_the_tables(spark):
+    from lexiloom.llm import measure
+
+    assert measure.op9_nearest(spark, SF)["recall"] >= 0.9
+
+
+def test_packing_is_close_to_full(spark):
+    """Padding against the least there could be, in one partition and in many."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for parts, most in ((1, 0.02), (8, 0.06)):
+        pieces = packing.pack_documents(docs.repartition(parts), WORD_BPE).select("sequence_id", "length").toPandas()
+        windows, tokens = pieces["sequence_id"].nunique(), int(pieces["length"].sum())
+        assert 1 - tokens / (windows * packing.WINDOW) < most, (parts, windows)
+
+
 # WARC
 
 

@@ -35,9 +35,41 @@ def test_pipeline(spark):
         assert out.columns == extra.columns and out.count() <= extra.count()
         assert stage(spark, extra.limit(0), SF).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "near_duplicates", "packing"]
-    packed = corpus_pipeline.run(spark, SF)
-    kept = packed.select("doc_id").distinct().count()
-    assert 0.5 * docs.count() < kept <= docs.count()
+    odd_packed = corpus_pipeline.STAGES[-1][1](spark, extra, SF).collect()
+    assert len({(r["doc_id"], r["sequence_id"], r["offset"]) for r in odd_packed}) == len(odd_packed) >= extra.count()
+
+
+def test_pipeline_against_brute_force(spark):
+    """Which documents leave the pipeline: scores of its operators applied one document at a time, groups by all pairs."""
+    import corpus_pipeline
+    import numpy as np
+    import public_tokenizers
+    from test_llm_operators import brute_groups
+    from tokenizers import Tokenizer
+
+    from lexiloom.llm import langid, toxicity
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    rows = [r for r in docs.collect() if model.score(r["text"]) < corpus_pipeline.TOXIC_FROM]
+    clean = {r["doc_id"] for r in labels.where("toxic = 0").collect()}
+    assert len(clean & {r["doc_id"] for r in rows}) >= 0.95 * len(clean & {r["doc_id"] for r in docs.collect()})
+    known = langid.fit(spark.createDataFrame(rows, docs.schema))
+    kept = []
+    for r in rows:
+        if langid.has_letter(r["text"]):
+            (lang,), (score,) = known.predict(langid.features(r["text"])[None])
+            if lang != langid.UNDETERMINED and score >= corpus_pipeline.LANGUAGE_FROM:
+                kept.append((r["doc_id"], r["text"]))
+    texts = dict(kept)
+    one_each = {least for _, _, least in brute_groups(kept, 80)}
+    packed = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"] for r in packed} == one_each
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for d in one_each:
+        pieces = sorted((r for r in packed if r["doc_id"] == d), key=lambda r: r["start"])
+        assert np.frombuffer(b"".join(r["ids"] for r in pieces), "<u4").tolist() == [*tok.encode(texts[d] or "", add_special_tokens=False).ids, 1]
 
 
 def test_one_of_each_group_stays(spark):
