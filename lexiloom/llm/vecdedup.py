@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import stash
 from .components import components
-from .grouping import map_groups
+from .grouping import join_hubs, map_groups
 from .vectors import by_dimension, fine, kind_of, stacked
 
 MISS = 1e-6
@@ -181,10 +181,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     root = components(found.where("b is not null")).select(F.col("node").alias("cls"), "root")
     more = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("w").alias("w"))
     known = classes.select("cls", "min_id", "size").join(root, "cls", "left").join(more, "cls", "left")
-    known = stash(known.select("cls", "min_id", F.coalesce("root", "cls").alias("root"), (F.coalesce("w", F.lit(0).cast("long")) + F.col("size") - 1).alias("n_links")), "known")
-    least = known.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    known = known.join(least, "root").select("cls", "n_links", "component_id")
-    inside = rows.select("vec_id", "cls").join(known, "cls").select("vec_id", "n_links", "component_id")
+    known = stash(known.select("cls", "min_id", "size", F.coalesce("root", "cls").alias("root"), (F.coalesce("w", F.lit(0).cast("long")) + F.col("size") - 1).alias("n_links")), "known")
+    least = known.groupBy("root").agg(F.min("min_id").alias("component_id"), F.count("*").alias("n"))
+    total = known.agg(F.count("*").alias("classes"), F.coalesce(F.sum("size"), F.lit(0)).alias("rows")).first()
+    known = join_hubs(known, least, "root", "n", total["classes"]).select("cls", "n_links", "component_id", "size")
+    inside = join_hubs(rows.select("vec_id", "cls"), known, "cls", "size", total["rows"]).select("vec_id", "n_links", "component_id")
     outside = every.where(~takes_part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = inside.union(outside)
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
