@@ -92,8 +92,9 @@ class BoundedCache:
 class IdCache:
     """Token ids of byte strings in flat arrays, found by 128-bit hashes, all keys of a call together.
 
-    About ``22 * slots + 4 * most_ids`` bytes hold three entries for every four slots; a table that
-    is full starts afresh.  Keys of over ``LONGEST_KEY`` bytes are computed each time.
+    About ``25 * slots + 4 * most_ids`` bytes hold three entries for every four slots; a table that
+    is full keeps the entries that were met again.  Keys of over ``LONGEST_KEY`` bytes are computed
+    each time.
     """
 
     def __init__(self, make: Callable[[list[bytes]], list[np.ndarray]], slots: int = 1 << 20, most_ids: int = 6 << 20):
@@ -109,8 +110,21 @@ class IdCache:
         self.entries = self.used = 0
         self.low, self.high = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint64)
         self.start, self.count = np.full(self.slots, -1, np.int32), np.zeros(self.slots, np.int32)
+        self.met = np.zeros(self.slots, bool)
         self.ids = np.zeros(1 << 16, np.uint32)
 
+    def _thin(self) -> None:
+        """Keep the entries met again since they came or were last kept, if these are few enough."""
+        live = np.flatnonzero(self.met)
+        h, n = np.stack([self.low[live], self.high[live]], 1), self.count[live].astype(np.int64)
+        ids = self._gather(self.start[live].astype(np.int64), n)
+        self._begin()
+        if len(live) <= self.slots * 3 // 8 and len(ids) <= self.most_ids // 2:
+            self._insert(h, np.split(ids, np.cumsum(n)[:-1]) if len(live) else [])
+
+    def _gather(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return self.ids[np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)]
+
     def _store(self, values: list[np.ndarray]) -> np.ndarray:
         """Where each value begins, once they are written behind the used ids."""
         n = np.fromiter(map(len, values), np.int64, len(values))
@@ -151,44 +165,40 @@ class IdCache:
         """(ids of all keys, one after another; how many each has)."""
         from xxhash import xxh3_128_digest
 
+        most = self.slots * 3 // 4
         if not len(self.start):
             self._begin()
+        elif self.entries + len(keys) > most or self.used > self.most_ids:
+            self._thin()
         h = np.frombuffer(b"".join(map(xxh3_128_digest, keys)), "<u8").reshape(len(keys), 2)
         slot = self._find(h)
-        miss = np.flatnonzero(slot < 0).tolist()
-        fresh = {keys[i]: i for i in miss}
-        if self.entries + len(fresh) > self.slots * 3 // 4 or self.used > self.most_ids:
-            self._begin()
-            slot[:] = -1
-            miss = range(len(keys))
-            fresh = {k: i for i, k in enumerate(keys)}
-        long = [k for k in fresh if len(k) > LONGEST_KEY]
-        short = [k for k in fresh if len(k) <= LONGEST_KEY]
-        most = self.slots * 3 // 4
-        over, short = short[most:], short[:most]  # more distinct keys in one call than the table holds
+        self.met[slot[slot >= 0]] = True
+        miss = np.flatnonzero(slot < 0)
+        fresh = {keys[i]: i for i in miss.tolist()}
+        short = [k for k in fresh if len(k) <= LONGEST_KEY][: max(0, most - self.entries)]
         for at in range(0, len(short), _CHUNK):
             some = short[at : at + _CHUNK]
             self._insert(h[[fresh[k] for k in some]], self.make(some))
-        if miss:
-            miss = np.asarray(miss)
-            slot[miss] = self._find(h[miss])
+        slot[miss] = self._find(h[miss])
         start, n = self.start[slot].astype(np.int64), self.count[slot].astype(np.int64)
-        if long or over:
-            values = self.make(long + over)
-            began = dict(zip(long + over, zip(self._store(values).tolist(), map(len, values)), strict=True))
+        if len(short) < len(fresh):  # the others are written behind the table's ids for this call alone
+            rest = list(fresh.keys() - set(short))
+            values = self.make(rest)
+            began = dict(zip(rest, zip(self._store(values).tolist(), map(len, values), strict=True), strict=True))
             for i in np.flatnonzero(slot < 0).tolist():
                 start[i], n[i] = began[keys[i]]
-        before = np.cumsum(n) - n
-        return self.ids[np.arange(int(n.sum())) + np.repeat(start - before, n)], n
+        return self._gather(start, n), n
 
     def encode_groups(self, groups: list[list[bytes]]) -> list[bytes]:
         """Little-endian ids of each group of keys."""
-        ids, n = self.lookup([k for g in groups for k in g])
-        cuts = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum([len(g) for g in groups])].astype(np.int64)].tolist()
-        return [ids[lo:hi].astype("<u4").tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        distinct = list(set().union(*groups))
+        ids, n = self.lookup(distinct)
+        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+        known = dict(zip(distinct, [raw[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)], strict=True)).__getitem__
+        return [b"".join(map(known, g)) for g in groups]
 
 
-def in_groups(texts: list, most_rows: int = 64, most_bytes: int = 1 << 20) -> Iterator[list]:
+def in_groups(texts: list, most_rows: int = 256, most_bytes: int = 1 << 20) -> Iterator[list]:
     """Consecutive texts in groups of so many rows and about so many characters at most."""
     group, held = [], 0
     for t in texts:

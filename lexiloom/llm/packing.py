@@ -12,6 +12,7 @@ taken; an empty table gives no row; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 from array import array
 from collections.abc import Iterator
 
@@ -100,6 +101,9 @@ class WordEncoder:
         self.tokenizer.no_padding()
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.single_word]
         self.between = special[0] if special else None
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        normalizer = json.loads(self.tokenizer.to_str())["normalizer"] or {}
+        self.folds_case = any(n["type"] == "Lowercase" for n in normalizer.get("normalizers", [normalizer]) if n)
         self.cache = IdCache(self.ids_of)
 
     def ids_of(self, words: list[bytes]) -> list[np.ndarray]:
@@ -113,14 +117,19 @@ class WordEncoder:
                 return [ids[lo:hi] for lo, hi in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, text: bytes) -> list[bytes]:
+        """Words between white space; with A-Z in lower case where the vocabulary makes no difference."""
+        low = text.lower() if self.folds_case else text
+        return (text if low is not text and any(s in low for s in self.special) else low).split()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []
         for group in in_groups(texts):
             if len(group) == 1:
-                out.append(b"".join(self.cache.encode_groups([s.split()])[0] for s in segments((group[0] or "").encode())))
+                out.append(b"".join(self.cache.encode_groups([self.words(s)])[0] for s in segments((group[0] or "").encode())))
             else:
-                out += self.cache.encode_groups([(t or "").encode().split() for t in group])
+                out += self.cache.encode_groups([self.words((t or "").encode()) for t in group])
         return out
 
 
