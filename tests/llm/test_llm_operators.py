@@ -56,6 +56,15 @@ def test_best_fit_against_brute_force():
     assert sorted(packing.best_fit_decreasing(lengths, 64)[2].tolist()) == sorted(rooms)
 
 
+def test_word_encoder_as_the_library():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(WORD_BPE), packing.encoder(WORD_BPE)
+    texts = ["Big BIG big <|ENDOFTEXT|> <|endoftext|>x", "İSTANBUL ΣΊΣΥΦΟΣ Kelvin ﬁn", "A\u0301 a\u0301 É\u00a0E", "<|startoftext|>in <|StartOfText|>", "", None, "x" * 3000, "it's IT'S 12 3.4 日本 👍🏽", "tab\tnew\nline\x0bvt\x85nel"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
