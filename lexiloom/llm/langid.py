@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .caches import hold
+from .caches import give_back, hold
 from .common import segments
 
 DIMS = 1 << 13
@@ -164,8 +164,15 @@ def fit(docs: DataFrame) -> Model | None:
     got = sample.select("k", "lang", "text").mapInArrow(run, "k long, lang string, x binary").toArrow().sort_by([("k", "ascending"), ("lang", "ascending")])
     if not got.num_rows:
         return None
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(got.num_rows, DIMS).astype(np.float32)
-    return Model(x, got["lang"].to_pylist())
+    x = np.empty((got.num_rows, DIMS), np.float32)
+    for i, raw in enumerate(got["x"]):
+        x[i] = np.frombuffer(raw.as_buffer(), np.float16)
+    langs = got["lang"].to_pylist()
+    del got
+    model = Model(x, langs)
+    del x
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from .caches import BoundedCache, hold, in_groups
+from .caches import BoundedCache, give_back, hold, in_groups
 from .common import mix, segments, stash, words_of
 
 BUCKETS = 1 << 16
@@ -237,7 +237,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model |
             ys.append(y1)
             last = d
         windows[-1].append((np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)))
-    return train(windows, np.array(ys)) if any(len(w[0]) for ws in windows for w in ws) else None
+    del got
+    model = train(windows, np.array(ys)) if any(len(w[0]) for ws in windows for w in ws) else None
+    windows.clear()
+    give_back()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
