@@ -3,7 +3,7 @@
 Alternates two contractions until the edges are stars around each component's smallest node:
 first every node links its larger neighbours to its smallest one, then its smaller ones.  Each
 round's edges are a table in the shared folder.  No node's neighbours are gathered in one place:
-the minimum is pre-aggregated and joined back, to hubs where their edges lie.
+the minimum is pre-aggregated and joined back, with the edges of hubs cut up.
 """
 
 from __future__ import annotations

@@ -12,24 +12,24 @@ from pyspark.sql import functions as F
 _KINDS = {"binary": pa.binary(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "string": pa.string()}
 
 
-#: At most so many keys are sent to every task: those with more than this part of all rows, and of ``LEAST_HUB`` rows.
+#: At most so many keys are cut up: those with more than this part of all rows, and of ``LEAST_HUB`` rows.
 HUBS, LEAST_HUB = 10_000, 256
 
 
 def join_hubs(rows: DataFrame, one: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """``rows`` joined with ``one``, which has one row for each ``key`` and its number of rows, ``size``.
 
-    ``total`` bounds the sum of the sizes.  Frequent keys, of which there are at most ``HUBS``, are
-    sent to every task, so their rows stay where they are; only the others are dealt by key.  Rows
-    without a partner go; ``size`` isn't kept.
+    ``total`` bounds the sum of the sizes.  Frequent keys, of which there are at most ``HUBS``, are known
+    to every task; their rows are dealt to as many cuts as keep each small, and their row of ``one`` is
+    repeated for each cut.  Rows without a partner go; ``size`` isn't kept.
     """
     limit = max(LEAST_HUB, total // HUBS)
-    values = [c for c in one.columns if c not in (key, size)]
-    hubs = one.where(F.col(size) > limit).select(F.col(key).alias("_hub"), F.struct(*values).alias("_value"))
-    near = rows.join(F.broadcast(hubs), rows[key] == F.col("_hub"), "left").drop("_hub")
-    far = near.where("_value is null").drop("_value").join(one.where(F.col(size) <= limit).drop(size), key)
-    near = near.where("_value is not null").select(*rows.columns, *(F.col(f"_value.{c}").alias(c) for c in values))
-    return near.union(far.select(*near.columns))
+    cuts = F.ceil(F.col(size) / limit).cast("int")
+    hubs = one.where(F.col(size) > limit).select(F.col(key).alias("_hub"), cuts.alias("_cuts"))
+    left = rows.join(F.broadcast(hubs), rows[key] == F.col("_hub"), "left")
+    left = left.select(*rows.columns, F.pmod(F.xxhash64(*rows.columns), F.coalesce("_cuts", F.lit(1))).cast("int").alias("_cut"))
+    right = one.withColumn("_cut", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > limit, cuts - 1).otherwise(F.lit(0))))).drop(size)
+    return left.join(right, [key, "_cut"]).drop("_cut")
 
 
 def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list, np.ndarray]]:

@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     rows = stash(sketch(docs, percent / 100, words), "sketch")
     full = rows.where("cls is not null")
-    classes = full.groupBy("cls").agg(F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = full.groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = stash(classes, "classes")
     edges = stash(candidate_edges(classes.select("cls", "n", "sig"), percent / 100), "candidates")
     wanted = classes.join(edges.select(F.col("a").alias("cls")).union(edges.select("b")).distinct(), "cls", "left_semi")
@@ -274,10 +274,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     links = stash(_confirm(edges, sets, percent), "links")
     more = stash(_rest(edges, links, wanted.select("cls", "n", "sig"), sets, percent), "more")
     root = components(links.union(more)).select(F.col("node").alias("cls"), "root")
-    found = classes.select("cls", "min_id").join(root, "cls", "left").withColumn("component", F.coalesce("root", "cls"))
-    found = stash(found.select("cls", "min_id", "component"), "found")
-    least = found.groupBy("component").agg(F.min("min_id").alias("component_id"))
-    found = found.join(least, "component").select("cls", "component", "component_id")
-    out = full.join(found, "cls").select("doc_id", "n_shingles", "component_id", "row_key", "component")
+    found = classes.select("cls", "min_id", "copies").join(root, "cls", "left").withColumn("component", F.coalesce("root", "cls"))
+    found = stash(found.select("cls", "min_id", "copies", "component"), "found")
+    least = found.groupBy("component").agg(F.min("min_id").alias("component_id"), F.count("*").alias("n"))
+    total = found.agg(F.count("*").alias("classes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    found = join_hubs(found, least, "component", "n", total["classes"]).select("cls", "component", "component_id", "copies")
+    out = join_hubs(full.select("doc_id", "n_shingles", "row_key", "cls"), found, "cls", "copies", total["rows"]).select("doc_id", "n_shingles", "component_id", "row_key", "component")
     empty = rows.where("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row_key", F.lit(None).cast("binary").alias("component"))
     return out.union(empty).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key", "component")
