@@ -33,10 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    return stash_at(df, tag)[0]
+
+
+def stash_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """As ``stash``, with the table's path, for ``discard`` when nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def words_of(text: bytes) -> list[bytes]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, lm, minhash, packing, toxicity, urlfilter, vecdedup, warc
+from . import ann, bpe, chat, codebooks, langid, lm, minhash, packing, spelling, toxicity, urlfilter, vecdedup, warc
 from .common import fraction_hash
 
 
@@ -141,6 +141,114 @@ def op10_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+#: crc32 by its table, over the bytes of the text; the near words by what is left without one code point.
+OP11_SQL = """
+WITH t AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS crc),
+r AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT doc_id, run, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run)) AS x FROM r),
+h AS (
+  SELECT run, k, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, y: xor(c >> 8, crc[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM b, t),
+w AS MATERIALIZED (
+  SELECT word, sum(k)::BIGINT AS n FROM (SELECT k, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+pair AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -n, near := near)) AS b FROM pair GROUP BY word),
+f AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 5 * w.n THEN b.near END AS form, CASE WHEN -b.less >= 5 * w.n THEN -b.less END AS form_n
+  FROM w LEFT JOIN best ON w.word = best.word),
+up AS (
+  WITH RECURSIVE up AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form FROM up JOIN f ON up.root = f.word WHERE f.form IS NOT NULL)
+  SELECT up.word, root FROM up JOIN f ON up.root = f.word WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(up.root, f.word) AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n FROM f LEFT JOIN up ON f.word = up.word
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codebooks.compress(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def _op12_sql(rounds: int = 4, entries: int = 256) -> str:
+    """Lloyd's rounds written out, each assigning all parts anew."""
+    assign = "SELECT p.vec_id, p.part, min(struct_pack(d := (xx - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT, e := e)) AS a FROM p JOIN c{0} c ON p.part = c.part GROUP BY ALL"
+    steps = "".join(
+        f""",
+a{r} AS MATERIALIZED ({assign.format(r)}),
+c{r + 1} AS MATERIALIZED (
+  SELECT c.part, c.e, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN (
+    SELECT part, e, list(floor(s / n) ORDER BY i) AS c FROM (
+      SELECT a.part, a.a.e AS e, i, sum(x[i])::DOUBLE AS s, count(*) AS n FROM a{r} a JOIN p ON a.vec_id = p.vec_id AND a.part = p.part, unnest(range(1, len(x) + 1)) t(i) GROUP BY ALL)
+    GROUP BY ALL) m ON c.part = m.part AND c.e = m.e)"""
+        for r in range(rounds)
+    )
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, part, x, list_inner_product(x, x) AS xx FROM (SELECT vec_id, part, q[part * len(q) // 4 + 1 : (part + 1) * len(q) // 4] AS x FROM v, unnest(range(4)) t(part))),
+c0 AS MATERIALIZED (
+  SELECT part, e, x AS c FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v) f ON p.vec_id = f.vec_id WHERE e < {entries}){steps},
+a{rounds} AS MATERIALIZED ({assign.format(rounds)}),
+r AS (SELECT vec_id, string_agg(printf('%02x', a.e), '' ORDER BY part) AS code, sum(a.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+k AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY part, e, i)) AS codebooks_sha256 FROM (SELECT part, e, i, c[i] AS y FROM c{rounds}, unnest(range(1, len(c) + 1)) t(i)))
+SELECT v.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN r ON v.vec_id = r.vec_id, k
+"""
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("</s>[INST] ok [/INST]"))
+    found = chat.format_chats(turns.union(planted))
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    read = found.select("conv_id", "valid", "wrong_turn", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("segments")).alias("loss"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        digest(F.array_join(F.transform("turns", line), "")).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        digest(F.col("loss")).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        F.col("wrong_turn").cast("long").alias("wrong_turn"),
+    )
+
+
+#: The machine's moves by the role before: a turn is wrong if the role before it doesn't allow it; the last one is an assistant's.
+OP13_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, regexp_replace(text, '([<\[])(\\*)(s>|/s>|INST\]|/INST\]|SYS\]|/SYS\]|TURN\]|AS\]|/TURN\])', '\1\\\2\3', 'g') AS esc,
+    regexp_replace(role, '([<\[])(\\*)(s>|/s>|INST\]|/INST\]|SYS\]|/SYS\]|TURN\]|AS\]|/TURN\])', '\1\\\2\3', 'g') AS name,
+    row_number() OVER w AS place, coalesce(lag(role) OVER w, 'start') AS before
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (
+  SELECT *, CASE role WHEN 'system' THEN '[SYS] ' || esc || ' [/SYS]' WHEN 'user' THEN '[INST] ' || esc || ' [/INST]' WHEN 'assistant' THEN esc || '</s>' ELSE '[TURN]' || name || '[AS]' || esc || '[/TURN]' END AS piece,
+    CASE WHEN (before, role) NOT IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) THEN place END AS wrong
+  FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  3 + sum(length(piece))::BIGINT AS formatted_chars, min(wrong) IS NULL AND max(struct_pack(place := place, role := role)).role = 'assistant' AS valid, min(wrong) AS wrong_turn
+FROM f GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_url_filter": op2_url_filter,
@@ -152,6 +260,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_nearest": op9_nearest,
     "op10_vector_duplicates": op10_vector_duplicates,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_chat_formatting": op13_chat_formatting,
 }
 
-SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_url_filter": OP2_SQL}
+SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_url_filter": OP2_SQL, "op11_spelling_variants": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_chat_formatting": OP13_SQL}
