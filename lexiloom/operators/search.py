@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stash
+from ..sources.store import TableStore, digest, fingerprint
 from . import evaluation as ev
 from . import sampling as sm
 from .models import grid
@@ -93,45 +93,62 @@ def f1_score(predictions: DataFrame) -> float:
     return float(ev.scores(predictions.withColumn("_all", F.lit(0)), ["_all"]).first()["f1"])
 
 
-def run(base: TextModel, space: Space, corpus: DataFrame, train: DataFrame, dev: DataFrame, score: Callable[[DataFrame], float] = f1_score, **resources) -> Iterator[Result]:
-    """Results of all fits on ``train(source, y)``, scored by their predictions (y_true, y_pred) for ``dev``."""
-    prepared = base.prepare(corpus.join(train.select("source"), "source", "left_semi"))
-    held = stash(corpus.join(dev.select("source"), "source", "left_semi"), "dev")
+def run(base: TextModel, space: Space, corpus: DataFrame, train: DataFrame, dev: DataFrame, score: Callable[[DataFrame], float] = f1_score, store: TableStore | None = None, **resources) -> Iterator[Result]:
+    """Results of all fits on ``train(source, y)``, scored by their predictions (y_true, y_pred) for ``dev``.
+
+    Counts are made once, what a selector leaves once for it, and the features of a set and their vectors
+    once for all classifiers; a selector's tables go before the next one's are made.  A result's model
+    lives until the next result.
+    """
+    if store is None:
+        with TableStore(corpus.sparkSession) as own:
+            yield from run(base, space, corpus, train, dev, score, own, **resources)
+        return
     truth = dev.select("source", F.col("y").alias("y_true"))
-    for selector in space.selectors:
-        for name, kw in space.models:
-            for standardize, stages in space.feature_sets:
-                chosen, best = {}, float("-inf")
-                for stage in stages:
-                    tried = []
-                    for candidate in stage:
-                        options = replace(base, selector=selector, features=_with_chosen(candidate, chosen), standardize=standardize, model=name, model_kwargs=kw)
-                        fitted = options.fit(corpus, train, prepared=prepared, **resources)
-                        tried.append(Result(options, score(fitted.predict(held).join(truth, "source")), fitted))
-                        yield tried[-1]
-                    top = max(tried, key=lambda r: r.score)  # the first of equals
-                    if top.score >= best:
-                        chosen, best = top.options.features, top.score
-
-
-def search(base: TextModel, config: str | list[dict], corpus: DataFrame, labels: DataFrame, dev: DataFrame | None = None, score: Callable[[DataFrame], float] = f1_score, share: float = 0.2, refit: bool = True, **resources) -> tuple[FittedTextModel, DataFrame]:
+    with store.holding():
+        prepared = base.prepare(corpus, train, store)
+        held_key = digest("dev", prepared.key, fingerprint(dev.select("source")))
+        held = store.table("dev", held_key, lambda: corpus.join(dev.select("source").distinct(), "source", "left_semi").select("source", "tokens"))
+        for selector in space.selectors:
+            with store.holding():
+                for name, kw in space.models:
+                    for standardize, stages in space.feature_sets:
+                        chosen, best = {}, float("-inf")
+                        for stage in stages:
+                            tried = []
+                            for candidate in stage:
+                                options = replace(base, selector=selector, features=_with_chosen(candidate, chosen), standardize=standardize, model=name, model_kwargs={k: v for k, v in kw.items() if k != "class_weight"}, class_weight=kw.get("class_weight"))
+                                fitted = options.fit(corpus, train, prepared=prepared, store=store, **resources)
+                                tried.append(Result(options, score(fitted.predict(held, held_key).join(truth, "source")), fitted))
+                                yield tried[-1]
+                            top = max(tried, key=lambda r: r.score)  # the first of equals
+                            if top.score >= best:
+                                chosen, best = top.options.features, top.score
+
+
+def search(base: TextModel, config: str | list[dict], corpus: DataFrame, labels: DataFrame, dev: DataFrame | None = None, score: Callable[[DataFrame], float] = f1_score, share: float = 0.2, refit: bool = True, store: TableStore | None = None, **resources) -> tuple[FittedTextModel, DataFrame]:
     """(best model, results): without ``dev`` labels a ``share`` of each class is held out.
 
-    ``refit`` fits the best options to all labels.  Results are (selector, features, standardize, model,
-    options, score) in the order of the fits.
+    The best options are fitted once more: with ``refit`` to all labels, else to the training part.  Results are
+    (selector, features, standardize, model, options, score) in the order of the fits.  All tables on
+    the way are deleted.
     """
-    if dev is None:
-        role = stash(sm.held_out_split(labels.select("source", "y"), "y", "source", share, base.seed), "roles")
-        train, held = (role.where(F.col("role") == r).drop("role") for r in ("train", "test"))
-    else:
-        train, held = labels, dev
-    results, best = [], None
-    for space in search_space(config):
-        for r in run(base, space, corpus, train, held, score, **resources):
-            results.append((len(results), str(r.options.selector.kind), json.dumps(r.options.features), r.options.standardize, r.options.model, json.dumps(r.options.model_kwargs), r.score))
-            best = r if best is None or r.score > best.score else best
-    if best is None:
-        raise ValueError("the configuration has no candidate")
-    fitted = best.options.fit(corpus, labels, **resources) if refit else best.fitted
+    if store is None:
+        with TableStore(corpus.sparkSession) as own:
+            return search(base, config, corpus, labels, dev, score, share, refit, own, **resources)
+    with store.holding():
+        if dev is None:
+            role = store.table("roles", digest("roles", fingerprint(labels), share, base.seed), lambda: sm.held_out_split(labels.select("source", "y"), "y", "source", share, base.seed))
+            train, held = (role.where(F.col("role") == r).drop("role") for r in ("train", "test"))
+        else:
+            train, held = labels, dev
+        results, best = [], None
+        for space in search_space(config):
+            for r in run(base, space, corpus, train, held, score, store, **resources):
+                results.append((len(results), str(r.options.selector.kind), json.dumps(r.options.features), r.options.standardize, r.options.model, json.dumps(r.options.model_kwargs), r.score))
+                best = (r.options, r.score) if best is None or r.score > best[1] else best
+        if best is None:
+            raise ValueError("the configuration has no candidate")
+        fitted = best[0].fit(corpus, labels if refit else train, **resources)
     schema = "place int, selector string, features string, standardize boolean, model string, options string, score double"
     return fitted, corpus.sparkSession.createDataFrame(results, schema)

@@ -7,7 +7,9 @@ names and their scales.  ``save`` writes them beside the classifier, ``load`` re
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
+from typing import NamedTuple
 
 from pyspark.ml import classification as ml
 from pyspark.ml.clustering import LDA, DistributedLDAModel, LocalLDAModel
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stash
+from ..sources.store import TableStore, digest, fingerprint
 from . import features as fe
 from . import models as mo
 from .ranking import position
@@ -22,7 +25,7 @@ from .selection import Selector
 from .vocabulary import Vocabulary
 
 #: Feature families and their options.
-FAMILIES = {"bag_of_words": (), "tfidf": (), "liwc": ("norm",), "glove": ("how",), "lda": ("k", "max_iter", "seed")}
+FAMILIES = {"bag_of_words": (), "tfidf": (), "liwc": ("norm",), "glove": ("how",), "lda": ("k", "max_iter", "seed", "doc_prior", "topic_prior")}
 
 
 @dataclass(frozen=True)
@@ -56,19 +59,45 @@ class TextModel:
         if self.model not in mo.CLASSIFIERS:
             raise ValueError(f"unknown classifier {self.model!r}; one of {sorted(mo.CLASSIFIERS)}")
 
-    def prepare(self, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Counts (source, term, n) and vocabulary (term, n, idx), as tables that several fits can share."""
-        counts = stash(self.vocabulary.counts(corpus), "counts")
-        return counts, stash(self.vocabulary.fit_counts(counts), "terms")
+    def prepare(self, corpus: DataFrame, labels: DataFrame, store: TableStore) -> Prepared:
+        """Labels, counts and vocabulary of the training rows as tables of ``store`` that several fits can share.
 
-    def fit(self, corpus: DataFrame, labels: DataFrame, lexicon: DataFrame | None = None, embeddings: DataFrame | None = None, prepared: tuple[DataFrame, DataFrame] | None = None) -> FittedTextModel:
-        """Learn from ``corpus(source, tokens)`` and ``labels(source, y)`` of 0 and 1; other labels are ignored."""
-        counts, terms = prepared or self.prepare(corpus)
-        labels = stash(labels.where("y in (0, 1)").select("source", F.col("y").cast("int").alias("y")), "labels")
-        known = counts.join(labels.select("source"), "source", "left_semi").join(terms.select("term"), "term", "left_semi").select("source", "term", "n")
-        kept = terms if self.selector.kind is None else stash(self.selector.fit(stash(known, "known"), labels, terms), "selected")
-        fitted = FittedTextModel(self, kept.select("term", "idx"), lexicon=lexicon, embeddings=embeddings)
-        return fitted._learn(known, labels)
+        Only sources with a label of 0 or 1 are read: words of others never enter the vocabulary.
+        """
+        labels = labels.where("y in (0, 1)").select("source", F.col("y").cast("int").alias("y"))
+        given = digest(fingerprint(corpus.select("source", "tokens")), fingerprint(labels))
+        labels = store.table("labels", given, lambda: labels)
+        key = digest(given, self.vocabulary)
+        counts = store.table("counts", key, lambda: self.vocabulary.counts(corpus.join(labels.select("source").distinct(), "source", "left_semi")))
+        return Prepared(key, labels, counts, store.table("terms", key, lambda: self.vocabulary.fit_counts(counts)))
+
+    def fit(self, corpus: DataFrame, labels: DataFrame, lexicon: DataFrame | None = None, embeddings: DataFrame | None = None, prepared: Prepared | None = None, store: TableStore | None = None) -> FittedTextModel:
+        """Learn from ``corpus(source, tokens)`` and ``labels(source, y)`` of 0 and 1; other labels are ignored.
+
+        Without a ``store`` the tables on the way are deleted at the end, and the few that the model needs
+        are copied; with one they stay as long as the store holds them, and the model lives as long.
+        ValueError if no training row has a feature.
+        """
+        if store is None:
+            with TableStore(corpus.sparkSession) as own, own.holding():
+                return self.fit(corpus, labels, lexicon, embeddings, prepared, own)._kept()
+        made = prepared or self.prepare(corpus, labels, store)
+        key = digest(made.key, self.selector)
+        kept = made.terms
+        if self.selector.kind is not None:
+            known = store.table("known", made.key, lambda: made.counts.join(made.terms.select("term"), "term", "left_semi").select("source", "term", "n"))
+            kept = store.table("selected", key, lambda: self.selector.fit(known, made.labels, made.terms))
+        fitted = FittedTextModel(self, kept.select("term", "idx"), lexicon=lexicon, embeddings=embeddings, store=store, key=key)
+        return fitted._learn(made.counts, made.labels)
+
+
+class Prepared(NamedTuple):
+    """Tables that fits with the same vocabulary options and training rows share, and their key."""
+
+    key: str
+    labels: DataFrame
+    counts: DataFrame
+    terms: DataFrame
 
 
 @dataclass
@@ -82,25 +111,37 @@ class FittedTextModel:
     size: int = 0
     topics: object = None
     model: object = None
+    store: TableStore | None = None
+    key: str = ""
+
+    def _table(self, tag: str, make: Callable[[], DataFrame], *parts) -> DataFrame:
+        """A table of the store under this model's vocabulary and ``parts``."""
+        return self.store.table(tag, digest(self.key, *parts), make)
+
+    def _kept(self) -> FittedTextModel:
+        """This model with tables of its own, without the store."""
+        self.terms, self.names = stash(self.terms, "terms"), stash(self.names, "names")
+        self.idf = None if self.idf is None else stash(self.idf, "idf")
+        self.store = None
+        return self
 
     def _learn(self, counts: DataFrame, labels: DataFrame) -> FittedTextModel:
-        inside = stash(counts.join(self.terms, "term").select("source", "term", "idx", "n"), "inside")
-        if "tfidf" in self.options.features:
+        chosen, sources = self.options.features, labels.select("source")
+        inside = self._table("inside", lambda: counts.join(self.terms, "term").select("source", "term", "idx", "n"))
+        if "tfidf" in chosen:
             docs = labels.agg(F.count("*").cast("double").alias("docs"))  # one row
-            df = inside.groupBy("term").agg(F.count("*").alias("df"))
-            self.idf = stash(df.crossJoin(F.broadcast(docs)).select("term", (F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "idf")
-        if "lda" in self.options.features:
-            o = {"k": 50, "max_iter": 20, "seed": self.options.seed} | self.options.features["lda"]
-            data = self._bag(inside, labels.select("source"))
-            self.topics = LDA(k=o["k"], maxIter=o["max_iter"], seed=o["seed"], featuresCol="bag").fit(data)
-        long = stash(self._features(inside, labels.select("source")), "features")
-        scale = long.groupBy("feature_set", "name").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-        n = float(max(1, labels.count()))
-        mean = F.col("s") / n
-        scale = scale.select("feature_set", "name", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / n - mean * mean, F.lit(0.0))).alias("std"))
-        self.names = stash(position(scale.withColumn("_key", F.concat_ws("\u0001", "feature_set", "name")), "_key").drop("_key"), "names")
+            idf = F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0
+            self.idf = self._table("idf", lambda: inside.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(docs)).select("term", idf.alias("idf")))
+        if "lda" in chosen:
+            o = {"k": 50, "max_iter": 20, "seed": self.options.seed, "doc_prior": None, "topic_prior": None} | chosen["lda"]
+            priors = {name: value for name, value in (("docConcentration", o["doc_prior"] and [float(o["doc_prior"])]), ("topicConcentration", o["topic_prior"])) if value}
+            self.topics = self.store.value(digest(self.key, "lda", o), lambda: LDA(k=o["k"], maxIter=o["max_iter"], seed=o["seed"], featuresCol="bag", **priors).fit(self._bag(inside, sources)))
+        long = self._table("features", lambda: self._features(inside, sources), chosen)
+        self.names = self._table("names", lambda: self._scales(long, labels), chosen)
         self.size = self.names.count()
-        data = stash(self._vectors(long, labels.select("source")).join(labels, "source").withColumnRenamed("y", "label"), "train")
+        if not self.size:
+            raise ValueError("no training row has a feature: the vocabulary, or what was selected of it, is empty")
+        data = self._table("train", lambda: self._vectors(long, sources).join(labels, "source").withColumnRenamed("y", "label"), chosen, self.options.standardize)
         kw = dict(self.options.model_kwargs)
         if self.options.model in ("logistic", "linear_svm", "svm"):
             kw["n"] = data.count()
@@ -111,6 +152,15 @@ class FittedTextModel:
         self.model = mo.classifier(self.options.model, self.options.seed, **kw).fit(data)
         return self
 
+    @staticmethod
+    def _scales(long: DataFrame, labels: DataFrame) -> DataFrame:
+        """(idx, feature_set, name, mean, std) of the features over all training sources."""
+        scale = long.groupBy("feature_set", "name").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+        n = float(max(1, labels.count()))
+        mean = F.col("s") / n
+        scale = scale.select("feature_set", "name", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / n - mean * mean, F.lit(0.0))).alias("std"))
+        return position(scale.withColumn("_key", F.concat_ws("\u0001", "feature_set", "name")), "_key").drop("_key")
+
     def _bag(self, inside: DataFrame, sources: DataFrame) -> DataFrame:
         size = self.terms.count()
         rows = mo.to_vectors(inside, size)
@@ -146,16 +196,28 @@ class FittedTextModel:
             return _shifted(mo.with_empty(sources.join(mo.to_vectors(values, self.size, value="value"), "source", "left"), self.size), shift)
         return mo.with_empty(sources.join(mo.to_vectors(values, self.size, value="value"), "source", "left"), self.size)
 
-    def vectors(self, corpus: DataFrame) -> DataFrame:
-        """(source, features) of ``corpus(source, tokens)``; a source without a known term has an empty vector."""
-        counts = self.options.vocabulary.counts(corpus)
-        inside = stash(counts.join(self.terms, "term").select("source", "term", "idx", "n"), "inside")
-        sources = corpus.select("source").distinct()
-        return self._vectors(self._features(inside, sources), sources)
+    def vectors(self, corpus: DataFrame, key: str | None = None) -> DataFrame:
+        """(source, features) of ``corpus(source, tokens)``; a source without a known term has an empty vector.
 
-    def predict(self, corpus: DataFrame) -> DataFrame:
+        With a store and a ``key`` of the corpus the tables on the way are shared with other models.
+        """
+        sources, chosen = corpus.select("source").distinct(), self.options.features
+        if self.store is None or key is None:
+            inside = stash(self.options.vocabulary.counts(corpus).join(self.terms, "term").select("source", "term", "idx", "n"), "inside")
+            return self._vectors(self._features(inside, sources), sources)
+        counts = self.store.table("counts", digest(key, self.options.vocabulary), lambda: self.options.vocabulary.counts(corpus))
+        inside = self._table("inside", lambda: counts.join(self.terms, "term").select("source", "term", "idx", "n"), key)
+        long = self._table("features", lambda: self._features(inside, sources), key, chosen)
+        return self._table("vectors", lambda: self._vectors(long, sources), key, chosen, self.options.standardize)
+
+    def predict(self, corpus: DataFrame, key: str | None = None) -> DataFrame:
         """(source, y_pred): probability of class 1, or the class where the classifier has none."""
-        return mo.predict(self.model, self.vectors(corpus))
+        return mo.predict(self.model, self.vectors(corpus, key))
+
+    def predict_counts(self, counts: DataFrame, sources: DataFrame) -> DataFrame:
+        """``predict`` for the distinct ``sources`` of a table (source, term, n)."""
+        inside = stash(counts.join(self.terms, "term").select("source", "term", "idx", "n"), "inside")
+        return mo.predict(self.model, self._vectors(self._features(inside, sources), sources))
 
     def feature_names(self) -> DataFrame:
         """(idx, feature_set, name) in the order of the vectors."""

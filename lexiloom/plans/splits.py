@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import STOPWORDS
 from ..operators import analysis as an
 from ..operators import evaluation as ev
 from ..operators import features as fe
+from ..operators import scoring as sr
 from ..operators import selection as fs
 from ..operators import splits as sp
 from ..operators import vocabulary as vo
 from ..operators.loader import PostLoader
-from ..sources.scratch import stash
+from ..operators.temporal import bin_of
+from ..operators.text_model import TextModel
+from ..sources.scratch import root_of, stash
 from .common import DTM, PRED, TOK, corpus, predictions, query, rounded, table, toxic_labels
 
 HASHED = "md5('42_' || doc_id), doc_id"
@@ -234,6 +239,44 @@ def temporal_predictions(spark, sf):
     return _assembled(spark, sf).drop("y_pred")
 
 
+def event_posts(spark, sf):
+    """(bin, source, tokens): an event's type, its value in tens and its property are its words."""
+    words = F.array(F.col("event_type"), F.concat(F.lit("v"), F.floor(F.col("value") / 10).cast("string")), F.concat(F.lit("k"), F.from_json("props", "k long")["k"].cast("string")))
+    e = table(spark, sf, "events").select(bin_of(F.col("ts"), WEEKS).alias("bin"), F.col("user_id").alias("source"), words.alias("tokens"))
+    return e.where("bin < 4")
+
+
+#: Multinomial naive Bayes written out for every training week and fold.
+TEMPORAL_MODELS = f"""{TEMPORAL},
+ev AS (SELECT user_id AS source, CASE {" ".join(f"WHEN ts >= TIMESTAMP '{w}' THEN {i}" for i, w in reversed([*enumerate(WEEKS)]))} END::INTEGER AS bin,
+  unnest([event_type, 'v' || floor(value / 10)::BIGINT, 'k' || regexp_extract(props, '"k": *(-?[0-9]+)', 1)]) AS term FROM events),
+cnt AS (SELECT bin, source, term, count(*) AS n FROM ev WHERE term IS NOT NULL GROUP BY ALL),
+tr AS (SELECT DISTINCT bin AS train_bin, fold, source, label FROM ts WHERE role = 'train'),
+th AS (SELECT train_bin, fold, term, sum(n) FILTER (label = 1) AS n1, sum(n) FILTER (label = 0) AS n0 FROM tr JOIN cnt ON cnt.bin = train_bin AND cnt.source = tr.source GROUP BY ALL),
+lp AS (SELECT train_bin, fold, term, ln((coalesce(n1, 0) + 1) / (sum(n1) OVER w + count(*) OVER w)) - ln((coalesce(n0, 0) + 1) / (sum(n0) OVER w + count(*) OVER w)) AS d FROM th WINDOW w AS (PARTITION BY train_bin, fold)),
+pri AS (SELECT train_bin, fold, ln((count(*) FILTER (label = 1) + 1.0::DOUBLE) / (count(*) FILTER (label = 0) + 1.0::DOUBLE)) AS p FROM tr GROUP BY ALL),
+who AS (SELECT DISTINCT ts.bin, ts.source, ts.fold, role, label FROM ts JOIN cnt ON ts.bin = cnt.bin AND ts.source = cnt.source WHERE role <> 'train'),
+sc AS (
+  SELECT pri.train_bin, pri.fold, who.bin AS test_bin, who.source, role, label, any_value(pri.p) + coalesce(sum(cnt.n * lp.d), 0) AS odds
+  FROM pri JOIN who ON role = 'test' OR who.fold = pri.fold JOIN cnt ON cnt.bin = who.bin AND cnt.source = who.source LEFT JOIN lp ON lp.train_bin = pri.train_bin AND lp.fold = pri.fold AND lp.term = cnt.term
+  GROUP BY ALL),
+pm AS (SELECT train_bin, fold, test_bin, source, role, label, 0.5::DOUBLE * (1 + tanh(odds / 2)) AS y_pred,
+  EXISTS (SELECT 1 FROM tr WHERE tr.train_bin = sc.train_bin AND tr.fold = sc.fold AND tr.source = sc.source) AS user_in_training FROM sc)"""
+
+
+def _scored(spark, sf):
+    """Predictions of a model for each week and fold, in a folder of the run's own."""
+    splits = stash(_temporal(spark, sf), "splits")
+    options = TextModel(model="naive_bayes")
+    root = f"{root_of(spark)}/experiment-{uuid.uuid4().hex}"
+    return splits, sr.score_periods(event_posts(spark, sf), splits, options, root)
+
+
+@query("temporal_model_scores", f"WITH {TEMPORAL_MODELS} SELECT train_bin, train_bin AS control_bin, fold, test_bin, source, round(y_pred, 6) AS y_pred FROM pm")
+def temporal_model_scores(spark, sf):
+    return rounded(_scored(spark, sf)[1], "y_pred")
+
+
 @query("combination_sizes", f"""WITH {ASSEMBLED}, g AS (SELECT * FROM (SELECT DISTINCT "group" FROM asm), (SELECT DISTINCT train_bin FROM asm), (SELECT DISTINCT test_bin FROM asm), (SELECT DISTINCT fold FROM asm), (SELECT DISTINCT y_true FROM asm)),
 n AS (SELECT "group", train_bin, test_bin, fold, y_true, count(*) AS n, count(*) FILTER (NOT user_in_training) AS n_unseen FROM asm GROUP BY ALL)
 SELECT g.*, coalesce(n, 0) AS n, coalesce(n_unseen, 0) AS n_unseen FROM g LEFT JOIN n USING ("group", train_bin, test_bin, fold, y_true)""")

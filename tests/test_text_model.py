@@ -82,7 +82,8 @@ def test_options_are_checked():
 def test_selector_reindexes(spark, data):
     corpus, labels = data
     v = vo.Vocabulary()
-    counts, terms = tm.TextModel(vocabulary=v).prepare(corpus)
+    counts = v.counts(corpus)
+    terms = v.fit_counts(counts)
     dtm = counts.join(labels.select("source"), "source", "left_semi")
     kept = fs.Selector("pmi", top_k=4, smoothing=1.0, protected=("table", "the"), filter_stopwords=True, keep_pronouns=True).fit(dtm, labels, terms).orderBy("idx").collect()
     got = [r["term"] for r in kept]
