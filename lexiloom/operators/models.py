@@ -8,12 +8,14 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml import classification as ml
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import linear as li
+
 
 def naive_bayes_log_odds(train: DataFrame, labels: DataFrame, test: DataFrame, alpha: float = 1.0) -> DataFrame:
     """(source, log_odds) of class 1 against 0 by multinomial naive Bayes on ``(source, term, n)`` tables."""
@@ -122,12 +124,16 @@ def _linear_svm(seed: int, C: float = 1.0, n: int = 1):
     return ml.LinearSVC(regParam=1.0 / (C * max(n, 1)), standardization=False, maxIter=50)
 
 
+def rbf_features(seed: int, gamma: float = 0.1, tolerance: float = 0.2) -> RandomFourier:
+    return RandomFourier(gamma, li.fourier_size(tolerance), seed)
+
+
 CLASSIFIERS: dict[str, Callable] = {
     "logistic": _logistic,
     "linear_svm": _linear_svm,
-    "svm": lambda seed, C=1.0, n=1, gamma=0.1: Pipeline(stages=[RandomFourier(gamma, seed=seed), _linear_svm(seed, C, n)]),
-    "perceptron": lambda seed, **kw: ml.LinearSVC(regParam=0.0, standardization=False, maxIter=kw.get("max_iter", 20)),
-    "sgd": lambda seed, alpha=1e-4: ml.LinearSVC(regParam=alpha, standardization=False, maxIter=30),
+    "svm": lambda seed, C=1.0, n=1, gamma=0.1, tolerance=0.2: li.CalibratedSVM(rbf_features(seed, gamma, tolerance), _linear_svm(seed, C, n), seed=seed),
+    "perceptron": lambda seed, eta0=1.0, max_iter=50, shuffle=True: li.Sequential(li.perceptron_epoch, {"eta": eta0}, max_iter, seed=seed, shuffle=shuffle),
+    "sgd": lambda seed, alpha=1e-4, loss="hinge", max_iter=50, shuffle=True: li.Sequential(li.sgd_epoch, {"alpha": alpha, "loss": loss}, max_iter, seed=seed, shuffle=shuffle, logistic=loss == "log"),
     "naive_bayes": lambda seed, alpha=1.0: ml.NaiveBayes(modelType="multinomial", smoothing=alpha),
     "decision_tree": lambda seed, max_depth=5, min_samples_leaf=1: ml.DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=min_samples_leaf, seed=seed),
     "random_forest": lambda seed, n_estimators=100, max_depth=5: ml.RandomForestClassifier(numTrees=n_estimators, maxDepth=max_depth, seed=seed),
@@ -136,7 +142,7 @@ CLASSIFIERS: dict[str, Callable] = {
     "mlp": lambda seed, layers=(0, 100, 2): ml.MultilayerPerceptronClassifier(layers=list(layers), seed=seed),
 }
 #: Names whose models give probabilities.
-PROBABILISTIC = {"logistic", "naive_bayes", "decision_tree", "random_forest", "adaboost", "gradient_boosting", "mlp"}
+PROBABILISTIC = {"logistic", "svm", "naive_bayes", "decision_tree", "random_forest", "adaboost", "gradient_boosting", "mlp"}
 DEFAULT_GRIDS: dict[str, dict[str, list]] = {
     "logistic": {"C": [0.01, 0.1, 1.0, 10.0]},
     "linear_svm": {"C": [0.01, 0.1, 1.0, 10.0]},

@@ -20,6 +20,7 @@ from ..sources.scratch import stash
 from ..sources.store import TableStore, digest, fingerprint
 from . import features as fe
 from . import models as mo
+from .linear import load_calibrated
 from .ranking import position
 from .selection import Selector
 from .vocabulary import Vocabulary
@@ -267,14 +268,14 @@ class FittedTextModel:
             for i, (_, tree) in enumerate(self.model.trees):
                 tree.write().overwrite().save(f"{path}/classifier-{i}")
         elif self.options.model == "svm":
-            self.model.stages[-1].write().overwrite().save(f"{path}/classifier")
+            self.model.save(f"{path}/classifier")
         else:
             self.model.write().overwrite().save(f"{path}/classifier")
 
 
 #: Classes of fitted classifiers by name.
 _FITTED = {
-    "logistic": ml.LogisticRegressionModel, "linear_svm": ml.LinearSVCModel, "svm": ml.LinearSVCModel, "perceptron": ml.LinearSVCModel, "sgd": ml.LinearSVCModel, "naive_bayes": ml.NaiveBayesModel,
+    "logistic": ml.LogisticRegressionModel, "linear_svm": ml.LinearSVCModel, "perceptron": ml.LinearSVCModel, "sgd": ml.LinearSVCModel, "naive_bayes": ml.NaiveBayesModel,
     "decision_tree": ml.DecisionTreeClassificationModel, "random_forest": ml.RandomForestClassificationModel, "gradient_boosting": ml.GBTClassificationModel, "mlp": ml.MultilayerPerceptronClassificationModel,
 }
 
@@ -290,8 +291,6 @@ def _shifted(df: DataFrame, shift: list[float]) -> DataFrame:
 
 def load(spark: SparkSession, path: str, lexicon: DataFrame | None = None, embeddings: DataFrame | None = None) -> FittedTextModel:
     """What ``FittedTextModel.save`` wrote."""
-    from pyspark.ml import PipelineModel
-
     row = spark.read.parquet(f"{path}/options").first()
     o = json.loads(row["options"])
     tuples = lambda d: {k: tuple(v) if isinstance(v, list) else v for k, v in d.items()}
@@ -304,8 +303,10 @@ def load(spark: SparkSession, path: str, lexicon: DataFrame | None = None, embed
     if options.model == "adaboost":
         alphas = sorted(spark.read.parquet(f"{path}/alphas").collect())
         out.model = mo.BoostedModel([(a["alpha"], ml.DecisionTreeClassificationModel.load(f"{path}/classifier-{a['i']}")) for a in alphas])
+    elif options.model == "svm":
+        kw = {k: v for k, v in options.model_kwargs.items() if k in ("gamma", "tolerance")}
+        out.model = load_calibrated(spark, f"{path}/classifier", mo.rbf_features(options.seed, **kw))
     else:
-        out.model = _FITTED[options.model].load(f"{path}/classifier")
-        if options.model == "svm":
-            out.model = PipelineModel([mo.RandomFourier(options.model_kwargs.get("gamma", 0.1), seed=options.seed), out.model])
+        of = ml.LogisticRegressionModel if options.model == "sgd" and options.model_kwargs.get("loss") == "log" else _FITTED[options.model]
+        out.model = of.load(f"{path}/classifier")
     return out
