@@ -5,10 +5,13 @@ from __future__ import annotations
 import copy
 import json
 from collections.abc import Callable
+from dataclasses import fields
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
+from . import options as op
+from .loader import PostLoader
 from .selection import Selector
 from .splits import SplitConfig
 from .text_model import TextModel
@@ -93,16 +96,53 @@ def load_config(spark: SparkSession, path: str, out_dir: str | None = None, kind
 def split_config(config: dict, side: str = "train") -> SplitConfig:
     pick = lambda key: config[key][side] if isinstance(config[key], dict) else config[key]
     ratio = tuple(pick("class_ratio")) if pick("rebalance") and pick("class_ratio") else None
-    return SplitConfig(config["kfolds"], config["test_size"] or 0.2, config.get("stratified", True), config["random_seed"], ratio, pick("downsample_size") if pick("downsample") else None)
+    return SplitConfig(config["kfolds"], config["test_size"], config.get("stratified", True), config["random_seed"], ratio, pick("downsample_size") if pick("downsample") else None)
 
 
 def text_model(config: dict) -> TextModel:
     """Options of the model that a configuration describes."""
     v, p = config["vocab_kwargs"], config["preprocessing_kwargs"]
     vocabulary = Vocabulary(tuple(v["ngrams"]), v["min_token_freq"], v["max_token_freq"], v["max_vocab_size"], v["binarize_counter"])
-    names = {"add_lambda": "smoothing", "top_k": "top_k", "min_support": "min_support", "beta": "beta", "symmetric": "symmetric"}
-    chosen = {names[k]: x for k, x in config["feature_selection_kwargs"].items() if k in names}
-    selector = Selector(config["feature_selector"], filter_stopwords=v["filter_stopwords"], keep_pronouns=v["keep_pronouns"], **chosen)
-    features = {name: dict(p["feature_kwargs"].get(name, {})) for name, on in p["feature_flags"].items() if on}
-    kwargs = {k: x for k, x in config["model_kwargs"].items() if k not in ("random_state", "class_weight")}
-    return TextModel(vocabulary, selector, features, p["standardize"], config["model"], kwargs, config["model_kwargs"].get("class_weight"), config["random_seed"])
+    chosen = op.selector_options(config["feature_selection_kwargs"])
+    selector = Selector(config["feature_selector"], **chosen)
+    features = {name: op.feature_options(name, p["feature_kwargs"].get(name) or {}) for name, on in p["feature_flags"].items() if on}
+    kwargs, weight = op.model_options(config["model"], config["model_kwargs"])
+    drop_null = _side(config.get("drop_null"), "train", False)
+    return TextModel(vocabulary, selector, features, p["standardize"], config["model"], kwargs, weight, config["random_seed"], drop_null)
+
+
+def _side(value, side: str, default=None):
+    """An option that may be given for each side."""
+    value = value.get(side, default) if isinstance(value, dict) else value
+    return default if value is None else value
+
+
+def post_loader(config: dict, excluded: dict | None = None) -> PostLoader:
+    """Post and token filters of a configuration.
+
+    ``excluded`` holds the named lists that ``filter_mh_subreddits`` and ``filter_mh_terms`` ask for, below
+    ``subreddits`` and ``terms``; ValueError if one is asked for and isn't there.
+    """
+    v = config["vocab_kwargs"]
+    for key in ("external_vocab", "external_only"):
+        if v.get(key):
+            raise ValueError(f"vocab_kwargs: {key}={v[key]!r} can't be honoured")
+
+    def listed(kind: str, name: str | None) -> tuple[str, ...]:
+        if not name:
+            return ()
+        if name not in (excluded or {}).get(kind, {}):
+            raise ValueError(f"vocab_kwargs: the list {name!r} of {kind} isn't given")
+        return tuple(excluded[kind][name])
+
+    same = {f.name for f in fields(PostLoader)} & set(v)
+    return PostLoader(**{k: v[k] for k in same}, ignore_subreddits=listed("subreddits", v.get("filter_mh_subreddits")), ignore_terms=listed("terms", v.get("filter_mh_terms")), random_state=config["random_seed"])
+
+
+def post_selection(config: dict, side: str) -> dict:
+    """Dates and sampling of a side's posts, as ``PostLoader.select`` takes them; empty dates are no bound."""
+    dates = _side(config.get("date_boundaries"), side, {})
+    if isinstance(dates, list):  # periods of a temporal experiment
+        dates = {"min_date": dates[0], "max_date": dates[-1]} if dates else {}
+    sampling = _side(config.get("post_sampling"), side, {})
+    return {"min_date": dates.get("min_date") or None, "max_date": dates.get("max_date") or None, "n_samples": sampling.get("n_samples"), "randomized": bool(sampling.get("randomized"))}

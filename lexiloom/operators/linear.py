@@ -178,7 +178,7 @@ class CalibratedSVM:
     def fit(self, df: DataFrame) -> CalibratedModel:
         with TableStore(df.sparkSession) as store:
             fold = F.floor(F.rand(self.seed) * self.folds).cast("int")
-            data = store.table("rows", "all", lambda: self.project.transform(df.select("features", F.col("label").cast("double").alias("label"))).withColumn("fold", fold))
+            data = store.table("rows", "all", lambda: self.project.transform(df.select("features", F.col("label").cast("double").alias("label"), *(c for c in ("weight",) if c in df.columns))).withColumn("fold", fold))
             held = None
             for k in range(self.folds):
                 inside, outside = data.where(F.col("fold") != k), data.where(F.col("fold") == k)

@@ -115,23 +115,36 @@ def classifier(name: str, seed: int = 42, **kw):
     return CLASSIFIERS[name](seed, **kw)
 
 
-def _logistic(seed: int, C: float = 1.0, n: int = 1, weightCol: str | None = None):
+def _logistic(seed: int, C: float = 1.0, n: int = 1, weightCol: str | None = None, max_iter: int = 100):
     """``C`` scales the data term, so the penalty a row is 1 / (C n)."""
-    return ml.LogisticRegression(regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=100, **({"weightCol": weightCol} if weightCol else {}))
+    return ml.LogisticRegression(regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, **({"weightCol": weightCol} if weightCol else {}))
 
 
-def _linear_svm(seed: int, C: float = 1.0, n: int = 1):
-    return ml.LinearSVC(regParam=1.0 / (C * max(n, 1)), standardization=False, maxIter=50)
+def _linear_svm(seed: int, C: float = 1.0, n: int = 1, max_iter: int = 50, weightCol: str | None = None):
+    return ml.LinearSVC(regParam=1.0 / (C * max(n, 1)), standardization=False, maxIter=max_iter, **({"weightCol": weightCol} if weightCol else {}))
 
 
-def rbf_features(seed: int, gamma: float = 0.1, tolerance: float = 0.2) -> RandomFourier:
-    return RandomFourier(gamma, li.fourier_size(tolerance), seed)
+def _svm(seed: int, C: float = 1.0, n: int = 1, kernel: str = "rbf", gamma: float = 0.1, tolerance: float = 0.2, weightCol: str | None = None):
+    return li.CalibratedSVM(kernel_features(seed, kernel, gamma, tolerance), _linear_svm(seed, C, n, weightCol=weightCol), seed=seed)
+
+
+class AsTheyAre(Transformer):
+    """The features of a linear kernel."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df
+
+
+def kernel_features(seed: int, kernel: str = "rbf", gamma: float = 0.1, tolerance: float = 0.2) -> Transformer:
+    if kernel not in ("rbf", "linear"):
+        raise ValueError("kernel must be 'rbf' or 'linear'")
+    return RandomFourier(gamma, li.fourier_size(tolerance), seed) if kernel == "rbf" else AsTheyAre()
 
 
 CLASSIFIERS: dict[str, Callable] = {
     "logistic": _logistic,
     "linear_svm": _linear_svm,
-    "svm": lambda seed, C=1.0, n=1, gamma=0.1, tolerance=0.2: li.CalibratedSVM(rbf_features(seed, gamma, tolerance), _linear_svm(seed, C, n), seed=seed),
+    "svm": _svm,
     "perceptron": lambda seed, eta0=1.0, max_iter=50, shuffle=True: li.Sequential(li.perceptron_epoch, {"eta": eta0}, max_iter, seed=seed, shuffle=shuffle),
     "sgd": lambda seed, alpha=1e-4, loss="hinge", max_iter=50, shuffle=True: li.Sequential(li.sgd_epoch, {"alpha": alpha, "loss": loss}, max_iter, seed=seed, shuffle=shuffle, logistic=loss == "log"),
     "naive_bayes": lambda seed, alpha=1.0: ml.NaiveBayes(modelType="multinomial", smoothing=alpha),
@@ -139,8 +152,10 @@ CLASSIFIERS: dict[str, Callable] = {
     "random_forest": lambda seed, n_estimators=100, max_depth=5: ml.RandomForestClassifier(numTrees=n_estimators, maxDepth=max_depth, seed=seed),
     "adaboost": lambda seed, n_estimators=50, learning_rate=1.0: BoostedTrees(n_estimators, 1, learning_rate, seed),
     "gradient_boosting": lambda seed, n_estimators=50, max_depth=3, learning_rate=0.1: ml.GBTClassifier(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, seed=seed),
-    "mlp": lambda seed, layers=(0, 100, 2): ml.MultilayerPerceptronClassifier(layers=list(layers), seed=seed),
+    "mlp": lambda seed, layers=(0, 100, 2), max_iter=100: ml.MultilayerPerceptronClassifier(layers=list(layers), seed=seed, maxIter=max_iter),
 }
+#: Names whose fits take class weights.
+WEIGHTED = {"logistic", "linear_svm", "svm"}
 #: Names whose models give probabilities.
 PROBABILISTIC = {"logistic", "svm", "naive_bayes", "decision_tree", "random_forest", "adaboost", "gradient_boosting", "mlp"}
 DEFAULT_GRIDS: dict[str, dict[str, list]] = {

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import TableStore, digest, fingerprint
 from . import evaluation as ev
+from . import options as op
 from . import sampling as sm
 from .models import grid
 from .selection import Selector
@@ -70,9 +71,13 @@ def search_space(config: str | list[dict]) -> list[Space]:
     spaces = []
     for c in config:
         selectors = [Selector()] if c["feature_selector_ablation"] or not c["feature_selector"] else []
-        selectors += [Selector(kind, **o) for kind, options in c["feature_selector"].items() for o in grid(options)]
-        stages = feature_stages(c["features"], c["feature_set_ablation"])
-        models = [(m["name"], o) for m in c["model"] for o in grid({k: v for k, v in m.items() if k != "name"})]
+        selectors += [Selector(kind, **op.selector_options(o)) for kind, options in c["feature_selector"].items() for o in grid(options)]
+        stages = tuple(tuple({n: op.feature_options(n, o) for n, o in s.items()} for s in stage) for stage in feature_stages(c["features"], c["feature_set_ablation"]))
+        models = []
+        for m in c["model"]:
+            for o in grid({k: v for k, v in m.items() if k != "name"}):
+                kw, weight = op.model_options(m["name"], o)
+                models.append((m["name"], kw | ({"class_weight": weight} if weight else {})))
         spaces.append(Space(tuple(selectors), tuple((s, stages) for s in c["standardize"]), tuple(models)))
     return spaces
 

@@ -33,8 +33,8 @@ class SplitConfig:
     def __post_init__(self) -> None:
         if self.kfolds < 2:
             raise ValueError("kfolds must be at least 2")
-        if not 0 < self.test_size < 1:
-            raise ValueError("test_size must lie between 0 and 1")
+        if not 0 <= self.test_size < 1:
+            raise ValueError("test_size must be 0 or lie between 0 and 1")
 
 
 def _cut(df: DataFrame, ratio: tuple[int, int] | None, size: int | None, seed: int) -> DataFrame:

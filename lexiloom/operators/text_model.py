@@ -26,14 +26,14 @@ from .selection import Selector
 from .vocabulary import Vocabulary
 
 #: Feature families and their options.
-FAMILIES = {"bag_of_words": (), "tfidf": (), "liwc": ("norm",), "glove": ("how",), "lda": ("k", "max_iter", "seed", "doc_prior", "topic_prior")}
+FAMILIES = {"bag_of_words": (), "tfidf": (), "liwc": ("norm",), "glove": ("how", "dim"), "lda": ("k", "max_iter", "seed", "doc_prior", "topic_prior")}
 
 
 @dataclass(frozen=True)
 class TextModel:
     """Options; ``fit`` learns a ``FittedTextModel``.
 
-    ``features`` maps families to their options.  ``liwc`` needs a lexicon (entry, is_prefix, dim),
+    ``features`` maps families to their options; with ``drop_null`` training rows without a known term are left out.  ``liwc`` needs a lexicon (entry, is_prefix, dim),
     ``glove`` embeddings (key, vector); both are given to ``fit`` and ``load``.
     """
 
@@ -45,6 +45,7 @@ class TextModel:
     model_kwargs: dict = field(default_factory=dict)
     class_weight: str | None = None
     seed: int = 42
+    drop_null: bool = False
 
     def __post_init__(self) -> None:
         for name, options in self.features.items():
@@ -117,7 +118,7 @@ class FittedTextModel:
 
     def _table(self, tag: str, make: Callable[[], DataFrame], *parts) -> DataFrame:
         """A table of the store under this model's vocabulary and ``parts``."""
-        return self.store.table(tag, digest(self.key, *parts), make)
+        return self.store.table(tag, digest(self.key, self.options.drop_null, *parts), make)
 
     def _kept(self) -> FittedTextModel:
         """This model with tables of its own, without the store."""
@@ -129,6 +130,13 @@ class FittedTextModel:
     def _learn(self, counts: DataFrame, labels: DataFrame) -> FittedTextModel:
         chosen, sources = self.options.features, labels.select("source")
         inside = self._table("inside", lambda: counts.join(self.terms, "term").select("source", "term", "idx", "n"))
+        if self.options.drop_null:
+            labels = self._table("with_terms", lambda: labels.join(inside.select("source"), "source", "left_semi"))
+            sources = labels.select("source")
+        if "dim" in chosen.get("glove", {}):
+            wrong = self.embeddings.where(F.size("vector") != chosen["glove"]["dim"]).limit(1).count()
+            if wrong:
+                raise ValueError(f"the embeddings don't have {chosen['glove']['dim']} dimensions")
         if "tfidf" in chosen:
             docs = labels.agg(F.count("*").cast("double").alias("docs"))  # one row
             idf = F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0
@@ -146,7 +154,7 @@ class FittedTextModel:
         kw = dict(self.options.model_kwargs)
         if self.options.model in ("logistic", "linear_svm", "svm"):
             kw["n"] = data.count()
-        if self.options.class_weight and self.options.model == "logistic":
+        if self.options.class_weight and self.options.model in mo.WEIGHTED:
             data, kw["weightCol"] = mo.class_weights(data, self.options.class_weight), "weight"
         if self.options.model == "mlp":
             kw["layers"] = (self.size, *tuple(kw.get("layers", (0, 100, 2)))[1:])
@@ -178,7 +186,7 @@ class FittedTextModel:
         if "liwc" in chosen:
             sets["liwc"] = fe.lexicon_features(inside.select("source", "term", "n"), self.lexicon, **chosen["liwc"]).withColumnRenamed("dim", "name")
         if "glove" in chosen:
-            sets["glove"] = fe.pool_embeddings(inside.select("source", F.col("term").alias("key"), "n"), self.embeddings, **chosen["glove"]).select("source", F.lpad(F.col("dim").cast("string"), 4, "0").alias("name"), "value")
+            sets["glove"] = fe.pool_embeddings(inside.select("source", F.col("term").alias("key"), "n"), self.embeddings, **{k: v for k, v in chosen["glove"].items() if k != "dim"}).select("source", F.lpad(F.col("dim").cast("string"), 4, "0").alias("name"), "value")
         if "lda" in chosen:
             topic = self.topics.transform(self._bag(inside, sources)).select("source", F.posexplode(mo.vector_to_array("topicDistribution")).alias("dim", "value"))
             sets["lda"] = topic.select("source", F.lpad(F.col("dim").cast("string"), 4, "0").alias("name"), "value")
@@ -215,6 +223,10 @@ class FittedTextModel:
         """(source, y_pred): probability of class 1, or the class where the classifier has none."""
         return mo.predict(self.model, self.vectors(corpus, key))
 
+    def with_terms(self, corpus: DataFrame) -> DataFrame:
+        """(source) of a corpus that has a known term."""
+        return self.options.vocabulary.counts(corpus).join(self.terms.select("term"), "term", "left_semi").select("source").distinct()
+
     def predict_counts(self, counts: DataFrame, sources: DataFrame) -> DataFrame:
         """``predict`` for the distinct ``sources`` of a table (source, term, n)."""
         inside = stash(counts.join(self.terms, "term").select("source", "term", "idx", "n"), "inside")
@@ -304,8 +316,8 @@ def load(spark: SparkSession, path: str, lexicon: DataFrame | None = None, embed
         alphas = sorted(spark.read.parquet(f"{path}/alphas").collect())
         out.model = mo.BoostedModel([(a["alpha"], ml.DecisionTreeClassificationModel.load(f"{path}/classifier-{a['i']}")) for a in alphas])
     elif options.model == "svm":
-        kw = {k: v for k, v in options.model_kwargs.items() if k in ("gamma", "tolerance")}
-        out.model = load_calibrated(spark, f"{path}/classifier", mo.rbf_features(options.seed, **kw))
+        kw = {k: v for k, v in options.model_kwargs.items() if k in ("kernel", "gamma", "tolerance")}
+        out.model = load_calibrated(spark, f"{path}/classifier", mo.kernel_features(options.seed, **kw))
     else:
         of = ml.LogisticRegressionModel if options.model == "sgd" and options.model_kwargs.get("loss") == "log" else _FITTED[options.model]
         out.model = of.load(f"{path}/classifier")

@@ -76,7 +76,7 @@ def test_calibrated_rbf(spark, tmp_path):
     brier = lambda q: np.mean([(q[i] - t) ** 2 for i, t in truth.items()])
     assert brier(p) < brier({r["source"]: 1 / (1 + np.exp(-r["margin"])) for r in raw})
     model.save(f"file://{tmp_path}/svm")
-    again = li.load_calibrated(spark, f"file://{tmp_path}/svm", mo.rbf_features(42, 0.5))
+    again = li.load_calibrated(spark, f"file://{tmp_path}/svm", mo.kernel_features(42, gamma=0.5))
     assert {r["source"]: r["y_pred"] for r in mo.predict(again, test).collect()} == pytest.approx(p)
 
 

@@ -227,7 +227,7 @@ def test_command_line(spark, data, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps(config()))
     at = lambda p: f"file://{tmp_path}/{p}"
     out = cli.train(spark, at("c.json"), at("posts"), at("labels"), at("out"))
-    assert spark.read.parquet(f"{out}/scores").where("accuracy > 0.8").count() == 2
+    assert spark.read.parquet(f"{out}/scores").where("accuracy > 0.8").count() == 3  # two folds and the test set
     cli.main(["infer", f"{out}/model", at("posts"), at("predictions")])
     cli.main(["evaluate", at("predictions"), at("labels"), at("report")])
     assert spark.read.parquet(at("report")).first()["accuracy"] > 0.9
