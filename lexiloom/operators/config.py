@@ -18,17 +18,31 @@ from .text_model import TextModel
 from .vocabulary import Vocabulary
 
 # Names of the options that existing configurations have.
-PRIMARY = "experiment_name train_data target_disorder random_seed kfolds test_size downsample downsample_size rebalance class_ratio model model_kwargs vocab_kwargs grid_search grid_search_kwargs preprocessing_kwargs feature_selector feature_selection_kwargs".split()
+# fmt: off
+PRIMARY = [
+    "experiment_name", "train_data", "target_disorder", "random_seed", "kfolds", "test_size", "downsample", "downsample_size", "rebalance",
+    "class_ratio", "model", "model_kwargs", "vocab_kwargs", "grid_search", "grid_search_kwargs", "preprocessing_kwargs", "feature_selector",
+    "feature_selection_kwargs",
+]
 EXTRA = {
     "model": [],
     "domain_transfer": ["test_data", "run_on_test", "date_boundaries"],
     "temporal_effects": ["test_data", "date_boundaries", "mixed_time_windows", "balance_date_splits", "run_on_test", "min_users_per_split", "min_posts"],
 }
 NESTED = {
-    "preprocessing_kwargs": "feature_flags feature_kwargs standardize".split(),
-    "vocab_kwargs": "filter_negate filter_upper filter_punctuation filter_numeric filter_user_mentions filter_url filter_retweet filter_stopwords keep_pronouns preserve_case emoji_handling filter_mh_subreddits filter_mh_terms max_tokens_per_document max_documents_per_user max_vocab_size min_token_freq max_token_freq ngrams binarize_counter".split(),
-    "grid_search_kwargs": "config test_size dev_frac dev_in_vocab score_func use_multiprocessing".split(),
+    "preprocessing_kwargs": [
+        "feature_flags", "feature_kwargs", "standardize",
+    ],
+    "vocab_kwargs": [
+        "filter_negate", "filter_upper", "filter_punctuation", "filter_numeric", "filter_user_mentions", "filter_url", "filter_retweet",
+        "filter_stopwords", "keep_pronouns", "preserve_case", "emoji_handling", "filter_mh_subreddits", "filter_mh_terms", "max_tokens_per_document",
+        "max_documents_per_user", "max_vocab_size", "min_token_freq", "max_token_freq", "ngrams", "binarize_counter",
+    ],
+    "grid_search_kwargs": [
+        "config", "test_size", "dev_frac", "dev_in_vocab", "score_func", "use_multiprocessing",
+    ],
 }
+# fmt: on
 
 
 def _whole(x) -> bool:

@@ -109,3 +109,40 @@ def report(df: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
     zero = {"precision": ratio(tn, tn + fn), "recall": ratio(tn, tn + fp), "f1": ratio(2 * tn, 2 * tn + fp + fn)}
     weighted = (ratio((tp + fn) * one[k] + (tn + fp) * zero[k], tp + fp + fn + tn).alias(f"weighted_{k}") for k in one)
     return c.select(*by, ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), *(v.alias(k) for k, v in one.items()), *weighted)
+
+
+def roc_lists(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, fpr, tpr, thresholds, auc, n_target, n_control): a whole curve a row, from (0, 0) at an infinite threshold.
+
+    Points on a straight line between their neighbours are left out.  Scores are counted before they are put in
+    order, and only what is kept of a curve is in its row.  Groups without both classes have no row.
+    """
+    d = df.groupBy(*by, "y_pred").agg(F.count_if(F.col("y_true") == 1).alias("p"), F.count_if(F.col("y_true") != 1).alias("n"))
+    d = running(d, by, [F.desc("y_pred")], ["p", "n"]).where("all_p > 0 and all_n > 0")
+    point = F.struct((-F.col("y_pred")).alias("s"), "p", "n", (F.col("before_p") + F.col("p")).alias("tp"), (F.col("before_n") + F.col("n")).alias("fp"))
+    won = F.sum(F.col("n") * (F.col("before_p") + F.col("p") / 2.0))
+    rows = d.groupBy(*by).agg(F.array_sort(F.collect_list(point)).alias("c"), F.max("all_p").alias("n_target"), F.max("all_n").alias("n_control"), won.alias("won"))
+    last = F.size("c") - 1
+    bends = lambda x, i: (i == 0) | (i == last) | (F.get("c", i + 1)["p"] != x["p"]) | (F.get("c", i + 1)["n"] != x["n"])
+    rows = rows.withColumn("c", F.filter("c", bends))
+    curve = lambda name, total: F.concat(F.array(F.lit(0.0)), F.transform("c", lambda x: x[name] / F.col(total)))
+    levels = F.concat(F.array(F.lit(float("inf"))), F.transform("c", lambda x: (-x["s"]).cast("double")))
+    return rows.select(*by, curve("fp", "n_control").alias("fpr"), curve("tp", "n_target").alias("tpr"), levels.alias("thresholds"), (F.col("won") / (F.col("n_target") * F.col("n_control"))).alias("auc"), "n_target", "n_control")
+
+
+def combination_scores(predictions: DataFrame, mixed: bool = False, threshold: float = 0.5) -> DataFrame:
+    """Scores and curves of every training period, control period, test periods, fold and subset (overall, seen, unseen).
+
+    ``predictions(group, train_bin, control_bin, test_bin, fold, y_true, y_pred, user_in_training)``.  With ``mixed``
+    the targets of each test period meet the controls of each, else those of the same one.  Combinations without both
+    classes have no row.
+    """
+    target = F.col("y_true") == 1
+    if mixed:
+        bins = F.broadcast(predictions.select(F.col("test_bin").alias("_other")).distinct())  # as many as there are periods
+        rows = predictions.crossJoin(bins).withColumn("target_test", F.when(target, F.col("test_bin")).otherwise(F.col("_other"))).withColumn("control_test", F.when(target, F.col("_other")).otherwise(F.col("test_bin")))
+    else:
+        rows = predictions.withColumn("target_test", F.col("test_bin")).withColumn("control_test", F.col("test_bin"))
+    by = ["group", "train_bin", "control_bin", "target_test", "control_test", "fold", "subset"]
+    rows = with_subsets(rows, "user_in_training").select(*by, "y_true", "y_pred")
+    return scores(rows, by, threshold, degenerate_zero=False).drop("tp", "fp", "fn", "tn").join(roc_lists(rows, by), by).withColumn("support", F.col("n_target") + F.col("n_control"))

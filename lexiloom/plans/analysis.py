@@ -41,10 +41,9 @@ def ratio_correlation(spark, sf):
     return rounded(an.pairwise_correlation(r), "pearson", digits=5)
 
 
-@query("combined_vocabulary", f"WITH {TOK}, c AS (SELECT term, count(*) AS n FROM w WHERE lang = 'en' GROUP BY ALL UNION ALL SELECT term, count(*) FROM w WHERE lang = 'de' GROUP BY ALL) SELECT term, sum(n)::BIGINT AS n FROM c GROUP BY term")
+@query("combined_vocabulary", f"WITH {TOK}, c AS (SELECT lang, term, count(*) AS n FROM w WHERE lang IS NOT NULL GROUP BY ALL) SELECT term, sum(n)::BIGINT AS n FROM c GROUP BY term")
 def combined_vocabulary(spark, sf):
-    parts = [Vocabulary().counts(corpus(spark, sf, "lang").where(F.col("source") == lang)).select("term", "n") for lang in ("en", "de")]
-    return an.combined_counts(*parts)
+    return an.combined_counts(Vocabulary().counts(corpus(spark, sf, "lang").where("source is not null")).select("term", "n"))
 
 
 @query("score_pivot", f"WITH {PRED} SELECT grp, round(avg(y_pred) FILTER (y_true = 0), 6) AS \"0\", round(avg(y_pred) FILTER (y_true = 1), 6) AS \"1\" FROM pred GROUP BY grp")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.wordlists import STOPWORDS
 from ..operators import analysis as an
 from ..operators import evaluation as ev
@@ -284,6 +285,33 @@ def combination_sizes(spark, sf):
     return sp.combination_sizes(_assembled(spark, sf))
 
 
+#: Hashed scores with a hint of the label; targets of a test week against controls of each.
+COMBOS = f"""{ASSEMBLED},
+hp AS (SELECT *, round(0.7::DOUBLE * (('0x' || substr(md5('5_' || train_bin || '_' || test_bin || '_' || fold || '_' || source), 1, 8))::UBIGINT / 4294967296.0::DOUBLE) + 0.3::DOUBLE * y_true, 2) AS s FROM asm),
+bn AS (SELECT DISTINCT test_bin AS o FROM hp),
+mx AS (SELECT "group", train_bin, fold, y_true, s, user_in_training, CASE WHEN y_true = 1 THEN test_bin ELSE o END AS target_test, CASE WHEN y_true = 1 THEN o ELSE test_bin END AS control_test FROM hp, bn),
+sb AS (SELECT * EXCLUDE user_in_training, unnest(['overall', CASE WHEN user_in_training THEN 'seen' ELSE 'unseen' END]) AS subset FROM mx),
+pt AS (SELECT "group", train_bin, target_test, control_test, fold, subset, s, count(*) FILTER (y_true = 1) AS p, count(*) FILTER (y_true = 0) AS n FROM sb GROUP BY ALL),
+cu AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER a AS np, sum(n) OVER a AS nn, lead(p) OVER w AS p1, lead(n) OVER w AS n1, row_number() OVER w AS i
+  FROM pt WINDOW w AS (PARTITION BY "group", train_bin, target_test, control_test, fold, subset ORDER BY s DESC ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY "group", train_bin, target_test, control_test, fold, subset)),
+rc AS (
+  SELECT "group", train_bin, target_test, control_test, fold, subset, max(np)::BIGINT AS n_target, max(nn)::BIGINT AS n_control,
+    '0,' || string_agg(round(fp / nn * 1000000)::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (i = 1 OR p1 IS NULL OR p1 <> p OR n1 <> n) AS fpr, '0,' || string_agg(round(tp / np * 1000000)::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (i = 1 OR p1 IS NULL OR p1 <> p OR n1 <> n) AS tpr,
+    round(sum(n * (tp - p / 2)) / (max(np) * max(nn)), 6) AS auc, coalesce(sum(p) FILTER (s > 0.5), 0) AS h1, coalesce(sum(n) FILTER (s > 0.5), 0) AS h0
+  FROM cu WHERE np > 0 AND nn > 0 GROUP BY ALL)"""
+
+
+@query("combination_scores", f"""WITH {COMBOS} SELECT "group", train_bin, train_bin AS control_bin, target_test, control_test, fold, subset, n_target, n_control, n_target + n_control AS support, fpr, tpr, auc,
+  round(coalesce(h1::DOUBLE / nullif(h1 + h0, 0), 0), 6) AS precision, round(h1::DOUBLE / n_target, 6) AS recall, round(2 * h1::DOUBLE / (h1 + h0 + n_target), 6) AS f1, round((h1 + n_control - h0)::DOUBLE / (n_target + n_control), 6) AS accuracy FROM rc""")
+def combination_scores(spark, sf):
+    asm = _assembled(spark, sf)
+    key = F.concat_ws("_", "train_bin", "test_bin", "fold", "source")
+    score = F.round(F.lit(0.7) * tx.uniform(key, 5) + F.lit(0.3) * F.col("y_true"), 2)
+    found = ev.combination_scores(asm.withColumn("control_bin", F.col("train_bin")).withColumn("y_pred", score), mixed=True)
+    digits = lambda c: F.array_join(F.transform(c, lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",")
+    return rounded(found.withColumns({c: digits(c) for c in ("fpr", "tpr")}).drop("thresholds"), "auc", "precision", "recall", "f1", "accuracy")
+
+
 @query("concatenated", "SELECT doc_id, lang, NULL::INTEGER AS toxic FROM documents UNION ALL SELECT doc_id, NULL, toxic FROM labels")
 def concatenated(spark, sf):
     return an.concat(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").select("doc_id", "toxic"))

@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..functions.tokenizer import Tokenizer, fold_negation, modelling_tokenizer
 from ..operators import models as mo
 from ..operators import sampling as sm
+from ..operators import stability as st
 from ..operators.loader import PostLoader, expand_patterns
 from ..operators.vocabulary import Vocabulary, vectorize
 from ..sources import readers
@@ -107,3 +108,37 @@ def lda_topics(spark, sf):
     even = F.transform(topics, lambda w: F.lit(1.0) / F.size(topics))  # Spark's zeros of an empty vector
     topics = F.when(F.exists(topics, lambda w: w > 0), topics).otherwise(even)
     return rounded(LDA(k=3, maxIter=3, seed=42).fit(data).transform(data).select("source", F.posexplode(topics).alias("topic", "weight")), "weight")
+
+
+def _vectors(spark, sf):
+    """(source, name, value) of the components of all vectors, and (source, y) by the parity of their labels."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("source"), "embedding", (F.col("label") % 2).alias("y"))
+    long = e.select("source", F.posexplode("embedding").alias("name", "value"))
+    return long.select("source", F.lpad(F.col("name").cast("string"), 4, "0").alias("name"), "value"), e.select("source", "y")
+
+
+@query("coefficient_stability")
+def coefficient_stability(spark, sf):
+    return rounded(st.coefficient_stability(st.replicate_fits(*_vectors(spark, sf))), "mean", "std")
+
+
+def _two_parts(spark, sf):
+    """(train, dev) of the vectors with their labels, by a hash of the id."""
+    e = table(spark, sf, "embeddings").where("label is not null and embedding is not null")
+    rows = e.select(F.col("vec_id").alias("source"), mo.array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("label") % 2).cast("double").alias("label"))
+    dev = tx.uniform(F.col("source"), 3) < 0.3
+    return rows.where(~dev), rows.where(dev)
+
+
+@query("sequential_classes")
+def sequential_classes(spark, sf):
+    """Classes of held-out vectors by a perceptron and by stochastic gradients."""
+    train, dev = _two_parts(spark, sf)
+    fits = [mo.predict(mo.classifier(name, max_iter=5).fit(train), dev).withColumn("model", F.lit(name)) for name in ("perceptron", "sgd")]
+    return fits[0].union(fits[1])
+
+
+@query("svm_probabilities")
+def svm_probabilities(spark, sf):
+    train, dev = _two_parts(spark, sf)
+    return rounded(mo.predict(mo.classifier("svm", gamma=0.5, tolerance=0.4, n=train.count()).fit(train), dev), "y_pred", digits=9)

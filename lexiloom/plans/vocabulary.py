@@ -9,6 +9,7 @@ from ..functions.text import words
 from ..operators import analysis as an
 from ..operators import vocabulary as vo
 from ..operators.ranking import position
+from ..operators.sets import set_pairs
 from ..sources import readers
 from .common import TOK, corpus, query, rounded, table
 
@@ -99,35 +100,28 @@ PAIRS = f"WITH {TOK}, s AS (SELECT DISTINCT lang, term FROM w), z AS (SELECT lan
 
 
 def _pairs(spark, sf):
-    s = table(spark, sf, "documents").select("lang", F.explode(words(F.col("text"))).alias("term")).distinct()
-    z = F.broadcast(s.groupBy("lang").agg(F.count("*").alias("n")))  # one row a language
-    by_term = s.groupBy("term").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
-    patterns = by_term.groupBy("langs").agg(F.count("*").alias("k"))
-    i = patterns.select(F.explode("langs").alias("a"), "langs", "k").select("a", F.explode("langs").alias("b"), "k").groupBy("a", "b").agg(F.sum("k").alias("n_both"))
-    return i.join(z.select(F.col("lang").alias("a"), F.col("n").alias("na")), "a").join(z.select(F.col("lang").alias("b"), F.col("n").alias("nb")), "b")
+    terms = table(spark, sf, "documents").select(F.col("lang").alias("dataset"), F.explode(words(F.col("text"))).alias("term"), F.lit(1).alias("n"))
+    return set_pairs(terms).where("n_both > 0")
 
 
 @query("jaccard_matrix", PAIRS + " SELECT a, b, n_both, round(n_both::DOUBLE / (x.n + y.n - n_both), 6) AS jaccard FROM i JOIN z x ON a = x.lang JOIN z y ON b = y.lang")
 def jaccard_matrix(spark, sf):
-    return rounded(_pairs(spark, sf).select("a", "b", "n_both", (F.col("n_both") / (F.col("na") + F.col("nb") - F.col("n_both"))).alias("jaccard")), "jaccard")
+    return rounded(_pairs(spark, sf).select("a", "b", "n_both", "jaccard"), "jaccard")
 
 
 @query("overlap_matrix", PAIRS + " SELECT a, b, x.n AS size_a, round(n_both::DOUBLE / x.n, 6) AS overlap FROM i JOIN z x ON a = x.lang")
 def overlap_matrix(spark, sf):
-    return rounded(_pairs(spark, sf).select("a", "b", F.col("na").alias("size_a"), (F.col("n_both") / F.col("na")).alias("overlap")), "overlap")
+    return rounded(_pairs(spark, sf).select("a", "b", "size_a", "overlap"), "overlap")
 
 
-@query("jaccard_by_threshold", f"""WITH {TOK}, c AS (SELECT lang, term, count(*) AS n FROM w WHERE lang IN ('en', 'de') GROUP BY ALL),
-p AS (SELECT term, coalesce(max(n) FILTER (lang = 'en'), 0) AS e, coalesce(max(n) FILTER (lang = 'de'), 0) AS d FROM c GROUP BY term)
-SELECT t::INTEGER AS threshold, round(sum(CASE WHEN e > t AND d > t THEN 1 ELSE 0 END)::DOUBLE / nullif(sum(CASE WHEN e > t OR d > t THEN 1 ELSE 0 END), 0), 6) AS jaccard
-FROM p, range(10, 21) r(t) GROUP BY t""")
+@query("jaccard_by_threshold", f"""WITH {TOK}, c AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w WHERE lang IS NOT NULL GROUP BY ALL HAVING count(*) > 10),
+s AS (SELECT t::INTEGER AS threshold, lang, term FROM c, range(10, 21) r(t) WHERE n > t), z AS (SELECT threshold, lang, count(*) AS n FROM s GROUP BY ALL),
+i AS (SELECT x.threshold, x.lang AS a, y.lang AS b, count(*) AS k FROM s x JOIN s y ON x.threshold = y.threshold AND x.term = y.term GROUP BY ALL)
+SELECT x.threshold, x.lang AS a, y.lang AS b, x.n AS size_a, y.n AS size_b, coalesce(k, 0) AS n_both, x.n + y.n - coalesce(k, 0) AS n_either, round(coalesce(k, 0)::DOUBLE / (x.n + y.n - coalesce(k, 0)), 6) AS jaccard, round(coalesce(k, 0)::DOUBLE / x.n, 6) AS overlap
+FROM z x JOIN z y ON x.threshold = y.threshold LEFT JOIN i ON i.threshold = x.threshold AND i.a = x.lang AND i.b = y.lang""")
 def jaccard_by_threshold(spark, sf):
-    c = vo.Vocabulary().counts(corpus(spark, sf, "lang").where("source in ('en', 'de')"))
-    p = c.groupBy("term").agg(F.coalesce(F.max(F.when(F.col("source") == "en", F.col("n"))), F.lit(0)).alias("e"), F.coalesce(F.max(F.when(F.col("source") == "de", F.col("n"))), F.lit(0)).alias("d"))
-    # all thresholds in one pass over the terms: a column for each instead of a copy of the terms
-    cols = [F.count_if((F.col("e") > t) & (F.col("d") > t)).alias(f"b{t}") for t in range(10, 21)] + [F.count_if((F.col("e") > t) | (F.col("d") > t)).alias(f"a{t}") for t in range(10, 21)]
-    rows = F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.round(F.col(f"b{t}") / F.nullif(F.col(f"a{t}"), F.lit(0)), 6).alias("jaccard")) for t in range(10, 21))))
-    return p.agg(*cols).select(rows.alias("r")).select("r.*")
+    counts = vo.Vocabulary().counts(corpus(spark, sf, "lang")).withColumnRenamed("source", "dataset")
+    return rounded(set_pairs(counts, tuple(range(10, 21))), "jaccard", "overlap")
 
 
 @query("vocab_survival_curve", f"""WITH {TOK}, c AS (SELECT count(*) AS f FROM w GROUP BY term), g AS (SELECT f, count(*) AS k FROM c GROUP BY f)

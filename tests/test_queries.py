@@ -1,9 +1,13 @@
 """Every registered query against its SQL."""
 
 import compare
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from test_stability import single
 
 import __spark_entry__
+from lexiloom.operators import stability
 from lexiloom.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -49,6 +53,31 @@ def kept_posts(spark, df):
     assert seen and max(seen.values()) <= 4
 
 
+def stable_coefficients(spark, df):
+    """As fifty single fits of the same subsamples."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    x, y = np.array([r["embedding"] for r in rows], float), np.array([r["label"] % 2 for r in rows])
+    ids = spark.createDataFrame([(r["vec_id"],) for r in rows], "source long")
+    limits = stability.thresholds(ids, 50, 0.7, 42)
+    drawn = ids.select("source", F.array(*(F.xxhash64("source", F.lit(k), F.lit(42)) <= t for k, t in enumerate(limits))).alias("d")).orderBy("source").collect()
+    fits = np.array([single(x[d], y[d]) for d in np.array([r["d"] for r in drawn]).T])
+    got = df.orderBy("name").collect()
+    assert len(got) == x.shape[1] and {r["fits"] for r in got} == {50}
+    assert np.allclose([r["mean"] for r in got], fits.mean(0), atol=2e-6) and np.allclose([r["std"] for r in got], fits.std(0, ddof=1), atol=2e-6)
+
+
+def held_out_vectors(values):
+    """A row for each held-out vector, with values in a range."""
+
+    def check(spark, df):
+        got = df.collect()
+        n = len({r["source"] for r in got})
+        assert 0.2 < n / spark.read.parquet(f"{SF}/embeddings.parquet").count() < 0.4
+        assert len(got) == n * (2 if "model" in df.columns else 1) and all(values(r["y_pred"]) for r in got)
+
+    return check
+
+
 #: Checks of what SQL can't express; the models' values are compared in test_model_queries.
 WITHOUT_SQL = {
     "tokenize_full": rows_of("conversations", ["conv_id", "turn"]),
@@ -57,6 +86,9 @@ WITHOUT_SQL = {
     "logistic_fit": probabilities,
     "cross_validation": probabilities,
     "grid_search": lambda spark, df: [0 <= r["accuracy"] <= 1 or pytest.fail() for r in df.collect()],
+    "coefficient_stability": stable_coefficients,
+    "sequential_classes": held_out_vectors(lambda p: p in (0, 1)),
+    "svm_probabilities": held_out_vectors(lambda p: 0 <= p <= 1),
     "lda_topics": lambda spark, df: [r["s"] == pytest.approx(1, abs=1e-3) or pytest.fail() for r in df.groupBy("source").sum("weight").toDF("source", "s").collect()],
 }
 
