@@ -2,9 +2,11 @@
 
 On a sample of ``SAMPLE_A_PART`` rows a part the graph of nearest neighbours is cut into parts of
 equal size with few edges between them, and a small classifier learns the parts of a vector's
-neighbours.  Parts hold ``ROWS_A_PART`` rows until there are ``MOST_PARTS``.  Every row is indexed in its likeliest part.  A query goes to its likeliest parts, as many as a held-out part
-of the sample needs for ``RECALL``, and to more while they hold too few rows; their rows are
-ranked by exact inner products in double precision.
+neighbours.  There are a quarter of the root of the rows of parts, 2 at least and ``MOST_PARTS`` at most
+(from 17 million rows on, beyond which parts grow with the rows).  Every row is indexed in its likeliest
+part.  A query goes to its likeliest parts, as many as a held-out part of the sample needs for
+``RECALL``, and to more while they hold too few rows; their rows are ranked by exact inner products
+in double precision.
 
 Of equal vectors only the ``k + 1`` rows with the smallest ids can be among anyone's nearest, so
 the others need no place in the index.  Parts and their queries meet in blocks of bounded size.
@@ -17,6 +19,7 @@ smaller id; with fewer candidates all are returned; an empty table gives no row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ from .vectors import by_dimension, fine, kind_of, matrix, stacked
 
 SAMPLE, SAMPLE_A_PART, HELD_OUT = 6_144, 96, 256
 NEIGHBOURS = 10
-ROWS_A_PART, MOST_PARTS = 2_048, 1_024
+MOST_PARTS = 1_024
 RECALL = 0.96
 HIDDEN, EPOCHS = 128, 60
 BLOCK, QUERY_BLOCK = 4_096, 1_024
@@ -127,7 +130,8 @@ def learn(sample: np.ndarray, parts: int, k: int) -> tuple[Router, int]:
     if parts == 1:
         x = sample[:1] if len(sample) else np.ones((1, 1))
         return train_router(x, np.zeros(1, np.int64), np.zeros((1, 0), np.int64), 1), 1
-    held, rest = sample[:HELD_OUT], sample[HELD_OUT:]
+    n_held = min(HELD_OUT, len(sample) // 4)
+    held, rest = sample[:n_held], sample[n_held:]
     graph = neighbour_graph(rest)
     part = balanced_parts(rest, graph, parts)
     router = train_router(rest, part, graph, parts)
@@ -140,6 +144,11 @@ def learn(sample: np.ndarray, parts: int, k: int) -> tuple[Router, int]:
     return router, 1 + next(i for i, s in enumerate(share) if s >= RECALL)
 
 
+def parts_of(n: int) -> int:
+    """Parts for so many rows; under 16 rows there is nothing to cut."""
+    return 1 if n < 16 else max(2, min(MOST_PARTS, math.ceil(math.sqrt(n) / 4)))
+
+
 def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", report: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of largest inner product found for each row that ``is_query`` marks.
 
@@ -153,7 +162,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_i
     kept = stash(once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("vec_id", "v", F.lit(False).alias("query")), "rows")
     common = kept.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim, n = (common[0]["d"], common[0]["count"]) if common else (0, 0)
-    parts = max(1, min(MOST_PARTS, n // ROWS_A_PART))
+    parts = parts_of(n)
     of_dim = kept.where(F.size("v") == dim)
     share = max(SAMPLE, SAMPLE_A_PART * parts)
     h = F.xxhash64("vec_id")

@@ -1,5 +1,7 @@
 """Quality of the operators on a folder of tables: ``python -m lexiloom.llm.measure DIR [name ...]``.
 
+``python -m lexiloom.llm.measure 50000,200000 op9_made`` makes its own tables.
+
 Prints a JSON line for each: held-out accuracy, recall against brute force, padding, held-out scores.
 """
 
@@ -9,6 +11,7 @@ import json
 import sys
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +70,38 @@ def op9_nearest(spark: SparkSession, sf: str, queries_at_most: int = 200) -> dic
     return {"recall": round(hit / (20 * len(asked)), 4), "rows": len(ids), **read}
 
 
+def made_vectors(spark: SparkSession, n: int, clusters: int = 0, dim: int = 64, seed: int = 3):
+    """(vec_id, embedding): unit vectors in random directions, or about as many centres as ``clusters`` says."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    if clusters:
+        x = 0.7 * x + rng.normal(size=(clusters, dim))[rng.integers(0, clusters, n)]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float32()))
+    return spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": values})), x
+
+
+def op9_made(spark: SparkSession, sizes: str) -> dict:
+    """Recall and share read of 200 queries on made tables of so many rows (``50000,200000``), isotropic and clustered."""
+    out = {}
+    for n in map(int, sizes.split(",")):
+        for name, clusters in (("isotropic", 0), ("clustered", max(20, n // 500))):
+            df, x = made_vectors(spark, n, clusters)
+            step, read, got = n // 200, {}, {}
+            for r in ann.nearest(df, f"vec_id % {step} = 0", report=read).collect():
+                got.setdefault(r["query_id"], set()).add(r["vec_id"])
+            hit = 0
+            for q in got:
+                s = x.astype(float) @ x[q].astype(float)
+                s[q] = -np.inf
+                hit += len(got[q] & {int(i) for i in np.argpartition(-s, 20)[:20]})
+            out[f"{n}_{name}"] = {"recall": round(hit / (20 * len(got)), 4), **read}
+    return out
+
+
 MEASURES = {f.__name__: f for f in (op3_lm_scores, op4_toxicity, op5_packing, op8_language, op9_nearest)}
+#: Those that make their own tables and take their sizes instead of a folder.
+MADE = {f.__name__: f for f in (op9_made,)}
 
 
 def main() -> None:
@@ -75,7 +109,7 @@ def main() -> None:
     spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", "6g").config("spark.sql.shuffle.partitions", "16").config("spark.ui.enabled", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     for name in names or MEASURES:
-        print(json.dumps({"name": name, "tables": sf, **MEASURES[name](spark, sf)}), flush=True)
+        print(json.dumps({"name": name, "tables": sf, **(MEASURES | MADE)[name](spark, sf)}), flush=True)
 
 
 if __name__ == "__main__":

@@ -609,15 +609,14 @@ def vectors_of(spark, x, ids=None, labels=None):
 
 
 def test_nearest(spark, monkeypatch):
-    monkeypatch.setattr(ann, "ROWS_A_PART", 300)
     monkeypatch.setattr(ann, "BLOCK", 100)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(20, 16))
     x = (centres[rng.integers(0, 20, 1500)] + 0.5 * rng.normal(size=(1500, 16))).astype(np.float32)
     x[200:260] = x[200]  # ties
-    got = collections.defaultdict(list)
-    for r in ann.nearest(vectors_of(spark, x), "vec_id % 20 = 0", k=10).collect():
+    got, read = collections.defaultdict(list), {}
+    for r in ann.nearest(vectors_of(spark, x), "vec_id % 20 = 0", k=10, report=read).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     hit = 0
     y = x.astype(float)
@@ -630,6 +629,7 @@ def test_nearest(spark, monkeypatch):
         assert [i for _, i, _ in mine] == sorted((i for _, i, _ in mine), key=lambda i: (-s[i], i))
         hit += len({i for _, i, _ in mine} & set(order))
     assert hit / (75 * 10) >= 0.9
+    assert read["parts"] == 10 and read["parts_a_query"] < 10 and read["share_of_rows_read"] < 0.9  # by parts, not by reading all
     few = ann.nearest(vectors_of(spark, x[:4]), "true", k=10)
     assert few.count() == 12
     assert ann.nearest(vectors_of(spark, x[:1]).limit(0), "true").count() == 0
