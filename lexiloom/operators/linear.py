@@ -9,7 +9,7 @@ weights are added up in pieces by a shuffle, so that the driver gets one vector
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -171,7 +171,7 @@ class CalibratedSVM:
     """RBF machine with probabilities: random Fourier features, a linear machine, and a sigmoid of margins held out in ``folds``."""
 
     project: object
-    machine: object
+    machine: Callable[[int], object]  # of the number of rows, by which ``C`` is weighed
     folds: int = 3
     seed: int = 42
 
@@ -179,14 +179,14 @@ class CalibratedSVM:
         with TableStore(df.sparkSession) as store:
             fold = F.floor(F.rand(self.seed) * self.folds).cast("int")
             data = store.table("rows", "all", lambda: self.project.transform(df.select("features", F.col("label").cast("double").alias("label"), *(c for c in ("weight",) if c in df.columns))).withColumn("fold", fold))
-            held = None
+            machine, held = self.machine(data.count()), None
             for k in range(self.folds):
                 inside, outside = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
                 if inside.select("label").distinct().count() < 2:
                     continue
-                m = margins(self.machine.fit(inside).transform(outside)).select("margin", "label")
+                m = margins(machine.fit(inside).transform(outside)).select("margin", "label")
                 held = m if held is None else held.union(m)
-            final = self.machine.fit(data)
+            final = machine.fit(data)
             held = margins(final.transform(data)).select("margin", "label") if held is None else held
             a, b = fit_sigmoid(store.table("margins", "all", lambda: held))
         return CalibratedModel(self.project, final, a, b)

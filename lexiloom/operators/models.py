@@ -124,8 +124,8 @@ def _linear_svm(seed: int, C: float = 1.0, n: int = 1, max_iter: int = 50, weigh
     return ml.LinearSVC(regParam=1.0 / (C * max(n, 1)), standardization=False, maxIter=max_iter, **({"weightCol": weightCol} if weightCol else {}))
 
 
-def _svm(seed: int, C: float = 1.0, n: int = 1, kernel: str = "rbf", gamma: float = 0.1, tolerance: float = 0.2, weightCol: str | None = None):
-    return li.CalibratedSVM(kernel_features(seed, kernel, gamma, tolerance), _linear_svm(seed, C, n, weightCol=weightCol), seed=seed)
+def _svm(seed: int, C: float = 1.0, n: int | None = None, kernel: str = "rbf", gamma: float = 0.1, tolerance: float = 0.2, weightCol: str | None = None):
+    return li.CalibratedSVM(kernel_features(seed, kernel, gamma, tolerance), lambda rows: _linear_svm(seed, C, n or rows, weightCol=weightCol), seed=seed)
 
 
 class AsTheyAre(Transformer):
