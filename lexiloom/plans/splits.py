@@ -159,8 +159,8 @@ s AS (SELECT count(DISTINCT term)::DOUBLE AS v, sum(n)::DOUBLE AS total FROM g),
 p AS (SELECT term, n, log2(((n + 1.0::DOUBLE) / (sum(n) OVER (PARTITION BY g.y) + v)) / ((sum(n) OVER (PARTITION BY term) + 1.0::DOUBLE) / (total + v))) AS pmi FROM g, s),
 best AS (SELECT term FROM p GROUP BY term HAVING sum(n) >= 5 ORDER BY round(max(pmi), 9) DESC, term LIMIT 200)"""
 #: Selected terms: the best that are no stopwords, and protected ones.
-KEPT = PMI + """, allterms AS (SELECT term, count(*) AS n FROM dtm GROUP BY term HAVING count(*) >= 3),
-kept AS (SELECT term, n, row_number() OVER (ORDER BY term) - 1 AS idx FROM allterms WHERE (term IN (SELECT term FROM best) AND term NOT IN (""" + ", ".join(sorted(f"'{w}'" for w in fs.expanded(list(STOPWORDS)) if "'" not in w)) + """)) OR term IN ('und', 'la'))"""
+KEPT = PMI + """, allterms AS MATERIALIZED (SELECT term, count(*) AS n FROM dtm GROUP BY term HAVING count(*) >= 3),
+kept AS MATERIALIZED (SELECT term, n, row_number() OVER (ORDER BY term) - 1 AS idx FROM allterms WHERE (term IN (SELECT term FROM best) AND term NOT IN (""" + ", ".join(sorted(f"'{w}'" for w in fs.expanded(list(STOPWORDS)) if "'" not in w)) + """)) OR term IN ('und', 'la'))"""
 
 
 def _selected(spark, sf):
@@ -317,7 +317,7 @@ def concatenated(spark, sf):
     return an.concat(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").select("doc_id", "toxic"))
 
 
-@query("token_chunks", f"WITH {TOK} SELECT doc_id, i::INTEGER AS place, array_to_string(tokens[i * 50 + 1:i * 50 + 50], ' ') AS words FROM tok, range(0, 1000000) r(i) WHERE i * 50 < len(tokens)")
+@query("token_chunks", f"WITH {TOK} SELECT doc_id, i::INTEGER AS place, array_to_string(tokens[i * 50 + 1:i * 50 + 50], ' ') AS words FROM (SELECT doc_id, tokens, unnest(range((len(tokens) + 49) // 50)) AS i FROM tok)")
 def token_chunks(spark, sf):
     rows = corpus(spark, sf, "doc_id").select(F.col("source").alias("doc_id"), F.posexplode(an.chunks(F.col("tokens"), 50)).alias("place", "chunk"))
     return rows.where(F.size("chunk") > 0).select("doc_id", "place", F.array_join("chunk", " ").alias("words"))

@@ -144,9 +144,19 @@ def user_histories(posts: DataFrame, by: str = "user_id_str", transform: Callabl
     return transform(out) if transform else out
 
 
-def discover(path: str, suffix: str = ".gz") -> dict[str, str]:
-    """Options for a reader: a file is read alone, of a folder the files with the suffix."""
-    return {} if path.endswith(suffix) else {"pathGlobFilter": f"*{suffix}"}
+def discover(path: str, suffix: str = ".gz", spark: SparkSession | None = None) -> dict[str, str]:
+    """Options for a reader: a file is read alone, of a folder the files with the suffix.
+
+    With a session the path is looked up, so that a file without the suffix is read too.
+    """
+    if path.endswith(suffix):
+        return {}
+    if spark is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(where) and files.getFileStatus(where).isFile():
+            return {}
+    return {"pathGlobFilter": f"*{suffix}"}
 
 
 def write_metadata(df: DataFrame, path: str) -> None:

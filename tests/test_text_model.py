@@ -191,6 +191,10 @@ def test_small_things(spark, tmp_path):
     back = readers.read_metadata_csv(spark, f"file://{tmp_path}/meta", "source string, label string, datasets array<string>", lambda d: d.where("label is not null"), "/root")
     assert [tuple(r) for r in back.collect()] == [("/root/a/1.gz", "target", ["x", "y"])]
     assert readers.discover("x/one.json.gz") == {} and readers.discover("x") == {"pathGlobFilter": "*.gz"}
+    (tmp_path / "plain.json").write_text('{"a": 1}\n{"a": 2}\n')
+    at = f"file://{tmp_path}/plain.json"
+    assert spark.read.options(**readers.discover(at, spark=spark)).json(at).count() == 2
+    assert readers.discover(f"file://{tmp_path}", spark=spark) == {"pathGlobFilter": "*.gz"}
     words = spark.createDataFrame([("Calm", 2), ("calm", 2), ("awe", 3), ("rare", 1)], "term string, n long")
     assert sorted(r["term"] for r in vo.external_terms(words, lexicon(spark), 3).collect()) == ["awe", "calm"]
     learned = spark.createDataFrame([("calm", 7, 0), ("z", 1, 1)], "term string, n long, idx long")
