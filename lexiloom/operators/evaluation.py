@@ -146,3 +146,35 @@ def combination_scores(predictions: DataFrame, mixed: bool = False, threshold: f
     by = ["group", "train_bin", "control_bin", "target_test", "control_test", "fold", "subset"]
     rows = with_subsets(rows, "user_in_training").select(*by, "y_true", "y_pred")
     return scores(rows, by, threshold, degenerate_zero=False).drop("tp", "fp", "fn", "tn").join(roc_lists(rows, by), by).withColumn("support", F.col("n_target") + F.col("n_control"))
+
+
+def domain_summary(df: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+    """A row a group with the scores of class 1 and of each class that occurs, and its ROC curve.
+
+    ``precision``, ``recall``, ``fscore`` and ``class_size`` are lists over the classes 0 and 1, without one that is
+    neither true nor predicted anywhere in the group.  With two distinct scores or fewer there is no curve: ``auc`` is
+    null and the lists are empty, as they are where a class is absent.  Rows without label or score are left out.
+    """
+    df = df.where("y_true is not null and y_pred is not null").select(*by, "y_true", F.col("y_pred").cast("double").alias("y_pred"))
+    c = counts(df, by, threshold)
+    tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
+    of = lambda hit, wrong, missed: F.struct(ratio(hit, hit + wrong).alias("p"), ratio(hit, hit + missed).alias("r"), ratio(2 * hit, 2 * hit + wrong + missed).alias("f"), (hit + missed).cast("long").alias("n"), (hit + wrong + missed > 0).alias("here"))
+    c = c.select(*by, F.filter(F.array(of(tn, fn, fp), of(tp, fp, fn)), lambda x: x["here"]).alias("_k"), of(tp, fp, fn).alias("_one"), ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"))
+    of_each = lambda part, name: F.transform("_k", lambda x: x[part]).alias(name)
+    names = (("precision", "p"), ("recall", "r"), ("fscore", "f"))
+    c = c.select(*by, *(of_each(part, name) for name, part in names), of_each("n", "class_size"), *(F.col("_one")[part].alias(f"binary_{name}") for name, part in names), "accuracy")
+    several = df.groupBy(*by, "y_pred").count().groupBy(*by).agg(F.count("*").alias("_scores")).where("_scores > 2")
+    curves = roc_lists(df, by).select(*by, "fpr", "tpr", "thresholds", "auc")
+    curves = curves.alias("a").join(several.alias("b"), _same(by), "left_semi")
+    empty = F.array().cast("array<double>")
+    out = c.alias("a").join(curves.alias("b"), _same(by), "left")
+    return out.select(*(F.col(f"a.{g}").alias(g) for g in by), *(F.col(f"a.{x}") for x in c.columns if x not in by), *(F.coalesce(F.col(f"b.{x}"), empty).alias(x) for x in ("fpr", "tpr", "thresholds")), F.col("b.auc").alias("auc"))
+
+
+def _same(by: list[str]) -> Column:
+    """Equal groups of the aliases ``a`` and ``b``, null ones too."""
+    same = F.lit(True)
+    for g in by:
+        same &= F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    return same

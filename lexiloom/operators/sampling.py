@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import order_key, uniform
-from .ranking import placed
+from .ranking import placed, running
 
 
 def _placed(df: DataFrame, by: list[str], key: str, seed: int, name: str = "_p") -> DataFrame:
@@ -61,19 +61,41 @@ def matched_pairs(targets: DataFrame, controls: DataFrame, matches: str, key: st
     return targets.select(key).withColumn("role", F.lit("target")).union(controls.join(wanted, key, "left_semi").select(key).withColumn("role", F.lit("control")))
 
 
-def histogram_matched(pool: DataFrame, reference: DataFrame, value: str, key: str, n: int, lo: float, hi: float, bins: int, by: list[str] | None = None, seed: int = 42) -> DataFrame:
+def histogram_matched(pool: DataFrame, reference: DataFrame, value: str, key: str, n: int | None, lo: float | None, hi: float | None, bins: int, by: list[str] | None = None, seed: int = 42) -> DataFrame:
     """``n`` rows of each stratum of the pool, drawn without replacement by the reference's histogram.
 
-    Each row's key is -ln(u) / weight; the smallest keys are a weighted sample.  The last bin is closed.
+    Each row's key is -ln(u) / weight; the smallest keys are a weighted sample.  Without ``n`` a stratum gets as many
+    rows as the reference has there.  With bounds values beyond them count to the outer bins and the last one is closed.
+    Without, the bounds of a stratum are the reference's least and largest value (half a unit around a single one), and
+    rows of the pool from the upper one on or below the lower one are never drawn.  Rows without a value aren't either.
     """
     by = by or []
-    bin_of = lambda c: F.least(F.greatest(F.floor((c - lo) / (hi - lo) * bins), F.lit(0)), F.lit(bins - 1))
-    weight = reference.withColumn("_bin", bin_of(F.col(value))).groupBy(*by, "_bin").agg(F.count("*").cast("double").alias("_w"))
-    drawn = pool.withColumn("_bin", bin_of(F.col(value))).join(weight, [*by, "_bin"])
+    strata = reference.where(F.col(value).isNotNull()).groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by))).agg(F.count("*").alias("_n"), F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    flat = F.col("_lo") == F.col("_hi")
+    strata = strata.withColumns({"_lo": F.col("_lo") - F.when(flat, 0.5).otherwise(0.0), "_hi": F.col("_hi") + F.when(flat, 0.5).otherwise(0.0)})
+    if n is not None:
+        strata = strata.withColumn("_n", F.lit(n).cast("long"))
+    own = lo is None or hi is None
+    if not own:
+        strata = strata.withColumns({"_lo": F.lit(float(lo)), "_hi": F.lit(float(hi))})
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    x = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins
+    bin_of = F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(bins - 1))
+    placed_in = lambda df: df.where(F.col(value).isNotNull()).join(strata if by else F.broadcast(strata), same).withColumn("_bin", bin_of)  # noqa: E731  one row without strata
+    weight = placed_in(reference).groupBy(*(f"_g{i}" for i in range(len(by))), "_bin").agg(F.count("*").cast("double").alias("_w"))
+    drawn = placed_in(pool)
+    if own:
+        drawn = drawn.where((F.col(value) >= F.col("_lo")) & (F.col(value) < F.col("_hi")))
+    met = drawn["_bin"] == weight["_bin"]
+    for i in range(len(by)):
+        met &= drawn[f"_g{i}"].eqNullSafe(weight[f"_g{i}"])
+    drawn = drawn.join(weight, met).select(*(drawn[c] for c in pool.columns), drawn["_n"], weight["_w"], F.lit(1).alias("_one"))
     drawn = drawn.withColumn("_k", -F.log(F.greatest(uniform(F.col(key), seed), F.lit(1e-12))) / F.col("_w"))
-    if not by:
+    if not by and n is not None:
         return drawn.orderBy("_k", key).limit(n).select(pool.columns)
-    return drawn.withColumn("_p", F.row_number().over(Window.partitionBy(*by).orderBy("_k", key))).where(F.col("_p") <= n).select(pool.columns)
+    return running(drawn, by, ["_k", key], ["_one"]).where(F.col("before__one") < F.col("_n")).select(pool.columns)
 
 
 def expand_labels(users: DataFrame, labels: str, disorders: list[str]) -> DataFrame:

@@ -96,15 +96,18 @@ def split_sizes(splits: DataFrame, by: list[str], folds: list[int]) -> DataFrame
 CONTROLS = {"clpsych": "age_gender", "clpsych_deduped": "age_gender", "multitask": "pairs", "merged": "both", "smhd": "not_relaxed"}
 
 
-def isolate_controls(metadata: DataFrame, dataset: str, n: int, target: str = "target", control: str = "control", lo: float = 0, hi: float = 100, bins: int = 10, seed: int = 42) -> DataFrame:
+def isolate_controls(metadata: DataFrame, dataset: str, n: int | None = None, target: str = "target", control: str = "control", lo: float | None = None, hi: float | None = None, bins: int = 100, seed: int = 42, genders: tuple[str, ...] | None = None) -> DataFrame:
     """The targets and the controls that the data set's rule chooses; other data sets keep all.
 
-    ``metadata(source, label, split, gender, age, matches, datasets)``; rows with a null label go.
+    ``metadata(source, label, split, gender, age, matches, datasets)``; rows with a null label go.  Controls by age and
+    gender: as many as there are targets of a split and gender (or ``n``), drawn by the targets' ages in ``bins``
+    between their least and largest age (or ``lo`` and ``hi``); ``genders`` leaves out all others, targets too.
     """
     df = metadata.where("label is not null")
     rule = CONTROLS.get(dataset)
 
     def by_age(d: DataFrame) -> DataFrame:
+        d = d.where(F.col("gender").isin(*genders)) if genders else d
         targets = d.where(F.col("label") == target)
         return targets.unionByName(sm.histogram_matched(d.where(F.col("label") == control), targets, "age", "source", n, lo, hi, bins, ["split", "gender"], seed))
 

@@ -9,10 +9,11 @@ each.  The work on the driver grows with subsamples and features, never with row
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import TableStore
@@ -53,16 +54,15 @@ def thresholds(sources: DataFrame, replicates: int, share: float, seed: int) ->
     return out
 
 
-def _table(features: DataFrame, labels: DataFrame, names: list[str], limits: list[int | None], seed: int) -> DataFrame:
-    """(y, x, drawn): dense features in the order of the names and a flag for each subsample."""
+def dense_table(features: DataFrame, labels: DataFrame, names: list[str], drawn: list[Column]) -> DataFrame:
+    """(y, x, drawn): dense features in the order of the names and a flag for each subsample, from columns of the labels."""
     spark = features.sparkSession
     index = spark.createDataFrame(list(enumerate(names)), "i int, name string")
     values = features.join(F.broadcast(index), "name").groupBy("source", "i").agg(F.sum("value").cast("double").alias("v"))
     rows = values.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
     rows = labels.join(rows, "source", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,double>")))
     x = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    drawn = F.array(*(F.lit(False) if t is None else _hash(F.lit(r), seed) <= t for r, t in enumerate(limits)))
-    return rows.select(F.col("y").cast("double").alias("y"), x.alias("x"), drawn.cast("array<tinyint>").alias("drawn"))
+    return rows.select(F.col("y").cast("double").alias("y"), x.alias("x"), F.array(*drawn).cast("array<tinyint>").alias("drawn"))
 
 
 def _columns(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,6 +116,62 @@ def _curvature(y: np.ndarray, x: np.ndarray, drawn: np.ndarray, beta: np.ndarray
     return out
 
 
+class Fits(NamedTuple):
+    """Standardised coefficients (the intercept last) of each subsample, and whether it holds both classes."""
+
+    coef: np.ndarray
+    able: np.ndarray
+
+
+def newton(rows: DataFrame, replicates: int, d: int, C: float = 1.0, tolerance: float = 1e-9) -> Fits:
+    """L2-penalised logistic fits to all subsamples of a ``dense_table`` with ``d`` features, each standardised by itself."""
+    moments = np.array(_summed(rows, replicates, _moments))
+    n, ones = moments[:, 0], moments[:, 1]
+    able = (ones > 0) & (ones < n)
+    size = np.maximum(n, 1)[:, None]
+    mean = moments[:, 2 : 2 + d] / size
+    spread = np.sqrt(np.maximum(moments[:, 2 + d :] / size - mean**2, 0))
+    still = spread <= 1e-12 * np.maximum(1, np.abs(mean))
+    scale = np.where(still, 1.0, spread)
+    # Raw coefficients are a linear map of the standardised ones.
+    turn = np.zeros((replicates, d + 1, d + 1))
+    turn[:, range(d), range(d)] = np.where(still, 0, 1 / scale)
+    turn[:, d, :d] = np.where(still, 0, -mean / scale)
+    turn[:, d, d] = 1
+    penalty = np.append(np.ones(d), 0.0) / C
+    now = np.zeros((replicates, d + 1))
+    step, best = np.zeros_like(now), np.full(replicates, np.inf)
+    done = ~able
+    for _ in range(_STEPS):
+        if done.all():
+            break
+        beta = np.einsum("rij,rj->ri", turn, now)
+        sums = _summed(rows, replicates, lambda y, x, drawn, beta=beta: _curvature(y, x, drawn, beta))
+        for r in np.flatnonzero(~done):
+            loss = sums[r][0] + 0.5 * (penalty * now[r] ** 2).sum()
+            if loss > best[r] + 1e-9 * abs(best[r]):  # too far: half of the step back
+                step[r] /= 2
+                now[r] = now[r] - step[r]
+                continue
+            best[r] = min(loss, best[r])
+            gradient = turn[r].T @ sums[r][1 : d + 2] + penalty * now[r]
+            if np.abs(gradient).max() <= tolerance * n[r]:
+                done[r] = True
+                continue
+            curved = turn[r].T @ sums[r][d + 2 :].reshape(d + 1, d + 1) @ turn[r] + np.diag(penalty)
+            step[r] = -np.linalg.lstsq(curved, gradient, rcond=None)[0]
+            now[r] = now[r] + step[r]
+    return Fits(now, able)
+
+
+def names_of(features: DataFrame) -> list[str]:
+    """The features' names in order; more than ``MOST_FEATURES`` raise ValueError."""
+    names = [r["name"] for r in features.select("name").distinct().orderBy("name").limit(MOST_FEATURES + 1).collect()]
+    if len(names) > MOST_FEATURES:
+        raise ValueError(f"more than {MOST_FEATURES} features")
+    return names
+
+
 def replicate_fits(features: DataFrame, labels: DataFrame, replicates: int = 50, share: float = 0.7, C: float = 1.0, seed: int = 42, tolerance: float = 1e-9) -> DataFrame:
     """(replicate, name, coef) of L2-penalised logistic fits to ``replicates`` subsamples without replacement.
 
@@ -127,52 +183,15 @@ def replicate_fits(features: DataFrame, labels: DataFrame, replicates: int = 50,
     spark = features.sparkSession
     labels = labels.where("y in (0, 1) and source is not null").select("source", "y")
     features = features.where("name is not null and value is not null").join(labels.select("source"), "source", "left_semi").select("source", "name", "value")
-    names = [r["name"] for r in features.select("name").distinct().orderBy("name").limit(MOST_FEATURES + 1).collect()]
-    if len(names) > MOST_FEATURES:
-        raise ValueError(f"more than {MOST_FEATURES} features")
+    names = names_of(features)
     kind = "replicate int, name string, coef double"
     if not names:
         return spark.createDataFrame([], kind)
-    d = len(names)
+    limits = thresholds(labels.select("source"), replicates, share, seed)
+    drawn = [F.lit(False) if t is None else _hash(F.lit(r), seed) <= t for r, t in enumerate(limits)]
     with TableStore(spark) as store:
-        rows = store.table("rows", "all", lambda: _table(features, labels, names, thresholds(labels.select("source"), replicates, share, seed), seed))
-        moments = np.array(_summed(rows, replicates, _moments))
-        n, ones = moments[:, 0], moments[:, 1]
-        able = (ones > 0) & (ones < n)
-        size = np.maximum(n, 1)[:, None]
-        mean = moments[:, 2 : 2 + d] / size
-        spread = np.sqrt(np.maximum(moments[:, 2 + d :] / size - mean**2, 0))
-        still = spread <= 1e-12 * np.maximum(1, np.abs(mean))
-        scale = np.where(still, 1.0, spread)
-        # Raw coefficients are a linear map of the standardised ones.
-        turn = np.zeros((replicates, d + 1, d + 1))
-        turn[:, range(d), range(d)] = np.where(still, 0, 1 / scale)
-        turn[:, d, :d] = np.where(still, 0, -mean / scale)
-        turn[:, d, d] = 1
-        penalty = np.append(np.ones(d), 0.0) / C
-        now = np.zeros((replicates, d + 1))
-        step, best = np.zeros_like(now), np.full(replicates, np.inf)
-        done = ~able
-        for _ in range(_STEPS):
-            if done.all():
-                break
-            beta = np.einsum("rij,rj->ri", turn, now)
-            sums = _summed(rows, replicates, lambda y, x, drawn, beta=beta: _curvature(y, x, drawn, beta))
-            for r in np.flatnonzero(~done):
-                loss = sums[r][0] + 0.5 * (penalty * now[r] ** 2).sum()
-                if loss > best[r] + 1e-9 * abs(best[r]):  # too far: half of the step back
-                    step[r] /= 2
-                    now[r] = now[r] - step[r]
-                    continue
-                best[r] = min(loss, best[r])
-                gradient = turn[r].T @ sums[r][1 : d + 2] + penalty * now[r]
-                if np.abs(gradient).max() <= tolerance * n[r]:
-                    done[r] = True
-                    continue
-                curved = turn[r].T @ sums[r][d + 2 :].reshape(d + 1, d + 1) @ turn[r] + np.diag(penalty)
-                step[r] = -np.linalg.lstsq(curved, gradient, rcond=None)[0]
-                now[r] = now[r] + step[r]
-    found = [(r, name, float(now[r, i]) if able[r] else None) for r in range(replicates) for i, name in enumerate(names)]
+        fits = newton(store.table("rows", "all", lambda: dense_table(features, labels, names, drawn)), replicates, len(names), C, tolerance)
+    found = [(r, name, float(fits.coef[r, i]) if fits.able[r] else None) for r in range(replicates) for i, name in enumerate(names)]
     return spark.createDataFrame(found, kind)
 
 

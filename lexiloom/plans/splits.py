@@ -11,14 +11,17 @@ from ..functions.wordlists import STOPWORDS
 from ..operators import analysis as an
 from ..operators import evaluation as ev
 from ..operators import features as fe
+from ..operators import fold_models as fm
 from ..operators import scoring as sr
 from ..operators import selection as fs
 from ..operators import splits as sp
+from ..operators import transfer as tr
 from ..operators import vocabulary as vo
 from ..operators.loader import PostLoader
 from ..operators.temporal import bin_of
 from ..operators.text_model import TextModel
 from ..sources.scratch import root_of, stash
+from .features import LEX
 from .common import DTM, PRED, TOK, corpus, predictions, query, rounded, table, toxic_labels
 
 HASHED = "md5('42_' || doc_id), doc_id"
@@ -312,6 +315,93 @@ def combination_scores(spark, sf):
     return rounded(found.withColumns({c: digits(c) for c in ("fpr", "tpr")}).drop("thresholds"), "auc", "precision", "recall", "f1", "accuracy")
 
 
+#: Customers by region and segment, every fifth one a target, matched by their balances.
+AGES = """m AS (SELECT c_custkey AS source, c_custkey % 5 = 0 AS target, c_nationkey % 2 AS split, c_mktsegment AS gender, c_acctbal::DOUBLE AS age FROM customer),
+st AS (SELECT split, gender, count(*) AS n, min(age) - CASE WHEN min(age) = max(age) THEN 0.5 ELSE 0 END AS lo, max(age) + CASE WHEN min(age) = max(age) THEN 0.5 ELSE 0 END AS hi FROM m WHERE target GROUP BY ALL),
+bn AS (SELECT m.*, st.n, lo, hi, least(greatest(floor((age - lo) / (hi - lo) * 100), 0), 99) AS bin FROM m JOIN st ON m.split = st.split AND m.gender = st.gender),
+wt AS (SELECT split, gender, bin, count(*)::DOUBLE AS w FROM bn WHERE target GROUP BY ALL),
+dr AS (SELECT bn.source, bn.n, row_number() OVER (PARTITION BY bn.split, bn.gender ORDER BY -ln(greatest(('0x' || substr(md5('42_' || bn.source), 1, 8))::UBIGINT / 4294967296.0::DOUBLE, 1e-12::DOUBLE)) / w, bn.source) AS p
+  FROM bn JOIN wt ON bn.split = wt.split AND bn.gender = wt.gender AND bn.bin = wt.bin WHERE NOT target AND age >= lo AND age < hi)"""
+
+
+@query("controls_by_age", f"WITH {AGES} SELECT source, 'target' AS label FROM m WHERE target UNION ALL SELECT source, 'control' FROM dr WHERE p <= n")
+def controls_by_age(spark, sf):
+    """As many controls of a split and segment as it has targets, drawn by the targets' balances in a hundred bins."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("source"), F.expr("if(c_custkey % 5 = 0, 'target', 'control')").alias("label"), (F.col("c_nationkey") % 2).alias("split"), F.col("c_mktsegment").alias("gender"), F.col("c_acctbal").cast("double").alias("age"))
+    return sp.isolate_controls(c, "clpsych").select("source", "label")
+
+
+@query("domain_summary", f"""WITH {PRED}, k AS (SELECT grp, count(*) FILTER (y_pred > 0.5::DOUBLE AND y_true = 1)::DOUBLE AS tp, count(*) FILTER (y_pred > 0.5::DOUBLE AND y_true <> 1)::DOUBLE AS fp,
+  count(*) FILTER (y_pred <= 0.5::DOUBLE AND y_true = 1)::DOUBLE AS fn, count(*) FILTER (y_pred <= 0.5::DOUBLE AND y_true <> 1)::DOUBLE AS tn, count(DISTINCT y_pred) AS several FROM pred GROUP BY grp),
+pt AS (SELECT grp, y_pred AS s, count(*) FILTER (y_true = 1) AS p, count(*) FILTER (y_true = 0) AS n FROM pred GROUP BY ALL),
+cu AS (SELECT grp, s, p, n, sum(p) OVER (PARTITION BY grp ORDER BY s DESC) AS tp, sum(p) OVER (PARTITION BY grp) AS np, sum(n) OVER (PARTITION BY grp) AS nn FROM pt),
+au AS (SELECT grp, round(sum(n * (tp - p / 2)) / (max(np) * max(nn)), 6) AS auc FROM cu WHERE np > 0 AND nn > 0 GROUP BY grp)
+SELECT k.grp, CASE WHEN several > 2 THEN auc END AS auc, round(coalesce(tn / nullif(tn + fn, 0), 0), 6) || ',' || round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tn / nullif(tn + fp, 0), 0), 6) || ',' || round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
+  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS binary_fscore, (tn + fp)::BIGINT || ',' || (tp + fn)::BIGINT AS class_size, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy FROM k LEFT JOIN au ON au.grp = k.grp""")
+def domain_summary(spark, sf):
+    s = ev.domain_summary(predictions(spark, sf), ["grp"])
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.round(x, 6).cast("string")), ",").alias(c)
+    return rounded(s.select("grp", "auc", text("precision"), text("recall"), "binary_fscore", F.array_join("class_size", ",").alias("class_size"), "accuracy"), "auc", "binary_fscore", "accuracy")
+
+
+def _by_language(spark, sf):
+    """(domain, source, term, n) of documents by language, and (domain, source, y) of the labelled ones."""
+    d = table(spark, sf, "documents").where("lang is not null").select(F.col("lang").alias("domain"), F.col("doc_id").alias("source"), tx.words(F.col("text")).alias("tokens"))
+    counts = d.select("domain", "source", F.explode("tokens").alias("term")).groupBy("domain", "source", "term").agg(F.count("*").alias("n"))
+    return counts, d.select("domain", "source").join(toxic_labels(spark, sf), "source")
+
+
+LEXICON = "entry string, is_prefix boolean, dim string"
+
+
+@query("transfer_features", f"""WITH {TOK}, lex(entry, is_prefix, dim) AS (VALUES {", ".join(f"('{e}', {str(p).lower()}, '{d}')" for e, p, d in LEX)}),
+c AS (SELECT lang AS domain, doc_id AS source, term, count(*) AS n FROM w WHERE lang IS NOT NULL GROUP BY ALL), v AS (SELECT domain AS vocabulary, term FROM c GROUP BY ALL HAVING count(*) >= 3), t AS (SELECT DISTINCT term FROM v),
+m AS (SELECT term, dim FROM t JOIN lex ON NOT is_prefix AND term = entry UNION
+  SELECT term, arg_max(dim, length(entry)) FROM t JOIN lex ON is_prefix AND starts_with(term, entry) WHERE term NOT IN (SELECT entry FROM lex WHERE NOT is_prefix) GROUP BY term),
+s AS (SELECT vocabulary, domain, source, dim AS name, sum(n)::DOUBLE AS value FROM c JOIN v ON c.term = v.term JOIN m ON m.term = c.term GROUP BY ALL)
+SELECT vocabulary, domain, source, name, round(value / sum(value) OVER (PARTITION BY vocabulary, domain, source), 6) AS value FROM s""")
+def transfer_features(spark, sf):
+    """Shares of lexicon words in each document under the vocabulary of every language."""
+    counts, _ = _by_language(spark, sf)
+    counts = stash(counts, "counts")
+    return rounded(tr.transfer_features(counts, tr.domain_vocabularies(counts, 3), spark.createDataFrame(LEX, LEXICON), "matched"), "value")
+
+
+@query("transfer_scores")
+def transfer_scores(spark, sf):
+    """Toxicity by lexicon words: the model of each language on every language, under both vocabularies and scalings."""
+    counts, labels = _by_language(spark, sf)
+    counts = stash(counts, "counts")
+    found = tr.transfer_predictions(counts, labels, tr.domain_vocabularies(counts, 3), spark.createDataFrame(LEX, LEXICON), "matched")
+    scores = tr.transfer_scores(found)
+    return rounded(scores, *(c for c in scores.columns if c not in tr.SETTING))
+
+
+FOLD_MODELS = fm.FoldModels(least=10, excluded=("the", "und"))
+
+
+def _fold_tables(spark, sf):
+    folds = _splits(spark, sf).where("role = 'dev'").select("source", F.col("label").alias("y"), "fold")
+    return vo.Vocabulary().counts(corpus(spark, sf, "doc_id")), folds
+
+
+@query("fold_null_users", f"""WITH {DTM}, {SPLITS}, kt AS (SELECT source, term FROM dtm WHERE term NOT IN ('the', 'und')),
+sd AS (SELECT k::INTEGER AS fold, doc_id AS source, CASE WHEN fold = k THEN 'test' ELSE 'train' END AS "group" FROM f, range(1, 4) r(k)),
+vc AS (SELECT sd.fold, term FROM kt JOIN sd ON kt.source = sd.source WHERE "group" = 'train' GROUP BY ALL HAVING count(*) >= 10),
+kn AS (SELECT DISTINCT sd.fold, kt.source FROM kt JOIN sd ON kt.source = sd.source JOIN vc ON vc.fold = sd.fold AND vc.term = kt.term)
+SELECT sd.fold, "group", count(*) AS users, count(*) FILTER (kn.source IS NULL) AS null_users FROM sd LEFT JOIN kn ON kn.fold = sd.fold AND kn.source = sd.source GROUP BY ALL""")
+def fold_null_users(spark, sf):
+    counts, folds = _fold_tables(spark, sf)
+    return FOLD_MODELS.sizes(counts, folds)
+
+
+@query("fold_model_scores")
+def fold_model_scores(spark, sf):
+    """TF-IDF and logistic regression of the documents' words, in three folds."""
+    scores, _ = FOLD_MODELS.run(*_fold_tables(spark, sf))
+    return rounded(scores, "precision", "recall", "fscore", "accuracy")
+
+
 @query("concatenated", "SELECT doc_id, lang, NULL::INTEGER AS toxic FROM documents UNION ALL SELECT doc_id, NULL, toxic FROM labels")
 def concatenated(spark, sf):
     return an.concat(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").select("doc_id", "toxic"))

@@ -136,6 +136,21 @@ def read_results(spark: SparkSession, path: str, metadata: DataFrame | None = No
     return df.join(metadata, on, "left") if metadata is not None else df
 
 
+def scan_results(spark: SparkSession, path: str, config: str, prefix: str = "", schema: str = "source string, fold int, `group` string, y_true int, y_pred double") -> DataFrame:
+    """Predictions of all runs below ``path`` whose folder's name holds ``prefix``, each row with its run and its run's settings.
+
+    A run is a folder with one JSON configuration (``splits.json`` is none) and ``cross_validation/predictions.csv``;
+    ``config`` is the schema of the settings wanted, absent ones are null.  A run without predictions has no row, one
+    without a configuration has null settings.
+    """
+    name = lambda up: F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1 - up)
+    files = spark.read.text(f"{path.rstrip('/')}/*{prefix}*/*.json", wholetext=True)
+    settings = files.where(name(0) != "splits.json").select(name(1).alias("run"), F.from_json("value", config).alias("_c")).groupBy("run").agg(F.first("_c").alias("_c"))
+    rows = spark.read.schema(schema).option("header", "true").csv(f"{path.rstrip('/')}/*{prefix}*/cross_validation/predictions.csv")
+    rows = rows.select("*", name(2).alias("run"))
+    return rows.join(settings, "run", "left").select("run", *(c for c in rows.columns if c != "run"), "_c.*")
+
+
 def user_histories(posts: DataFrame, by: str = "user_id_str", transform: Callable | None = None) -> DataFrame:
     """Posts with their place in the user's history, newest first; never one row or file a user."""
     from pyspark.sql import Window
