@@ -331,13 +331,18 @@ def controls_by_age(spark, sf):
     return sp.isolate_controls(c, "clpsych").select("source", "label")
 
 
+def _both(zero: str, one: str) -> str:
+    """A value for each class that is true or predicted somewhere."""
+    return f"concat_ws(',', CASE WHEN tn + fn + fp > 0 THEN {zero} END, CASE WHEN tp + fn + fp > 0 THEN {one} END)"
+
+
 @query("domain_summary", f"""WITH {PRED}, k AS (SELECT grp, count(*) FILTER (y_pred > 0.5::DOUBLE AND y_true = 1)::DOUBLE AS tp, count(*) FILTER (y_pred > 0.5::DOUBLE AND y_true <> 1)::DOUBLE AS fp,
   count(*) FILTER (y_pred <= 0.5::DOUBLE AND y_true = 1)::DOUBLE AS fn, count(*) FILTER (y_pred <= 0.5::DOUBLE AND y_true <> 1)::DOUBLE AS tn, count(DISTINCT y_pred) AS several FROM pred GROUP BY grp),
 pt AS (SELECT grp, y_pred AS s, count(*) FILTER (y_true = 1) AS p, count(*) FILTER (y_true = 0) AS n FROM pred GROUP BY ALL),
 cu AS (SELECT grp, s, p, n, sum(p) OVER (PARTITION BY grp ORDER BY s DESC) AS tp, sum(p) OVER (PARTITION BY grp) AS np, sum(n) OVER (PARTITION BY grp) AS nn FROM pt),
 au AS (SELECT grp, round(sum(n * (tp - p / 2)) / (max(np) * max(nn)), 6) AS auc FROM cu WHERE np > 0 AND nn > 0 GROUP BY grp)
-SELECT k.grp, CASE WHEN several > 2 THEN auc END AS auc, round(coalesce(tn / nullif(tn + fn, 0), 0), 6) || ',' || round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tn / nullif(tn + fp, 0), 0), 6) || ',' || round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
-  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS binary_fscore, (tn + fp)::BIGINT || ',' || (tp + fn)::BIGINT AS class_size, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy FROM k LEFT JOIN au ON au.grp = k.grp""")
+SELECT k.grp, CASE WHEN several > 2 THEN auc END AS auc, {_both("round(coalesce(tn / nullif(tn + fn, 0), 0), 6)", "round(coalesce(tp / nullif(tp + fp, 0), 0), 6)")} AS precision, {_both("round(coalesce(tn / nullif(tn + fp, 0), 0), 6)", "round(coalesce(tp / nullif(tp + fn, 0), 0), 6)")} AS recall,
+  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS binary_fscore, {_both("(tn + fp)::BIGINT", "(tp + fn)::BIGINT")} AS class_size, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy FROM k LEFT JOIN au ON au.grp = k.grp""")
 def domain_summary(spark, sf):
     s = ev.domain_summary(predictions(spark, sf), ["grp"])
     text = lambda c: F.array_join(F.transform(c, lambda x: F.round(x, 6).cast("string")), ",").alias(c)
