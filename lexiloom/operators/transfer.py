@@ -11,12 +11,12 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import TableStore
 from . import evaluation as ev
-from .features import lexicon_features, match_lexicon
+from .features import NORMS, match_lexicon
 from .stability import dense_table, names_of, newton
 
 #: Weights are as many as the square of it, times four and the features (256 at most): 262,144 rows.
@@ -33,15 +33,26 @@ def transfer_features(counts: DataFrame, vocabularies: DataFrame, lexicon: DataF
     """(vocabulary, domain, source, name, value): lexicon features of every source under every domain's vocabulary.
 
     Terms outside a vocabulary don't exist for it, nor in the totals that ``norm`` divides by.  A term carries the few
-    vocabularies that hold it, so the counts are read once.
+    vocabularies that hold it and the lexicon's names for it, so the counts are read once; only terms that count are
+    shuffled.
     """
+    if norm not in NORMS:
+        raise ValueError(f"norm must be one of {NORMS}")
     holders = vocabularies.groupBy("term").agg(F.collect_set("domain").alias("_v"))  # MOST_DOMAINS names a term
-    if norm != "unmatched":  # only that one counts terms outside the lexicon
-        holders = holders.join(match_lexicon(holders.select("term"), lexicon).select("term").distinct(), "term", "left_semi")
-    long = counts.join(holders, "term").select("domain", "source", "term", "n", F.explode("_v").alias("vocabulary"))
-    keyed = long.select(F.struct("vocabulary", "domain", "source").alias("source"), "term", "n")
-    found = lexicon_features(keyed, lexicon, norm)
-    return found.select("source.vocabulary", "source.domain", "source.source", F.col("dim").alias("name"), "value")
+    dims = match_lexicon(holders.select("term"), lexicon).groupBy("term").agg(F.collect_set("dim").alias("_dims"))
+    holders = holders.join(dims, "term", "left" if norm == "unmatched" else "inner")  # only that norm counts terms outside the lexicon
+    names = F.concat(F.coalesce("_dims", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))  # null: the total
+    long = counts.join(holders, "term").select("domain", "source", "n", F.explode("_v").alias("vocabulary"), names.alias("_names"))
+    sums = long.select("vocabulary", "domain", "source", F.explode("_names").alias("name"), "n").groupBy("vocabulary", "domain", "source", "name").agg(F.sum("n").cast("double").alias("value"))
+    if norm is None:
+        return sums.where("name is not null")
+    each, v, named = Window.partitionBy("vocabulary", "domain", "source"), F.col("value"), F.col("name").isNotNull()
+    total = F.max(F.when(~named, v))
+    if norm not in ("matched", "unmatched"):
+        total = {"max": F.max(F.when(named, v)), "l1": F.sum(F.when(named, v)), "l2": F.sum(F.when(named, v * v))}[norm]
+    total = total.over(each)
+    total = F.sqrt(total) if norm == "l2" else total
+    return sums.withColumn("value", v / F.nullif(total, F.lit(0.0))).where("name is not null")
 
 
 def _statistics(features: DataFrame, sizes: dict, domains: list, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,9 +87,9 @@ def transfer_predictions(counts: DataFrame, labels: DataFrame, vocabularies: Dat
         raise ValueError(f"more than {MOST_DOMAINS} domains")
     sizes = {r["domain"]: r["n"] for r in found}
     domains = list(sizes)
-    counts = counts.select("domain", "source", "term", "n").join(labels.select("domain", "source"), ["domain", "source"], "left_semi")
+    counts = counts.select("domain", "source", "term", "n")
     vocabularies = vocabularies.select("domain", "term").where(F.col("domain").isin(domains)) if domains else vocabularies.limit(0)
-    features = (store or TableStore(spark)).table("transfer", uuid.uuid4().hex, lambda: transfer_features(counts, vocabularies, lexicon, norm))
+    features = (store or TableStore(spark)).table("transfer", uuid.uuid4().hex, lambda: transfer_features(counts, vocabularies, lexicon, norm).join(labels.select("domain", "source"), ["domain", "source"], "left_semi"))
     names = names_of(features)
     if not names:
         return kind.limit(0)

@@ -369,7 +369,7 @@ def transfer_features(spark, sf):
     """Shares of lexicon words in each document under the vocabulary of every language."""
     counts, _ = _by_language(spark, sf)
     counts = stash(counts, "counts")
-    return rounded(tr.transfer_features(counts, tr.domain_vocabularies(counts, 3), spark.createDataFrame(LEX, LEXICON), "matched"), "value")
+    return rounded(tr.transfer_features(counts, stash(tr.domain_vocabularies(counts, 3), "vocabularies"), spark.createDataFrame(LEX, LEXICON), "matched"), "value")
 
 
 @query("transfer_scores")
@@ -377,7 +377,7 @@ def transfer_scores(spark, sf):
     """Toxicity by lexicon words: the model of each language on every language, under both vocabularies and scalings."""
     counts, labels = _by_language(spark, sf)
     counts = stash(counts, "counts")
-    found = tr.transfer_predictions(counts, labels, tr.domain_vocabularies(counts, 3), spark.createDataFrame(LEX, LEXICON), "matched")
+    found = tr.transfer_predictions(counts, labels, stash(tr.domain_vocabularies(counts, 3), "vocabularies"), spark.createDataFrame(LEX, LEXICON), "matched")
     scores = tr.transfer_scores(found)
     return rounded(scores, *(c for c in scores.columns if c not in tr.SETTING))
 

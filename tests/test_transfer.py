@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.operators import evaluation as ev
+from lexiloom.operators import features as fe
 from lexiloom.operators import fold_models as fm
 from lexiloom.operators import splits as sp
 from lexiloom.operators import transfer as tr
@@ -88,6 +89,19 @@ def test_all_pairs_of_domains(spark, domains):
     assert len(set(same.values())) == 1
 
 
+@pytest.mark.parametrize("norm", ["matched", "unmatched", "max", "l1", "l2", None])
+def test_features_as_of_each_vocabulary_alone(spark, domains, norm):
+    """Under one vocabulary the features are those of the operator for a single corpus."""
+    rows = [(d, i, WORDS[j], int(n[i, j])) for d, (n, _) in domains.items() for i in range(len(n)) for j in range(7) if n[i, j]]
+    counts = spark.createDataFrame(rows, "domain string, source long, term string, n long")
+    lexicon = spark.createDataFrame([*LEX, ("good", False, "us")], "entry string, is_prefix boolean, dim string")
+    vocab = tr.domain_vocabularies(counts, 2)
+    got = {(r["vocabulary"], r["domain"], r["source"], r["name"]): round(r["value"], 9) for r in tr.transfer_features(counts, vocab, lexicon, norm).collect()}
+    mine = counts.join(vocab.where("domain = 'b'").select("term"), "term", "left_semi").select(F.struct("domain", "source").alias("source"), "term", "n")
+    want = {("b", r["source"]["domain"], r["source"]["source"], r["dim"]): round(r["value"], 9) for r in fe.lexicon_features(mine, lexicon, norm).collect()}
+    assert want and {k: v for k, v in got.items() if k[0] == "b"} == want
+
+
 def test_transfer_of_nothing(spark):
     counts = spark.createDataFrame([("a", 1, "good", 1)], "domain string, source long, term string, n long")
     labels = spark.createDataFrame([("a", 1, 1), ("b", 2, 0)], "domain string, source long, y int")
