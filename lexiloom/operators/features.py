@@ -25,12 +25,14 @@ def l2_rows(df: DataFrame, value: str, key: str) -> DataFrame:
 def match_lexicon(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(term, dim): exact entries first, else the longest prefix entry.
 
-    ``lexicon(entry, is_prefix, dim)``.  A term's prefixes are its candidates, so both are equi-joins.
+    ``lexicon(entry, is_prefix, dim)``.  A term's prefixes are its candidates, so both are equi-joins.  Only the lexicon is
+    sent out, never terms or their prefixes, of which Spark's estimates know too little.
     """
-    exact = terms.join(lexicon.where("not is_prefix"), F.col("term") == F.col("entry")).select("term", "dim")
-    rest = terms.join(exact.select("term").distinct(), "term", "left_anti")
+    whole, starts = F.broadcast(lexicon.where("not is_prefix")), F.broadcast(lexicon.where("is_prefix"))
+    exact = terms.join(whole, F.col("term") == F.col("entry")).select("term", "dim")
+    rest = terms.join(whole, F.col("term") == F.col("entry"), "left_anti")
     heads = rest.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substring("term", 1, i))).alias("entry")).where("term <> ''")
-    hits = heads.join(lexicon.where("is_prefix"), "entry").select("term", "entry", "dim")
+    hits = heads.join(starts, "entry").select("term", "entry", "dim")
     longest = F.max(F.length("entry")).over(Window.partitionBy("term"))
     return exact.union(hits.withColumn("_n", longest).where(F.length("entry") == F.col("_n")).select("term", "dim")).distinct()
 

@@ -40,9 +40,10 @@ def transfer_features(counts: DataFrame, vocabularies: DataFrame, lexicon: DataF
         raise ValueError(f"norm must be one of {NORMS}")
     holders = vocabularies.groupBy("term").agg(F.collect_set("domain").alias("_v"))  # MOST_DOMAINS names a term
     dims = match_lexicon(holders.select("term"), lexicon).groupBy("term").agg(F.collect_set("dim").alias("_dims"))
-    holders = holders.join(dims, "term", "left" if norm == "unmatched" else "inner")  # only that norm counts terms outside the lexicon
+    # Tables that grow with the data meet by hash, never at the driver: packed files and shuffles look too small to Spark.
+    holders = holders.join(dims.hint("shuffle_hash"), "term", "left" if norm == "unmatched" else "inner")  # only that norm counts terms outside the lexicon
     names = F.concat(F.coalesce("_dims", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))  # null: the total
-    long = counts.join(holders, "term").select("domain", "source", "n", F.explode("_v").alias("vocabulary"), names.alias("_names"))
+    long = counts.join(holders.hint("shuffle_hash"), "term").select("domain", "source", "n", F.explode("_v").alias("vocabulary"), names.alias("_names"))
     sums = long.select("vocabulary", "domain", "source", F.explode("_names").alias("name"), "n").groupBy("vocabulary", "domain", "source", "name").agg(F.sum("n").cast("double").alias("value"))
     if norm is None:
         return sums.where("name is not null")
@@ -89,7 +90,7 @@ def transfer_predictions(counts: DataFrame, labels: DataFrame, vocabularies: Dat
     domains = list(sizes)
     counts = counts.select("domain", "source", "term", "n")
     vocabularies = vocabularies.select("domain", "term").where(F.col("domain").isin(domains)) if domains else vocabularies.limit(0)
-    features = (store or TableStore(spark)).table("transfer", uuid.uuid4().hex, lambda: transfer_features(counts, vocabularies, lexicon, norm).join(labels.select("domain", "source"), ["domain", "source"], "left_semi"))
+    features = (store or TableStore(spark)).table("transfer", uuid.uuid4().hex, lambda: transfer_features(counts, vocabularies, lexicon, norm).join(labels.select("domain", "source").hint("shuffle_hash"), ["domain", "source"], "left_semi"))
     names = names_of(features)
     if not names:
         return kind.limit(0)
