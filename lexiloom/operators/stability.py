@@ -60,7 +60,7 @@ def dense_table(features: DataFrame, labels: DataFrame, names: list[str], drawn:
     index = spark.createDataFrame(list(enumerate(names)), "i int, name string")
     values = features.join(F.broadcast(index), "name").groupBy("source", "i").agg(F.sum("value").cast("double").alias("v"))
     rows = values.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
-    rows = labels.join(rows, "source", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,double>")))
+    rows = labels.join(rows.hint("shuffle_hash"), "source", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,double>")))
     x = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     return rows.select(F.col("y").cast("double").alias("y"), x.alias("x"), F.array(*drawn).cast("array<tinyint>").alias("drawn"))
 
