@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import uniform
+from ..sources.scratch import stash
 from .ranking import with_average_rank
 
 
@@ -47,13 +48,14 @@ def representatives(scores: DataFrame, by: str, least: int, k: int) -> DataFrame
 def one_sided_kl(counts: DataFrame, smoothing: float = 0.01) -> DataFrame:
     """(dataset, term, df, score, rank): contribution of each term to the divergence of class 1 from class 0.
 
-    ``counts(dataset, term, c0, c1)``.
+    ``counts(dataset, term, c0, c1)``; null is a dataset of its own.  Totals are of whole numbers, smoothed after, so that no
+    order of rows changes a bit of a score, and the scores become a table: ranking joins them on their values.
     """
     lam = F.lit(float(smoothing))
-    total = counts.groupBy("dataset").agg(F.sum(F.col("c0") + lam).alias("_s0"), F.sum(F.col("c1") + lam).alias("_s1"))
-    c = counts.join(total, "dataset")
+    total = counts.groupBy(F.col("dataset").alias("_d")).agg(*((F.sum(c) + lam * F.count(c)).alias(f"_s{c[1]}") for c in ("c0", "c1")))
+    c = counts.join(total, F.col("dataset").eqNullSafe(F.col("_d")))
     p0, p1 = (F.col("c0") + lam) / F.col("_s0"), (F.col("c1") + lam) / F.col("_s1")
-    s = c.select("dataset", "term", (F.col("c0") + F.col("c1")).alias("df"), (p1 * F.log(p1 / p0)).alias("score"))
+    s = stash(c.select("dataset", "term", (F.col("c0") + F.col("c1")).alias("df"), (p1 * F.log(p1 / p0)).alias("score")), "kl")
     return with_average_rank(s, "score", ["dataset"], "rank")
 
 

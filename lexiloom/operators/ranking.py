@@ -65,7 +65,8 @@ def with_average_rank(df: DataFrame, value: str, by: list[str], name: str, desce
     same = df[value].eqNullSafe(placed["_gv"])
     for i, c in enumerate(by):
         same &= df[c].eqNullSafe(placed[f"_g{i}"])
-    return df.join(placed, same).select(*(df[c] for c in df.columns), name)
+    # Every row has its place; a left join never sends out ``df``, whatever its files' size.
+    return df.join(placed, same, "left").select(*(df[c] for c in df.columns), name)
 
 
 def placed(df: DataFrame, by: list[str], key: Column, tie: str, name: str) -> DataFrame:

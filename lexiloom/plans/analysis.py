@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import analysis as an
 from ..operators import sampling as sm
 from ..operators.vocabulary import Vocabulary
+from ..sources.scratch import stash
 from .common import PRED, TOK, corpus, predictions, query, rounded, table
 
 BY_LANG = f"""WITH {TOK}, t AS (SELECT DISTINCT doc_id, lang, term FROM w),
@@ -24,7 +25,7 @@ def _by_lang(spark, sf):
 @query("one_sided_kl", BY_LANG + """, p AS (SELECT dataset, term, c0 + c1 AS df, (c0 + 0.01::DOUBLE) / sum(c0 + 0.01::DOUBLE) OVER (PARTITION BY dataset) AS p0, (c1 + 0.01::DOUBLE) / sum(c1 + 0.01::DOUBLE) OVER (PARTITION BY dataset) AS p1 FROM c)
 SELECT dataset, term, df, round(p1 * ln(p1 / p0), 7) AS score FROM p""")
 def one_sided_kl(spark, sf):
-    return rounded(an.one_sided_kl(_by_lang(spark, sf)), "score", digits=7).drop("rank")
+    return rounded(an.one_sided_kl(stash(_by_lang(spark, sf), "counts")), "score", digits=7).drop("rank")
 
 
 @query("representative_terms", BY_LANG + """, s AS (SELECT dataset, term, c0 + c1 AS df, round(c1::DOUBLE / (c0 + c1 + 1), 6) AS score FROM c)

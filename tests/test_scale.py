@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from lexiloom.operators import analysis as an
 from lexiloom.operators import features as fe
 from lexiloom.operators import transfer as tr
+from lexiloom.operators.ranking import with_average_rank
 
 
 def broadcast_rows(df):
@@ -40,8 +42,19 @@ def test_lexicon_alone_is_sent_out(spark):
     assert {r["term"]: r["dim"] for r in df.collect()} == want
 
 
+def test_one_sided_kl_keeps_the_null_dataset(spark):
+    rows = [(d, t, a, b) for d in ("x", None) for t, a, b in (("u", 1, 4), ("v", 3, 3), ("w", 1, 4))]
+    got = an.one_sided_kl(spark.createDataFrame(rows, "dataset string, term string, c0 long, c1 long")).collect()
+    assert sorted((str(r["dataset"]), r["term"], r["rank"]) for r in got) == [(d, t, k) for d in ("None", "x") for t, k in (("u", 1.5), ("v", 3.0), ("w", 1.5))]
+
+
 def test_transfer_features_send_out_the_lexicon_alone(spark):
     counts = spark.range(3000).select(F.lit("d").alias("domain"), (F.col("id") % 40).alias("source"), F.concat(F.lit("word"), "id").alias("term"), F.lit(1).cast("long").alias("n"))
     for norm in ("matched", "unmatched"):
         df = tr.transfer_features(counts, tr.domain_vocabularies(counts), lexicon_of(spark), norm)
         assert max(broadcast_rows(df)) <= len(LEXICON)
+
+
+def test_average_ranks_never_send_out_their_table(spark):
+    df = spark.range(3000).select(F.lit("d").alias("dataset"), "id", (F.col("id") % 5).alias("v"))
+    assert max([0, *broadcast_rows(with_average_rank(df, "v", ["dataset"], "rank"))]) < 100
