@@ -37,9 +37,26 @@ class Vocabulary:
         grams = ngrams_with_flags(tokens, list(self.flags), *self.ngram_range) if self.flags else ngrams(tokens, *self.ngram_range)
         return F.transform(grams, lambda g: F.array_join(g, " "))
 
+    def occurrences(self, corpus: DataFrame) -> DataFrame:
+        """(source, term) of all that ``terms`` names; n-grams are put together behind the explosion, from their first token's place."""
+        if self.ngram_range == (1, 1):
+            return corpus.select("source", F.explode("tokens").alias("term"))
+        low, high = self.ngram_range
+        marks = F.array(*map(F.lit, self.flags)).cast("array<string>")
+        plain = F.filter("tokens", lambda t: ~F.array_contains(marks, t)) if self.flags else F.col("tokens")
+        kept = F.filter("tokens", lambda t: F.array_contains(marks, t)) if self.flags else F.array().cast("array<string>")
+        rows = corpus.select("source", plain.alias("_p"), kept.alias("_k"))
+        size, i = F.size("_p"), F.col("_i")
+        places = F.when(size + F.size("_k") > 0, F.sequence(F.lit(0), size + F.size("_k") - 1))
+        rows = rows.select("source", "_p", "_k", F.explode(places).alias("_i"))
+        grams = [F.when(i + n <= size, F.concat_ws(" ", *(F.get("_p", i + j) for j in range(n)))) for n in range(low, high + 1)]
+        if self.flags:
+            grams.append(F.when(i >= size, F.get("_k", i - size)))
+        return rows.select("source", (grams[0] if len(grams) == 1 else F.explode(F.array(*grams))).alias("term"))
+
     def counts(self, corpus: DataFrame, binarize: bool = False) -> DataFrame:
         """(source, term, n) of a corpus."""
-        long = corpus.select("source", F.explode(self.terms(F.col("tokens"))).alias("term")).where("term is not null")
+        long = self.occurrences(corpus).where("term is not null")
         out = long.groupBy("source", "term").agg(F.count("*").alias("n"))
         return out.withColumn("n", F.lit(1).cast("long")) if binarize else out
 
