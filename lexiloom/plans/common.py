@@ -40,8 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str, source: str = "source") -> DataFrame:
-    """(source, tokens) of documents."""
-    return table(spark, sf_dir, "documents").select(F.col(source).alias("source"), tx.words(F.col("text")).alias("tokens"))
+    """(source, tokens) of documents.
+
+    By document, texts are dealt by their key before they become tokens: counts by document and windows over documents
+    need no further shuffle, whose rows would be several times the text.
+    """
+    rows = table(spark, sf_dir, "documents").select(F.col(source).alias("source"), "text")
+    if source == "doc_id":
+        rows = rows.repartition("source")
+    return rows.select("source", tx.words(F.col("text")).alias("tokens"))
 
 
 def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
