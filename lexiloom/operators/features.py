@@ -5,15 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stash
+
 NORMS = ("matched", "unmatched", "max", "l1", "l2", None)
 
 
-def tfidf(dtm: DataFrame, n_docs: DataFrame | None = None, key: str = "idx") -> DataFrame:
-    """(source, key, value): counts times smooth idf + 1, rows scaled to unit length."""
+#: Rows of a table of terms that are sent to every task.
+MOST_SENT = 20_000
+
+
+def join_terms(counts: DataFrame, terms: DataFrame, order: str, key: str = "term") -> DataFrame:
+    """Inner join of ``counts`` with the distinct terms of ``terms``; those with the largest ``order`` are sent out, the others meet by hash.
+
+    A few thousand terms make up most of a table of counts, whose rows then stay where they are.  Both tables are read twice.
+    """
+    terms = stash(terms, "terms")
+    sent = stash(terms.orderBy(F.desc(order), key).limit(MOST_SENT), "sent")
+    names = F.broadcast(sent.select(key))
+    near = counts.join(F.broadcast(sent), key)
+    far = counts.join(names, key, "left_anti").join(terms.join(names, key, "left_anti").hint("shuffle_hash"), key)
+    return near.unionByName(far)
+
+
+def tfidf(dtm: DataFrame, n_docs: DataFrame | None = None, key: str = "idx", df: DataFrame | None = None) -> DataFrame:
+    """(source, key, value): counts times smooth idf + 1, rows scaled to unit length.
+
+    ``df(key, _df)``, if given, names the terms to keep and their numbers of sources.
+    """
     docs = F.broadcast(n_docs if n_docs is not None else dtm.agg(F.countDistinct("source").alias("_docs")).select("_docs"))
-    df = dtm.groupBy(key).agg(F.count("*").alias("_df"))
+    df = dtm.groupBy(key).agg(F.count("*").alias("_df")) if df is None else df
     idf = F.log((F.lit(1.0) + F.col("_docs")) / (F.lit(1.0) + F.col("_df"))) + 1.0
-    raw = dtm.join(df, key).crossJoin(docs).select("source", key, (F.col("n") * idf).alias("v"))
+    raw = join_terms(dtm, df, "_df", key).crossJoin(docs).select("source", key, (F.col("n") * idf).alias("v"))
     return l2_rows(raw, "v", key).withColumnRenamed("v", "value")
 
 

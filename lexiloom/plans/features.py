@@ -21,14 +21,19 @@ def _dtm(spark, sf, least: int = 1):
     return c
 
 
+def _labelled_dtm(spark, sf):
+    """Counts of the labelled documents, which alone reach comparisons of classes."""
+    return Vocabulary().counts(corpus(spark, sf, "doc_id").join(toxic_labels(spark, sf).select("source"), "source", "left_semi"))
+
+
 @query("tfidf_l2", f"""WITH {DTM}, k AS (SELECT term, count(*) AS df FROM dtm GROUP BY term HAVING count(*) >= 5),
 r AS (SELECT source, d.term, n * (ln((1.0::DOUBLE + (SELECT count(DISTINCT source) FROM dtm)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS v FROM dtm d JOIN k ON d.term = k.term)
 SELECT source, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY source)), 6) AS value FROM r""")
 def tfidf_l2(spark, sf):
     dtm = stash(_dtm(spark, sf), "dtm")
     docs = dtm.agg(F.countDistinct("source").alias("_docs"))
-    frequent = dtm.join(dtm.groupBy("term").agg(F.count("*").alias("df")).where("df >= 5").select("term"), "term", "left_semi")
-    return rounded(fe.tfidf(frequent, docs, "term"), "value")
+    frequent = dtm.groupBy("term").agg(F.count("*").alias("_df")).where("_df >= 5")
+    return rounded(fe.tfidf(dtm, docs, "term", frequent), "value")
 
 
 PMI = f"""WITH {DTM}, c AS (SELECT term, y, count(*) AS n FROM dtm JOIN lab ON dtm.source = lab.source GROUP BY ALL),
@@ -39,12 +44,12 @@ p AS (SELECT term, g.y, n, log2(((n + 1.0::DOUBLE) / (sum(n) OVER (PARTITION BY
 
 @query("pmi_scores", PMI + " SELECT term, y, n, round(pmi, 6) AS pmi FROM p")
 def pmi_scores(spark, sf):
-    return rounded(fs.pmi(_dtm(spark, sf), toxic_labels(spark, sf)), "pmi")
+    return rounded(fs.pmi(_labelled_dtm(spark, sf), toxic_labels(spark, sf)), "pmi")
 
 
 @query("pmi_top_k", PMI + " SELECT term, y, n, round(pmi, 6) AS pmi FROM p WHERE y = 1 AND n >= 3 ORDER BY round(p.pmi, 6) DESC, term LIMIT 50")
 def pmi_top_k(spark, sf):
-    return fs.pmi_top_k(rounded(fs.pmi(_dtm(spark, sf), toxic_labels(spark, sf)), "pmi"), 50, min_support=3)
+    return fs.pmi_top_k(rounded(fs.pmi(_labelled_dtm(spark, sf), toxic_labels(spark, sf)), "pmi"), 50, min_support=3)
 
 
 KL = f"""WITH {DTM}, c AS (SELECT term, y, count(*) AS n FROM dtm JOIN lab ON dtm.source = lab.source GROUP BY ALL),
@@ -56,13 +61,13 @@ k AS (SELECT term, sum(w * (p * ln(p / q) + q * ln(q / p))) AS divergence, max(d
 
 @query("kl_scores", KL + " SELECT term, df::BIGINT AS df, round(divergence, 6) AS divergence FROM k")
 def kl_scores(spark, sf):
-    return rounded(fs.kl_scores(_dtm(spark, sf), toxic_labels(spark, sf), STOPWORDS), "divergence").select("term", "df", "divergence")
+    return rounded(fs.kl_scores(_labelled_dtm(spark, sf), toxic_labels(spark, sf), STOPWORDS), "divergence").select("term", "df", "divergence")
 
 
 @query("kl_select_top", KL + """, r AS (SELECT term, df, divergence, 0.5::DOUBLE * (row_number() OVER (ORDER BY round(divergence, 9) DESC, term) - 1) + 0.5::DOUBLE * (row_number() OVER (ORDER BY df DESC, term) - 1) AS rank FROM k)
 SELECT term, df::BIGINT AS df, rank FROM r WHERE df >= 2 ORDER BY rank, term LIMIT 100""")
 def kl_select_top(spark, sf):
-    return fs.select_top(fs.mixed_rank(fs.kl_scores(_dtm(spark, sf), toxic_labels(spark, sf), STOPWORDS)), 100, 2).select("term", "df", "rank")
+    return fs.select_top(fs.mixed_rank(fs.kl_scores(_labelled_dtm(spark, sf), toxic_labels(spark, sf), STOPWORDS)), 100, 2).select("term", "df", "rank")
 
 
 RATIO = f"""WITH {DTM}, z AS (SELECT count(*) FILTER (y = 0)::DOUBLE AS n0, count(*) FILTER (y = 1)::DOUBLE AS n1 FROM lab),
@@ -72,12 +77,12 @@ r AS (SELECT term, c0, c1, c0 / n0 AS p0, c1 / n1 AS p1, (c0 + c1) / (n0 + n1) A
 
 @query("class_log_ratio", RATIO + " SELECT term, c0, c1, round(p0, 6) AS p0, round(p1, 6) AS p1, round(ln((p1 + 1e-10::DOUBLE) / (p0 + 1e-10::DOUBLE)), 6) AS log_ratio FROM r")
 def class_log_ratio(spark, sf):
-    return rounded(fs.class_log_ratio(_dtm(spark, sf), toxic_labels(spark, sf)), "p0", "p1", "log_ratio").select("term", "c0", "c1", "p0", "p1", "log_ratio")
+    return rounded(fs.class_log_ratio(_labelled_dtm(spark, sf), toxic_labels(spark, sf)), "p0", "p1", "log_ratio").select("term", "c0", "c1", "p0", "p1", "log_ratio")
 
 
 @query("weighted_log_ratio", RATIO + " SELECT term, round(p * ln((p1 + 1e-10::DOUBLE) / (p0 + 1e-10::DOUBLE)), 6) AS weighted_log_ratio, round(ln((p1 + 1e-10::DOUBLE) / (p + 1e-10::DOUBLE)), 6) AS pmi FROM r")
 def weighted_log_ratio(spark, sf):
-    return rounded(fs.class_log_ratio(_dtm(spark, sf), toxic_labels(spark, sf)), "weighted_log_ratio", "pmi").select("term", "weighted_log_ratio", "pmi")
+    return rounded(fs.class_log_ratio(_labelled_dtm(spark, sf), toxic_labels(spark, sf)), "weighted_log_ratio", "pmi").select("term", "weighted_log_ratio", "pmi")
 
 
 POOL = "WITH c AS (SELECT user_id AS source, event_id % (SELECT count(*) FROM embeddings) AS key, count(*) AS n FROM events GROUP BY ALL), x AS (SELECT source, n, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM c JOIN embeddings ON key = vec_id)"
@@ -111,7 +116,7 @@ s AS (SELECT source, dim, sum(n)::DOUBLE AS value FROM c JOIN m ON c.term = m.te
 
 def _lexicon(spark, sf, norm):
     lexicon = spark.createDataFrame(LEX, "entry string, is_prefix boolean, dim string")
-    return rounded(fe.lexicon_features(Vocabulary().counts(corpus(spark, sf)), lexicon, norm), "value")
+    return rounded(fe.lexicon_features(stash(Vocabulary().counts(corpus(spark, sf)), "counts"), lexicon, norm), "value")
 
 
 for _norm, _sql in {
@@ -134,7 +139,7 @@ def standardize(spark, sf):
 
 @query("feature_union", f"""{LEX_SQL} SELECT 'bag_of_words' AS feature_set, source, term AS name, n::DOUBLE AS value FROM c UNION ALL SELECT 'liwc', source, dim, value FROM s""")
 def feature_union(spark, sf):
-    counts = Vocabulary().counts(corpus(spark, sf))
+    counts = stash(Vocabulary().counts(corpus(spark, sf)), "counts")
     lexicon = spark.createDataFrame(LEX, "entry string, is_prefix boolean, dim string")
     return fe.union_features(liwc=fe.lexicon_features(counts, lexicon).withColumnRenamed("dim", "name"), bag_of_words=counts.select("source", F.col("term").alias("name"), F.col("n").alias("value")))
 
@@ -156,7 +161,7 @@ SELECT source, round(any_value(prior) + sum(n * d), 4) AS log_odds FROM dtm JOIN
 def naive_bayes_scores(spark, sf):
     from ..operators.models import naive_bayes_log_odds
 
-    dtm = _dtm(spark, sf)
+    dtm = stash(_dtm(spark, sf), "dtm")
     return rounded(naive_bayes_log_odds(dtm, toxic_labels(spark, sf), dtm), "log_odds", digits=4)
 
 
