@@ -14,18 +14,20 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stash
 from . import linear as li
+from .features import join_terms
 
 
 def naive_bayes_log_odds(train: DataFrame, labels: DataFrame, test: DataFrame, alpha: float = 1.0) -> DataFrame:
     """(source, log_odds) of class 1 against 0 by multinomial naive Bayes on ``(source, term, n)`` tables."""
-    seen = train.join(labels, "source").groupBy("term", "y").agg(F.sum("n").cast("double").alias("n"))
+    seen = stash(train.join(labels, "source").groupBy("term", "y").agg(F.sum("n").cast("double").alias("n")), "class_counts")
     grid = seen.select("term").distinct().crossJoin(F.broadcast(labels.select("y").distinct())).join(seen, ["term", "y"], "left").na.fill(0, ["n"])
     total = F.broadcast(grid.groupBy("y").agg(F.sum("n").alias("t"), F.count("*").alias("v")))
     lp = F.log((F.col("n") + alpha) / (F.col("t") + alpha * F.col("v")))
-    odds = grid.join(total, "y").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, lp).otherwise(-lp)).alias("d"))
+    odds = grid.join(total, "y").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, lp).otherwise(-lp)).alias("d"), F.sum("n").alias("_n"))
     prior = F.broadcast(labels.agg(F.log(F.count_if(F.col("y") == 1) / F.count_if(F.col("y") == 0)).alias("prior")))
-    return test.join(odds, "term").groupBy("source").agg(F.sum(F.col("n") * F.col("d")).alias("s")).crossJoin(prior).select("source", (F.col("prior") + F.col("s")).alias("log_odds"))
+    return join_terms(test, odds.withColumnRenamed("_n", "_all"), "_all").groupBy("source").agg(F.sum(F.col("n") * F.col("d")).alias("s")).crossJoin(prior).select("source", (F.col("prior") + F.col("s")).alias("log_odds"))
 
 
 def to_vectors(features: DataFrame, size: int, key: str = "idx", value: str = "n") -> DataFrame:
@@ -58,8 +60,6 @@ class BoostedTrees:
     def fit(self, df: DataFrame) -> BoostedModel:
         from math import log
 
-        from ..sources.scratch import stash
-
         data, trees = stash(df.select("features", F.col("label").cast("double").alias("label"), F.lit(1.0).alias("w")), "boost"), []
         for i in range(self.n):
             tree = ml.DecisionTreeClassifier(maxDepth=self.depth, weightCol="w", seed=self.seed + i).fit(data)
