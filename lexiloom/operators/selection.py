@@ -15,7 +15,7 @@ from .ranking import position, rank_of
 def class_counts(dtm: DataFrame, labels: DataFrame, binarize: bool = True) -> DataFrame:
     """(term, y, n) with zeros where a class lacks a term."""
     n = F.count("*") if binarize else F.sum("n")
-    seen = dtm.join(labels, "source").groupBy("term", "y").agg(n.alias("n"))
+    seen = stash(dtm.join(labels, "source").groupBy("term", "y").agg(n.alias("n")), "class_counts")  # read several times
     classes = F.broadcast(labels.select("y").distinct())
     grid = seen.select("term").distinct().crossJoin(classes)
     return grid.join(seen, ["term", "y"], "left").na.fill(0, ["n"])
