@@ -128,7 +128,8 @@ class PostLoader:
         if self.ignore_terms:
             text = F.col("text") if "text" in posts.columns else F.array_join("tokens", " ")
             posts = posts.where(~contains_any(text, list(self.ignore_terms)))
-        return posts.withColumn("tokens", self.tokens(F.col("tokens"))).where("tokens is not null")
+        # Through a generator: a filter on the column would have Spark make the tokens twice.
+        return posts.withColumn("tokens", F.explode(F.filter(F.array(self.tokens(F.col("tokens"))), lambda t: t.isNotNull())))
 
     def load(self, posts: DataFrame, **kw) -> DataFrame:
         return self.filter(self.select(posts, **kw))
