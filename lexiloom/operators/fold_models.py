@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import TableStore
-from . import models as mo
+from . import wide
 from .evaluation import counts as confusion_counts
 from .features import l2_rows
-from .ranking import position
 
 
 def _sizes(counts: DataFrame, vocabularies: DataFrame, folds: DataFrame) -> DataFrame:
@@ -78,25 +77,20 @@ class FoldModels:
             nulls = {(r["fold"], r["group"]): r["null_users"] for r in _sizes(kept, vocabularies, folds).collect()}
             for k in sorted(r["fold"] for r in folds.select("fold").distinct().collect()):
                 mine = vocabularies.where(F.col("held") == k)
-                terms = store.table("terms", str(k), lambda mine=mine: position(mine.select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")), "term"))
-                size = terms.count()
+                terms = store.table("terms", str(k), lambda mine=mine: mine.select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")))
                 classes = folds.where(F.col("fold") != k).select("y").distinct().count()
-                if not size or classes < 2:
+                if not terms.limit(1).count() or classes < 2:
                     continue
-                weighed = l2_rows(kept.join(terms, "term").select("source", "idx", (F.col("n") * F.col("idf")).alias("v")), "v", "idx")
-                vectors = mo.to_vectors(weighed, size, value="v")
-                data = store.table("data", str(k), lambda vectors=vectors, size=size: mo.with_empty(folds.join(vectors, "source", "left"), size).withColumn("label", F.col("y").cast("double")))
-                train = data.where(F.col("fold") != k)
-                model = mo.classifier("logistic", n=train.count(), C=self.C, max_iter=self.max_iter).setTol(1e-7).fit(train)
+                weighed = l2_rows(kept.join(terms.hint("shuffle_hash"), "term").select("source", "term", (F.col("n") * F.col("idf")).alias("v")), "v", "term")
+                data = store.table("data", str(k), lambda weighed=weighed: weighed)
+                model = wide.logistic(data, folds.where(F.col("fold") != k), C=self.C, max_iter=self.max_iter, tol=1e-7)
                 group = F.when(F.col("fold") == k, "test").otherwise("train").alias("group")
-                hits = model.transform(data).select(group, F.col("y").alias("y_true"), F.col("prediction").alias("y_pred"))
+                hits = model.margins(data, folds).join(folds.hint("shuffle_hash"), "source").select(group, F.col("y").alias("y_true"), F.when(F.col("margin") > 0, 1.0).otherwise(0.0).alias("y_pred"))
                 for r in confusion_counts(hits, ["group"]).collect():
                     tp, fp, fn, tn = r["tp"], r["fp"], r["fn"], r["tn"]
                     p, rc, f = tp / max(tp + fp, 1), tp / max(tp + fn, 1), 2 * tp / max(2 * tp + fp + fn, 1)
                     scores.append((int(k), r["group"], p, rc, f, (tp + tn) / (tp + fp + fn + tn), nulls[k, r["group"]]))
-                values = spark.createDataFrame([(model.coefficients.toArray().tolist(),)], "c array<double>").select(F.posexplode("c").alias("idx", "coef"))
-                found = store.table("coefs", str(k), lambda terms=terms, values=values: terms.join(values, "idx").select("term", "coef"))
-                coefs.append(found.select(F.lit(int(k)).alias("fold"), "term", "coef"))
+                coefs.append(model.coefs.select(F.lit(int(k)).alias("fold"), "term", "coef"))
             out = spark.createDataFrame([], "fold int, term string, coef double")
             for c in coefs:
                 out = out.union(c)
