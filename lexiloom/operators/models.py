@@ -30,31 +30,30 @@ def naive_bayes_log_odds(train: DataFrame, labels: DataFrame, test: DataFrame, a
     return join_terms(test, odds.withColumnRenamed("_n", "_all"), "_all").groupBy("source").agg(F.sum(F.col("n") * F.col("d")).alias("s")).crossJoin(prior).select("source", (F.col("prior") + F.col("s")).alias("log_odds"))
 
 
-def naive_bayes_probabilities(counts: DataFrame, folds: DataFrame, terms: int, alphas: tuple[float, ...] = (1.0,)) -> DataFrame:
+def naive_bayes_probabilities(counts: DataFrame, folds: DataFrame, terms: int, alphas: tuple[float, ...] = (1.0,), held: int | None = None) -> DataFrame:
     """(alpha, fold, source, y_true, y_pred): class 1's probability by multinomial naive Bayes of the other folds, for each smoothing.
 
-    ``counts(source, term, n)``, ``folds(source, label, fold)``; ``terms`` is the number of all terms, those that training
-    rows lack included.  As Spark's estimator has it, which smooths the classes' shares too; but all folds and smoothings
-    are one plan, without a vector.  A term's counts by fold and class are one row, its sources' odds the difference from
-    a term without counts, so that unseen terms need no row.
+    ``counts(source, label, fold, term, n)``, ``folds(source, label, fold)``; ``terms`` is the number of all terms, those
+    that training rows lack included; ``held`` names the one fold to predict, else all are.  As Spark's estimator has it,
+    which smooths the classes' shares too; but all folds and smoothings are one plan, without a vector.  A term's training
+    counts of each fold are one row, made by one grouping; its sources' odds are the difference from a term without counts.
     """
-    counts = stash(counts.join(folds.hint("shuffle_hash"), "source").select("source", "term", "n", "fold", "label"), "fold_counts")  # read several times
-    seen = stash(counts.groupBy("term", "fold", "label").agg(F.sum("n").cast("double").alias("n")), "class_counts")
-    ids = F.broadcast(folds.select(F.col("fold").alias("held")).distinct())
-    smooth = F.broadcast(folds.sparkSession.createDataFrame([(float(a),) for a in alphas], "alpha double"))
-    by_class = lambda k, v: F.sum(F.when((F.col("label") == k) & (F.col("fold") != F.col("held")), v).otherwise(0.0))
-    sizes = folds.groupBy("fold", "label").agg(F.count("*").cast("double").alias("k")).crossJoin(ids).groupBy("held").agg(by_class(0, F.col("k")).alias("k0"), by_class(1, F.col("k")).alias("k1"))
-    totals = seen.groupBy("fold", "label").agg(F.sum("n").alias("n")).crossJoin(ids).groupBy("held").agg(by_class(0, F.col("n")).alias("t0"), by_class(1, F.col("n")).alias("t1"))
+    tests = [held] if held is not None else sorted(r["fold"] for r in folds.select("fold").distinct().collect()) or [0]  # a few folds
+    one = folds.sparkSession.range(1, numPartitions=1)
+    ids = F.broadcast(one.select(F.explode(F.array(*(F.lit(k).cast("int") for k in tests))).alias("held")))
+    smooth = F.broadcast(one.select(F.explode(F.array(*(F.lit(float(a)) for a in alphas))).alias("alpha")))
+    of = lambda y, k, v: F.sum(F.when((F.col("label") == y) & (F.col("fold") != k), v).otherwise(0)).cast("double")
+    sizes = folds.groupBy("fold", "label").agg(F.count("*").alias("k")).crossJoin(ids).groupBy("held").agg(*(of(y, F.col("held"), F.col("k")).alias(f"k{y}") for y in (0, 1)))
+    totals = counts.groupBy("fold", "label").agg(F.sum("n").alias("n")).crossJoin(ids).groupBy("held").agg(*(of(y, F.col("held"), F.col("n")).alias(f"t{y}") for y in (0, 1)))
     a = F.col("alpha")
     base = F.log((F.coalesce("t0", F.lit(0.0)) + a * terms) / (F.coalesce("t1", F.lit(0.0)) + a * terms))
     base = F.broadcast(sizes.join(totals, "held", "left").crossJoin(smooth).select("alpha", "held", F.log((F.col("k1") + a) / (F.col("k0") + a)).alias("_prior"), base.alias("_unseen")))
-    odds = seen.crossJoin(ids).groupBy("term", "held").agg(by_class(0, F.col("n")).alias("n0"), by_class(1, F.col("n")).alias("n1"), F.sum("n").alias("_all"))
-    rows = odds.where("n0 + n1 > 0").groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("held", F.struct("n0", "n1")))).alias("_by"), F.max("_all").alias("_all"))  # a few folds
-    met = join_terms(counts.select("source", "term", "n", "fold"), rows, "_all").select("source", "n", F.try_element_at("_by", F.col("fold")).alias("c")).where("c is not null")
+    rows = counts.groupBy("term").agg(F.array(*(F.struct(of(0, k, F.col("n")).alias("n0"), of(1, k, F.col("n")).alias("n1")) for k in tests)).alias("_by"), F.sum("n").alias("_all"))
+    place = F.array_position(F.array(*map(F.lit, tests)), F.col("fold")).cast("int")
+    met = join_terms(counts.where(F.col("fold").isin(tests)).select("source", "term", "n", "fold"), rows, "_all").select("source", "n", F.element_at("_by", place).alias("c"))
     d = [F.col("n") * (F.log(F.col("c.n1") + float(x)) - F.log(F.col("c.n0") + float(x))) for x in alphas]
-    sums = met.groupBy("source").agg(F.array(*(F.sum(x) for x in d)).alias("_d"))
-    whole = counts.groupBy("source").agg(F.sum("n").alias("_n"))
-    known = folds.join(whole.hint("shuffle_hash"), "source", "left").join(sums.hint("shuffle_hash"), "source", "left")
+    sums = met.groupBy("source").agg(F.array(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in d)).alias("_d"), F.sum("n").alias("_n"))
+    known = folds.where(F.col("fold").isin(tests)).join(sums.hint("shuffle_hash"), "source", "left")
     each = known.select("fold", "source", F.col("label").cast("double").alias("y_true"), F.coalesce("_n", F.lit(0)).alias("_n"), F.posexplode(F.coalesce("_d", F.array(*(F.lit(0.0) for _ in alphas)))).alias("_i", "_d"))
     each = each.withColumn("alpha", F.array(*(F.lit(float(x)) for x in alphas))[F.col("_i")]).withColumnRenamed("fold", "held").join(base, ["alpha", "held"])
     log_odds = F.col("_prior") + F.col("_d") + F.col("_n") * F.col("_unseen")

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from lexiloom.functions import tokenizer as tk
 from lexiloom.operators import analysis as an
 from lexiloom.operators import features as fe
+from lexiloom.operators import models as mo
 from lexiloom.operators import transfer as tr
 from lexiloom.operators import wide
 from lexiloom.operators.ranking import with_average_rank
 from lexiloom.operators.vocabulary import Vocabulary
+from lexiloom.plans import text as pt
 from lexiloom.plans.registry import QUERIES
 
 
@@ -135,3 +137,20 @@ def test_wide_logistic_regression_is_the_penalised_optimum(spark, monkeypatch):
 def test_naive_bayes_of_folds_makes_no_vectors(spark):
     plan = QUERIES["cross_validation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "UDF" not in plan.upper() and "probability" not in plan
+
+
+def test_labelled_documents_alone_are_dealt_and_counted_once(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, "a b a"), (2, "c"), (3, "never dealt")], "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    folds, counts = pt._folds_and_counts(spark, sf)
+    assert folds.count() == 3 and {"label", "fold"} <= set(counts.columns)
+    assert sorted(tuple(r) for r in counts.select("source", "term", "n").collect()) == [(1, "a", 2), (1, "b", 1), (2, "c", 1)]
+
+
+def test_naive_bayes_groups_a_terms_counts_once(spark):
+    counts = spark.createDataFrame([(s, s % 2, s % 3 + 1, t, 1 + s % 2) for s in range(12) for t in ("x", f"y{s % 5}")], "source long, label int, fold int, term string, n long")
+    folds = counts.select("source", "label", "fold").distinct()
+    every = {(r["fold"], r["source"]): r["y_pred"] for r in mo.naive_bayes_probabilities(counts, folds, 6).collect()}
+    part = {(r["fold"], r["source"]): r["y_pred"] for r in mo.naive_bayes_probabilities(counts, folds, 6, held=2).collect()}
+    assert len(every) == 12 and len(part) == 4 and all(abs(every[k] - p) < 1e-12 for k, p in part.items())
