@@ -73,6 +73,19 @@ def to_vectors(features: DataFrame, size: int, key: str = "idx", value: str = "n
     return rows.select("source", sparse(F.col("p.i"), F.col("p.v")).alias("features"))
 
 
+def stash_vectors(sources: DataFrame, features: DataFrame, size: int, tag: str, key: str = "idx", value: str = "n") -> DataFrame:
+    """``sources`` with ``features``, sparse vectors of a long table, empty where it has no row of a source; as a table.
+
+    The vectors are written as the plain fields that Spark keeps them in and read as vectors: no row passes through Python.
+    """
+    from pyspark.ml.linalg import VectorUDT
+
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(key).cast("int").alias("i"), F.col(value).cast("double").alias("v"))))
+    rows = sources.join(features.groupBy("source").agg(pairs.alias("_p")), "source", "left")
+    fields = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.coalesce("_p.i", F.array().cast("array<int>")).alias("indices"), F.coalesce("_p.v", F.array().cast("array<double>")).alias("values"))
+    return stash(rows.select(*sources.columns, fields.alias("features")), tag, sources.schema.add("features", VectorUDT()))
+
+
 def with_empty(df: DataFrame, size: int) -> DataFrame:
     """``df`` with an empty vector where ``features`` is null: a source none of whose terms the vocabulary holds."""
     from pyspark.ml.linalg import SparseVector, VectorUDT

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def root_of(spark: SparkSession) -> str:
@@ -19,9 +20,9 @@ def root_of(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the scratch folder and read back."""
+def stash(df: DataFrame, tag: str, schema: StructType | None = None) -> DataFrame:
+    """Write to the scratch folder and read back, under ``schema`` if given."""
     spark = df.sparkSession
     path = f"{root_of(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)

@@ -139,6 +139,15 @@ def test_naive_bayes_of_folds_makes_no_vectors(spark):
     assert "UDF" not in plan.upper() and "probability" not in plan
 
 
+def test_labelled_vectors_pass_through_no_python(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("a Python function a row")
+
+    monkeypatch.setattr(F, "udf", refuse)
+    rows = pt._labelled(spark, "/root/testdata/sf0.001").collect()
+    assert rows and all((r["features"].toArray() >= 0).all() for r in rows) and len({r["features"].size for r in rows}) == 1
+
+
 def test_labelled_documents_alone_are_dealt_and_counted_once(spark, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([(1, "a b a"), (2, "c"), (3, "never dealt")], "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
@@ -146,6 +155,7 @@ def test_labelled_documents_alone_are_dealt_and_counted_once(spark, tmp_path):
     folds, counts = pt._folds_and_counts(spark, sf)
     assert folds.count() == 3 and {"label", "fold"} <= set(counts.columns)
     assert sorted(tuple(r) for r in counts.select("source", "term", "n").collect()) == [(1, "a", 2), (1, "b", 1), (2, "c", 1)]
+    assert pt._labelled(spark, sf).where("source = 1").count() == 2
 
 
 def test_naive_bayes_groups_a_terms_counts_once(spark):
