@@ -78,19 +78,34 @@ def lexicon_features(counts: DataFrame, lexicon: DataFrame, norm: str | None = N
     return sums.select("source", "dim", F.coalesce(F.col("value") / F.nullif(total, F.lit(0.0)), F.lit(0.0)).alias("value"))
 
 
+#: Components of vectors that are pooled side by side.
+POOLED = 32
+
+
 def pool_embeddings(counts: DataFrame, embeddings: DataFrame, how: str = "mean") -> DataFrame:
     """(source, dim, value) of ``counts(source, key, n)`` and ``embeddings(key, vector)``.
 
     ``mean`` weights vectors by counts; ``extremum`` takes the component of largest magnitude over
     the distinct terms (positive if equal), terms without a vector counting as zeros.
+    ``POOLED`` components of a source are columns of one row, so that a task's table has few rows.
     """
     if how not in ("mean", "extremum"):
         raise ValueError("how must be 'mean' or 'extremum'")
-    long = counts.join(embeddings, "key").select("source", "n", F.posexplode("vector").alias("dim", "x"))
+    at = F.col("_b") * POOLED
+    blocks = F.when(F.size("vector") > 0, F.sequence(F.lit(0), F.floor((F.size("vector") - 1) / POOLED).cast("int")))
+    met = counts.join(embeddings, "key").select("source", "n", F.size("vector").alias("_size"), "vector", F.explode(blocks).alias("_b"))
+    x = [F.get("vector", at + i).cast("double") for i in range(POOLED)]
+    if how == "mean":
+        pairs = [(F.sum(F.col("n") * x[i]), F.sum(F.when(F.col("_size") > at + i, F.col("n")))) for i in range(POOLED)]
+    else:
+        pairs = [(F.min(c), F.max(c)) for c in x]
+    sums = met.groupBy("source", "_b").agg(F.max("_size").alias("_size"), *(c.alias(f"_{k}{i}") for i, pair in enumerate(pairs) for k, c in zip("pq", pair, strict=True)))
+    ends = sums.select("source", "_b", "_size", F.posexplode(F.array(*(F.struct(F.col(f"_p{i}").alias("p"), F.col(f"_q{i}").alias("q")) for i in range(POOLED)))).alias("_i", "_e"))
+    ends = ends.select("source", (at + F.col("_i")).alias("dim"), F.col("_e.p").alias("lo"), F.col("_e.q").alias("hi"), "_size").where("dim < _size")
     if how == "mean":
-        return long.groupBy("source", "dim").agg((F.sum(F.col("n") * F.col("x").cast("double")) / F.sum("n")).alias("value"))
+        return ends.select("source", "dim", (F.col("lo") / F.col("hi")).alias("value"))
     missing = counts.join(embeddings, "key", "left_anti").select("source").distinct().withColumn("_zero", F.lit(0.0))
-    ends = long.groupBy("source", "dim").agg(F.min(F.col("x").cast("double")).alias("lo"), F.max(F.col("x").cast("double")).alias("hi")).join(missing, "source", "left")
+    ends = ends.join(missing, "source", "left")
     lo, hi = F.least("lo", "_zero"), F.greatest("hi", "_zero")
     return ends.select("source", "dim", F.when(-lo > hi, lo).otherwise(hi).alias("value"))
 

@@ -164,3 +164,29 @@ def test_naive_bayes_groups_a_terms_counts_once(spark):
     every = {(r["fold"], r["source"]): r["y_pred"] for r in mo.naive_bayes_probabilities(counts, folds, 6).collect()}
     part = {(r["fold"], r["source"]): r["y_pred"] for r in mo.naive_bayes_probabilities(counts, folds, 6, held=2).collect()}
     assert len(every) == 12 and len(part) == 4 and all(abs(every[k] - p) < 1e-12 for k, p in part.items())
+
+
+def test_pooling_explodes_blocks_of_ragged_vectors_not_components(spark):
+    draw = random.Random(9)
+    vectors = {k: [draw.choice([None, draw.uniform(-1, 1), draw.uniform(-1, 1)]) for _ in range(size)] for k, size in enumerate((0, 1, 31, 32, 33, 64, 65))} | {7: None}
+    counts = [(s, k, s + k + 1) for s in range(6) for k in range(11) if (s * k) % 3 != 1]
+    e = spark.createDataFrame(list(vectors.items()), "key long, vector array<float>")
+    c = spark.createDataFrame(counts, "source long, key long, n long")
+    for how in ("mean", "extremum"):
+        df = fe.pool_embeddings(c, e, how)
+        want = {}
+        for s in range(6):
+            zero = [0.0] if any(t == s and k not in vectors for t, k, _ in counts) else []
+            for d in range(65):
+                held = [(n, vectors[k][d]) for t, k, n in counts if t == s and len(vectors.get(k) or []) > d]
+                there = [(n, float(np.float32(x))) for n, x in held if x is not None]
+                if not held:
+                    continue
+                if how == "mean":
+                    want[s, d] = sum(n * x for n, x in there) / sum(n for n, _ in held) if there else None
+                else:
+                    ends = [x for _, x in there] + zero
+                    want[s, d] = (min(ends) if -min(ends) > max(ends) else max(ends)) if ends else None
+        got = {(r["source"], r["dim"]): r["value"] for r in df.collect()}
+        assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
+        assert "HashAggregate(keys=[source#" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "_b#" in plan and not re.search(r"keys=\[source#\d+L?, dim#", plan)
