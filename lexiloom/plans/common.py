@@ -51,6 +51,23 @@ def corpus(spark: SparkSession, sf_dir: str, source: str = "source") -> DataFram
     return rows.select("source", tx.words(F.col("text")).alias("tokens"))
 
 
+#: Characters of text whose n-grams one task counts: a task's table holds a row for nearly each of them.
+MOST_CHARS = 32_000_000
+
+
+def dealt_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, tokens) of documents as ``corpus`` has them; where splits of the files are large, texts are dealt to more tasks first.
+
+    Nearly all n-grams of a text are distinct, so that a task's table of counts is many times its text, and once it exceeds
+    the task's memory all of it is sorted and spilled.
+    """
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    parts = -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // MOST_CHARS)
+    if parts > rows.rdd.getNumPartitions():
+        rows = rows.repartition(parts, "doc_id")
+    return rows.select("source", tx.words(F.col("text")).alias("tokens"))
+
+
 def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("toxic is not null").select(F.col("doc_id").alias("source"), F.col("toxic").alias("y"))
 

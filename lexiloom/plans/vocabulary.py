@@ -11,7 +11,7 @@ from ..operators import vocabulary as vo
 from ..operators.ranking import position
 from ..operators.sets import set_pairs
 from ..sources import readers
-from .common import TOK, corpus, query, rounded, table
+from .common import TOK, corpus, dealt_corpus, query, rounded, table
 
 
 @query("token_counts", f"WITH {TOK} SELECT source, term, count(*) AS n FROM w GROUP BY ALL")
@@ -27,7 +27,7 @@ def token_counts_binarized(spark, sf):
 @query("bigram_counts", f"""WITH {TOK}, b AS (SELECT source, unnest(list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1])) AS term FROM tok)
 SELECT source, term, count(*) AS n FROM b GROUP BY ALL""")
 def bigram_counts(spark, sf):
-    return vo.Vocabulary(ngram_range=(2, 2)).counts(corpus(spark, sf))
+    return vo.Vocabulary(ngram_range=(2, 2)).counts(dealt_corpus(spark, sf))
 
 
 @query("ngrams_with_flags", f"""WITH {TOK},
@@ -35,7 +35,7 @@ f AS (SELECT source, list_filter(tokens, lambda t: NOT list_contains(['the', 'un
 g AS (SELECT source, unnest(p) AS term FROM f UNION ALL SELECT source, unnest(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) FROM f UNION ALL SELECT source, unnest(k) FROM f)
 SELECT source, term, count(*) AS n FROM g GROUP BY ALL""")
 def ngrams_with_flags(spark, sf):
-    return vo.Vocabulary(ngram_range=(1, 2), flags=("the", "und")).counts(corpus(spark, sf))
+    return vo.Vocabulary(ngram_range=(1, 2), flags=("the", "und")).counts(dealt_corpus(spark, sf))
 
 
 @query("vocab_top_k", f"WITH {TOK} SELECT term, count(*) AS n FROM w GROUP BY ALL ORDER BY n DESC, term LIMIT 100")

@@ -14,6 +14,7 @@ from lexiloom.operators import transfer as tr
 from lexiloom.operators import wide
 from lexiloom.operators.ranking import with_average_rank
 from lexiloom.operators.vocabulary import Vocabulary
+from lexiloom.plans import common
 from lexiloom.plans import text as pt
 from lexiloom.plans.registry import QUERIES
 
@@ -190,3 +191,13 @@ def test_pooling_explodes_blocks_of_ragged_vectors_not_components(spark):
         got = {(r["source"], r["dim"]): r["value"] for r in df.collect()}
         assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
         assert "HashAggregate(keys=[source#" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "_b#" in plan and not re.search(r"keys=\[source#\d+L?, dim#", plan)
+
+
+def test_texts_of_large_splits_are_dealt_before_their_ngrams_are_counted(spark, monkeypatch):
+    sf, name = "/root/testdata/sf0.001", "bigram_counts"
+    dealt = lambda df: len(re.findall(r"Exchange hashpartitioning\(doc_id", df._jdf.queryExecution().executedPlan().toString()))
+    whole = QUERIES[name](spark, sf)
+    assert dealt(whole) == 0
+    monkeypatch.setattr(common, "MOST_CHARS", 20_000)
+    parts = QUERIES[name](spark, sf)
+    assert dealt(parts) == 1 and not parts.exceptAll(whole).count() and not whole.exceptAll(parts).count()
