@@ -81,22 +81,49 @@ def lexicon_features(counts: DataFrame, lexicon: DataFrame, norm: str | None = N
 #: Components of vectors that are pooled side by side.
 POOLED = 32
 
+#: Sums, and components of vectors, that one task holds while vectors are pooled, and rows of counts that it reads.
+MOST_HELD, MOST_POOLED = 2**24, 2_000_000
+
+
+def meet_vectors(counts: DataFrame, embeddings: DataFrame, widest: int, sums: int) -> DataFrame:
+    """Inner join on ``key`` by cells, a group of sources and a group of keys each, of which a task has one.
+
+    A task thus holds the vectors of one group of keys and, of ``sums`` numbers a source, those of one group of sources, however
+    many there are of either; counts move once, vectors once for each group of sources.  Both tables are read twice.
+    """
+    rows, sources = counts.agg(F.count("*"), F.approx_count_distinct("source")).first()
+    keys = embeddings.count()
+    tasks = max(-(-rows // MOST_POOLED), counts.sparkSession.sparkContext.defaultParallelism)
+    groups = max(-(-sources * sums // MOST_HELD), min(tasks, round((tasks * sources * sums * 2 / max(1, keys * widest)) ** 0.5)), 1)
+    parts = max(-(-keys * widest // MOST_HELD), -(-tasks // groups))
+    kind = counts.select("key").union(embeddings.select("key")).schema["key"].dataType
+    cell = F.col("_g") * parts + F.pmod(F.xxhash64(F.col("key").cast(kind)), F.lit(parts)).cast("int")
+    near = counts.withColumn("_g", F.pmod(F.xxhash64("source"), F.lit(groups)).cast("int"))
+    far = embeddings.select("key", "vector", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
+    near, far = (df.withColumn("_cell", cell).drop("_g").repartitionById(groups * parts, "_cell") for df in (near, far))
+    return near.join(far.hint("shuffle_hash"), ["_cell", "key"])
+
 
 def pool_embeddings(counts: DataFrame, embeddings: DataFrame, how: str = "mean") -> DataFrame:
     """(source, dim, value) of ``counts(source, key, n)`` and ``embeddings(key, vector)``.
 
     ``mean`` weights vectors by counts; ``extremum`` takes the component of largest magnitude over
     the distinct terms (positive if equal), terms without a vector counting as zeros.
-    ``POOLED`` components of a source are columns of one row, so that a task's table has few rows.
+    ``POOLED`` components of a source are columns of one row, so that a task's table has few rows; where all vectors
+    have one length, one weight a row serves all of them.
     """
     if how not in ("mean", "extremum"):
         raise ValueError("how must be 'mean' or 'extremum'")
+    counts, vectors = stash(counts, "counts"), embeddings.where(F.size("vector") > 0)
+    least, most = vectors.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    even, most = least == most, most or 0
     at = F.col("_b") * POOLED
-    blocks = F.when(F.size("vector") > 0, F.sequence(F.lit(0), F.floor((F.size("vector") - 1) / POOLED).cast("int")))
-    met = counts.join(embeddings, "key").select("source", "n", F.size("vector").alias("_size"), "vector", F.explode(blocks).alias("_b"))
+    met = meet_vectors(counts, vectors, most, most if how == "mean" and even else 2 * most)
+    blocks = F.sequence(F.lit(0), F.floor((F.size("vector") - 1) / POOLED).cast("int"))
+    met = met.select("source", "n", F.size("vector").alias("_size"), "vector", F.explode(blocks).alias("_b"))
     x = [F.get("vector", at + i).cast("double") for i in range(POOLED)]
     if how == "mean":
-        pairs = [(F.sum(F.col("n") * x[i]), F.sum(F.when(F.col("_size") > at + i, F.col("n")))) for i in range(POOLED)]
+        pairs = [(F.sum(F.col("n") * x[i]), F.sum("n" if even else F.when(F.col("_size") > at + i, F.col("n")))) for i in range(POOLED)]
     else:
         pairs = [(F.min(c), F.max(c)) for c in x]
     sums = met.groupBy("source", "_b").agg(F.max("_size").alias("_size"), *(c.alias(f"_{k}{i}") for i, pair in enumerate(pairs) for k, c in zip("pq", pair, strict=True)))

@@ -88,9 +88,18 @@ def weighted_log_ratio(spark, sf):
 POOL = "WITH c AS (SELECT user_id AS source, event_id % (SELECT count(*) FROM embeddings) AS key, count(*) AS n FROM events GROUP BY ALL), x AS (SELECT source, n, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM c JOIN embeddings ON key = vec_id)"
 
 
+#: Events that one task counts: a task's table holds a row for nearly each of them.
+MOST_EVENTS = 500_000
+
+
 def _event_counts(spark, sf):
+    """Counts of events and vectors; where splits of the files are large, events are dealt to more tasks before they are counted."""
     size = F.broadcast(table(spark, sf, "embeddings").agg(F.count("*").alias("size")))
-    e = table(spark, sf, "events").crossJoin(size).select(F.col("user_id").alias("source"), (F.col("event_id") % F.col("size")).alias("key"))
+    events = table(spark, sf, "events").select("user_id", "event_id")
+    e = events.crossJoin(size).select(F.col("user_id").alias("source"), (F.col("event_id") % F.col("size")).alias("key"))
+    parts = -(-events.count() // MOST_EVENTS)
+    if parts > events.rdd.getNumPartitions():
+        e = e.repartition(parts, "source", "key")
     return e.groupBy("source", "key").agg(F.count("*").alias("n")), table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
 
 

@@ -15,6 +15,7 @@ from lexiloom.operators import wide
 from lexiloom.operators.ranking import with_average_rank
 from lexiloom.operators.vocabulary import Vocabulary
 from lexiloom.plans import common
+from lexiloom.plans import features as pf
 from lexiloom.plans import text as pt
 from lexiloom.plans.registry import QUERIES
 
@@ -193,6 +194,37 @@ def test_pooling_explodes_blocks_of_ragged_vectors_not_components(spark):
         assert "HashAggregate(keys=[source#" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "_b#" in plan and not re.search(r"keys=\[source#\d+L?, dim#", plan)
 
 
+def test_pooling_tasks_hold_one_group_of_sources_and_one_of_vectors(spark, monkeypatch):
+    c = spark.range(6000).select((F.col("id") % 300).alias("source"), (F.col("id") * 7 % 101).alias("key"), (F.col("id") % 3 + 1).alias("n"))
+    e = spark.range(100).select(F.col("id").cast("int").alias("key"), F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.sin(i * F.col("id")).cast("float")).alias("vector"))
+    results = lambda how: {(r["source"], r["dim"]): r["value"] for r in fe.pool_embeddings(c, e, how).collect()}
+    whole = {how: results(how) for how in ("mean", "extremum")}
+    monkeypatch.setattr(fe, "MOST_HELD", 40 * 50)
+    tasks = fe.meet_vectors(c, e, 40, 40).groupBy(F.spark_partition_id()).agg(F.countDistinct("source"), F.countDistinct("key"), F.count("*")).collect()
+    assert len(tasks) == 12 and max(t[1] for t in tasks) < 100 and max(t[2] for t in tasks) < 80 and sum(t[3] for t in tasks) == c.join(e, "key").count()
+    for how, want in whole.items():
+        got = results(how)
+        assert len(want) == 300 * 40 and got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_pooling_vectors_of_one_length_keeps_one_weight_a_row(spark, monkeypatch):
+    monkeypatch.setattr(fe, "POOLED", 4)
+    c, e = spark.createDataFrame([(1, 1, 2), (1, 2, 3)], "source long, key long, n long"), spark.createDataFrame([(1, [1.0] * 64), (2, [2.0] * 64), (3, [])], "key long, vector array<float>")
+    df = fe.pool_embeddings(c, e)
+    partial = re.search(r"functions=\[partial_[^\n]*", df._jdf.queryExecution().executedPlan().toString())[0]
+    assert partial.count("partial_sum(") == 5 and [round(r["value"], 9) for r in df.collect()] == [1.6] * 64
+
+
+def test_events_of_large_splits_are_dealt_before_they_are_counted(spark, monkeypatch):
+    sf, name = "/root/testdata/sf0.001", "embedding_mean_pool"
+    dealt = lambda: "REPARTITION_BY_NUM" in pf._event_counts(spark, sf)[0]._jdf.queryExecution().executedPlan().toString()
+    assert not dealt()
+    whole = QUERIES[name](spark, sf)
+    monkeypatch.setattr(pf, "MOST_EVENTS", 300)
+    parts = QUERIES[name](spark, sf)
+    assert dealt() and not parts.exceptAll(whole).count() and not whole.exceptAll(parts).count()
+
+
 def test_texts_of_large_splits_are_dealt_before_their_ngrams_are_counted(spark, monkeypatch):
     sf, name = "/root/testdata/sf0.001", "bigram_counts"
     dealt = lambda df: len(re.findall(r"Exchange hashpartitioning\(doc_id", df._jdf.queryExecution().executedPlan().toString()))
